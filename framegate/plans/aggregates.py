@@ -53,7 +53,7 @@ def burst_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH items AS (SELECT *, sum(l_quantity) OVER (PARTITION BY l_orderkey) AS total FROM lineitem),
-  fine AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY abs(l_quantity / total - 0.14), l_linenumber) AS r FROM items WHERE l_quantity / total BETWEEN 0.02 AND 0.45),
+  fine AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY abs(l_quantity / total - 0.14e0), l_linenumber, l_discount, l_quantity) AS r FROM items WHERE l_quantity / total BETWEEN 0.02 AND 0.45),
   ids AS (SELECT DISTINCT l_orderkey FROM lineitem)
   SELECT l_orderkey, l_linenumber AS cand_idx, l_discount AS score, round(sqrt(l_quantity * 4 / pi()), 6) AS diameter, CASE WHEN l_linenumber IS NULL THEN 'no candidate in bounds' END AS error
   FROM ids LEFT JOIN (SELECT * FROM fine WHERE r = 1) USING (l_orderkey)""")

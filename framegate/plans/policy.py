@@ -32,10 +32,10 @@ def read_capture_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT p_partkey, round(w * h / 1e6, 6) AS megapixels, w * h >= 12000000 AS meets_requirement
-  FROM (SELECT p_partkey, coalesce(CASE WHEN p_partkey % 5 > 0 THEN p_size * 100 END, p_size * 90, 0) AS w, coalesce(CAST(p_retailprice * 3 AS INT), 0) AS h FROM (SELECT *, CAST(p_size AS BIGINT) AS _s FROM part))""")
+  FROM (SELECT p_partkey, coalesce(CASE WHEN p_partkey % 5 > 0 THEN p_size * 100 END, p_size * 90, 0) AS w, coalesce(CAST(floor(p_retailprice * 3) AS INT), 0) AS h FROM (SELECT *, CAST(p_size AS BIGINT) AS _s FROM part))""")
 def device_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = load(spark, sf_dir, "part").select(
-        "p_partkey", F.when(F.col("p_partkey") % 5 > 0, F.col("p_size") * 100).alias("mw"), F.round(F.col("p_retailprice") * 3).cast("int").alias("mh"),
+        "p_partkey", F.when(F.col("p_partkey") % 5 > 0, F.col("p_size") * 100).alias("mw"), F.floor(F.col("p_retailprice") * 3).cast("int").alias("mh"),
         (F.col("p_size") * 90).alias("sw"), F.lit(None).cast("int").alias("sh"),
     )
     return captures.device_eligibility(df, "mw", "mh", "sw", "sh").select("p_partkey", F.round("megapixels", 6).alias("megapixels"), "meets_requirement")
@@ -48,7 +48,7 @@ def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 STORED = f"{EV}, stored AS (SELECT user_id, min(us) AS created_us FROM ev WHERE event_type = 'signup' GROUP BY user_id), asked AS (SELECT * FROM ev WHERE event_type = 'purchase')"
-FOUND = f"coalesce(us - created_us BETWEEN 0 AND {WEEK_S} * 1000000, false)"
+FOUND = f"coalesce(us - created_us BETWEEN 0 AND {WEEK_S * 1_000_000}, false)"
 
 
 @query(f"WITH {STORED} SELECT event_id, {FOUND} AS found FROM asked LEFT JOIN stored USING (user_id)")
@@ -71,20 +71,20 @@ def capture_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.capture_lineage(ev.filter("event_type = 'view'").select("user_id").distinct(), results, ev.filter("event_type = 'purchase'"), "user_id")
 
 
-@query(f"""WITH {EV} SELECT event_id, {AS_OF_US} - us > {WEEK_S} * 1000000 AS expired, greatest(0.0, (us + {WEEK_S} * 1000000 - {AS_OF_US}) / 1000000.0) AS time_remaining,
-  greatest(1, CAST(floor(greatest(0.0, (us + {WEEK_S} * 1000000 - {AS_OF_US}) / 1000000.0)) AS INT)) AS ttl_seconds FROM ev""")
+@query(f"""WITH {EV} SELECT event_id, {AS_OF_US} - us > {WEEK_S * 1_000_000} AS expired, greatest(0.0, (us + {WEEK_S * 1_000_000} - {AS_OF_US}) / 1000000.0) AS time_remaining,
+  greatest(1, CAST(floor(greatest(0.0, (us + {WEEK_S * 1_000_000} - {AS_OF_US}) / 1000000.0)) AS INT)) AS ttl_seconds FROM ev""")
 def ttl_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.ttl_status(events(spark, sf_dir), "us", AS_OF_US, WEEK_S).select("event_id", "expired", "time_remaining", "ttl_seconds")
 
 
-@query(f"""WITH {EV} SELECT CASE WHEN {AS_OF_US} - us <= {WEEK_S} * 1000000 THEN 'live' ELSE 'evicted' END AS part, count(*) AS items FROM ev GROUP BY 1""")
+@query(f"""WITH {EV} SELECT CASE WHEN {AS_OF_US} - us <= {WEEK_S * 1_000_000} THEN 'live' ELSE 'evicted' END AS part, count(*) AS items FROM ev GROUP BY 1""")
 def ttl_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     live, evicted = policy.ttl_sweep(events(spark, sf_dir), "us", AS_OF_US, WEEK_S)
     parts = live.select(F.lit("live").alias("part")).unionAll(evicted.select(F.lit("evicted").alias("part")))
     return parts.groupBy("part").agg(F.count("*").alias("items"))
 
 
-@query(f"WITH {EV} SELECT event_type, count(*) AS items FROM ev WHERE {AS_OF_US} - us <= {WEEK_S} * 1000000 GROUP BY event_type")
+@query(f"WITH {EV} SELECT event_type, count(*) AS items FROM ev WHERE {AS_OF_US} - us <= {WEEK_S * 1_000_000} GROUP BY event_type")
 def store_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.store_stats(events(spark, sf_dir), "event_type", "us", AS_OF_US, WEEK_S)
 

@@ -11,11 +11,13 @@ from framegate.operators.scoring import score_two_stage as two_stage
 from framegate.plans.base import EV, query
 from framegate.sources.tables import events, load
 
-DISTANCE = """CASE WHEN value BETWEEN 33.6 * 0.93 AND 115.2 THEN greatest(0, 100 - abs(value - 74.4) / 40.8 * 30) WHEN value < 33.6 THEN 70 * (value / 33.6)
-  ELSE greatest(0, 70 - 70 * ((value - 115.2) / 115.2)) END"""
-DISTANCE_STATUS = """CASE WHEN value BETWEEN 33.6 * 0.93 AND 115.2 THEN 'ok' WHEN value < 33.6 THEN CASE WHEN value / 33.6 > 0.4 THEN 'warn' ELSE 'fail' END
-  WHEN (value - 115.2) / 115.2 < 0.6 THEN 'warn' ELSE 'fail' END"""
-DISTANCE_TEXT = "CASE WHEN value BETWEEN 33.6 * 0.93 AND 115.2 THEN 'Perfect distance' WHEN value < 33.6 THEN 'Move closer' ELSE 'Move back' END"
+LOW, HIGH = "(480 * 0.07e0)", "(480 * 0.24e0)"
+FINE = f"value BETWEEN {LOW} * 0.93e0 AND {HIGH}"
+DISTANCE = f"""CASE WHEN {FINE} THEN greatest(0e0, 100 - abs(value - ({LOW} + {HIGH}) / 2) / (({HIGH} - {LOW}) / 2) * 30) WHEN value < {LOW} THEN 70 * (value / {LOW})
+  ELSE greatest(0e0, 70 - 70 * ((value - {HIGH}) / {HIGH})) END"""
+DISTANCE_STATUS = f"""CASE WHEN {FINE} THEN 'ok' WHEN value < {LOW} THEN CASE WHEN value / {LOW} > 0.4e0 THEN 'warn' ELSE 'fail' END
+  WHEN (value - {HIGH}) / {HIGH} < 0.6e0 THEN 'warn' ELSE 'fail' END"""
+DISTANCE_TEXT = f"CASE WHEN {FINE} THEN 'Perfect distance' WHEN value < {LOW} THEN 'Move closer' ELSE 'Move back' END"
 LIGHT = "(value * 3)"
 LIGHTING = f"CASE WHEN {LIGHT} BETWEEN 100 AND 180 THEN greatest(0, 100 - abs({LIGHT} - 140) / 40 * 30) WHEN {LIGHT} < 100 THEN 70 * ({LIGHT} / 100) ELSE greatest(0, 70 - 70 * (({LIGHT} - 180) / 75)) END"
 LIGHTING_STATUS = f"CASE WHEN {LIGHT} BETWEEN 100 AND 180 THEN 'ok' WHEN {LIGHT} < 100 THEN CASE WHEN {LIGHT} / 100 > 0.7 THEN 'warn' ELSE 'fail' END WHEN ({LIGHT} - 180) / 75 < 0.3 THEN 'warn' ELSE 'fail' END"

@@ -111,7 +111,7 @@ def stream_countdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.drained(stateful.run_ordered(rows, stateful.Countdown(5, DAY_US)), _folder(spark))
 
 
-@query(f"""WITH {policy.STORED} SELECT event_id FROM asked JOIN stored USING (user_id) WHERE us - created_us BETWEEN 0 AND {policy.WEEK_S} * 1000000""")
+@query(f"""WITH {policy.STORED} SELECT event_id FROM asked JOIN stored USING (user_id) WHERE us - created_us BETWEEN 0 AND {policy.WEEK_S * 1_000_000}""")
 def stream_ttl_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests that found their token; the store's first rows stream in beside them."""
     asked = _events(spark, sf_dir).filter("event_type = 'purchase'").select("event_id", "user_id", "ts")
