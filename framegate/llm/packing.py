@@ -21,48 +21,59 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framegate.llm.common import bounded_batches, written
-from framegate.llm.textvec import chunks
 
 CAPACITY = 4096
 END_ID = 1
 BINS_A_GROUP = 2000
-CACHED_WORDS = 300_000
+CACHED_WORDS = 1_000_000
 CACHED_CHARS = 64
+#: What keeps a text from being lower-cased before it is split: letters whose lower case
+#: could meet the tokenizer's normal form in another order, blanks that only str.split()
+#: knows, and the start of a special token.
+PLAIN_ONLY = re.compile("[\x1c-\x1f\x85\xa0\u0130\u0131\u0180-\U0010ffff]|<\\|")
+WORDS = re.compile("[^\x20\x09-\x0d]+")
 NOWHERE = np.iinfo(np.int64).max
 #: str.split() knows more blanks than the ASCII ones; texts with these are split by pattern.
 OTHER_BLANKS = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 WORDS = re.compile("[^\x20\x09-\x0d]+")
 
 
-class WordIds:
-    """Token ids, little-endian, of blank-separated words. The tokenizer drops white space
-    and never looks across it, so a text's ids are those of its words in a row; words seen
-    before come from a cache of bounded size."""
+class WordIds(dict):
+    """Token ids, little-endian, by blank-separated word. The tokenizer lower-cases, drops
+    white space and never looks across it, so a text's ids are those of its words in a row.
+    It also parts letters and digits from marks, so commas and stops at a word's end have
+    ids of their own. What was seen before comes from this cache, of bounded size."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
 
-    def learn(self, words: list[str]) -> dict[str, bytes]:
-        found = self.tokenizer.encode_batch(words, add_special_tokens=False)
-        ids = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, found, strict=True)}
-        self.known.update((w, b) for w, b in ids.items() if len(w) <= CACHED_CHARS)
+    def __missing__(self, word: str) -> bytes:
+        core = word.rstrip(",.")
+        if core != word and core and core[-1].isalnum():
+            ids = self[core] + self[word[len(core) :]]
+        else:
+            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(word) <= CACHED_CHARS:
+            self[word] = ids
         return ids
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        split = [WORDS.findall(t) if OTHER_BLANKS.search(t) else t.split() for t in texts]
-        new = set().union(*split) - self.known.keys() if split else set()
-        now = self.learn(sorted(new)) if new else {}
-        known = self.known
-        for words in split:
-            try:
-                yield b"".join([known[w] for w in words])
-            except KeyError:
-                yield b"".join([known[w] if w in known else now[w] for w in words])
+    def encode(self, text: str) -> bytes:
+        if len(self) > CACHED_WORDS:
+            self.clear()
+        words = WORDS.findall(text) if PLAIN_ONLY.search(text) else text.lower().split()
+        return b"".join(map(self.__getitem__, words))
+
+
+_words: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """One cache for all tasks that a Python worker runs."""
+    if path not in _words:
+        _words[path] = WordIds(path)
+    return _words[path]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -72,19 +83,14 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words = WordIds(tokenizer_path)
+        words = word_ids(tokenizer_path)
         for batch in batches:
-            names, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             out: list[tuple] = []
-            for part in chunks([len(t) for t in texts]):
-                for name, ids in zip(names[part], words.encode(texts[part]), strict=True):
-                    whole = memoryview(ids + end)
-                    for k, at in enumerate(range(0, len(whole), 4 * CAPACITY)):
-                        piece = whole[at : at + 4 * CAPACITY]
-                        out.append((name, k, at // 4, len(piece) // 4, zlib.crc32(piece)))
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                whole = memoryview(words.encode(text or "") + end)
+                for k, at in enumerate(range(0, len(whole), 4 * CAPACITY)):
+                    piece = whole[at : at + 4 * CAPACITY]
+                    out.append((name, k, at // 4, len(piece) // 4, zlib.crc32(piece)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), KINDS, strict=True)] if out else [pa.array([], t) for t in KINDS],
                 ["id", "piece", "start", "length", "ids_crc32"],
