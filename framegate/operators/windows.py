@@ -80,7 +80,7 @@ def hold_for(df: DataFrame, key: Names, order: Names, on: Column, us: str, hold_
     return df.withColumns(
         {
             out: F.coalesce(F.col("_elapsed") >= hold_us, F.lit(False)),
-            f"{out}_progress": F.coalesce(F.least(F.lit(100.0), F.col("_elapsed") * 100.0 / hold_us), F.lit(0.0)),
+            f"{out}_progress": F.when(F.col("_elapsed").isNull(), 0.0).otherwise(F.least(F.lit(100.0), F.col("_elapsed") * 100.0 / hold_us)),
         }
     ).drop("_on", "_island", "_elapsed")
 

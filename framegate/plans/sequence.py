@@ -43,7 +43,7 @@ def hysteresis_tristate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {HELD}
-  SELECT event_id, coalesce(took >= {HOLD_US}, false) AS held, round(coalesce(least(100.0, took * 100.0 / {HOLD_US}), 0.0), 6) AS progress FROM timed""")
+  SELECT event_id, coalesce(took >= {HOLD_US}, false) AS held, CASE WHEN took IS NULL THEN 0.0 ELSE round(least(100.0, took * 100.0 / {HOLD_US}), 6) END AS progress FROM timed""")
 def hold_for(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = windows.hysteresis_band(events(spark, sf_dir), KEY, ORDER, F.col("value"), BAND)
     df = windows.hold_for(df, KEY, ORDER, F.col("state") == "pass", "us", HOLD_US)
