@@ -1,6 +1,7 @@
 """Every query that SQL can express gives what its DuckDB twin gives."""
 
 import glob
+import numbers
 import os
 
 import duckdb
@@ -22,7 +23,7 @@ def duck():
 
 def told(df: pd.DataFrame) -> list[tuple]:
     df = df[sorted(df.columns)]
-    rows = ([None if pd.isna(v) else round(float(v), 5) if isinstance(v, (int, float)) else v for v in r] for r in df.itertuples(index=False))
+    rows = ([None if pd.isna(v) else round(float(v), 5) if isinstance(v, numbers.Number) else v for v in r] for r in df.itertuples(index=False))
     return sorted(map(tuple, rows), key=str)
 
 
