@@ -27,6 +27,7 @@ FIT_DOCS = 6000
 BITS = 20
 HEADS = (4, 5, 6)
 CHI_SQUARE = 12.0
+COMMON = 0.02
 NOT_WORD = np.ones(256, bool)
 NOT_WORD[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
 ENDS = np.zeros(256, bool)
@@ -59,7 +60,7 @@ def bag_scores(z: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return -np.expm1(-np.bincount(doc, np.logaddexp(0, z), minlength=n))
 
 
-def fit(bags: list[tuple[bytes, bytes, int]], rounds: int = 400, rate: float = 0.3, ridge: float = 2e-4) -> Model:
+def fit(bags: list[tuple[bytes, bytes, int]], rounds: int = 400, rate: float = 0.3, ridge: float = 2e-5, lasso: float = 3e-5) -> Model:
     """From (features as int32 rows, sentence numbers as int32, label) of each document."""
     weights = np.zeros(1 << BITS, np.float32)
     y = np.array([b[2] for b in bags], float)
@@ -74,7 +75,8 @@ def fit(bags: list[tuple[bytes, bytes, int]], rounds: int = 400, rate: float = 0
     n, share = len(y), y.mean()
     expect = seen * share
     lift = (bad - expect) ** 2 / np.maximum(expect * (1 - share) * (1 - seen / (n + 1)), 1e-9)
-    chosen = np.flatnonzero((lift > CHI_SQUARE) & (bad > expect) & (bad >= 3))
+    often = max(3, COMMON * y.sum())  # groups of near copies share words that mean nothing
+    chosen = np.flatnonzero((lift > CHI_SQUARE) & (bad > expect) & (bad >= often))
     place = np.full(1 << BITS, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
     cols, sents, docs, total = [], [], [], 0
@@ -87,6 +89,8 @@ def fit(bags: list[tuple[bytes, bytes, int]], rounds: int = 400, rate: float = 0
         docs.append(np.full(count, i))
         total += count
     col, sent, doc = np.concatenate(cols), np.concatenate(sents), np.concatenate(docs)
+    pair = np.unique(sent * len(chosen) + col) if len(col) else np.zeros(0, np.int64)  # a word counts once a sentence
+    sent, col = pair // max(1, len(chosen)), pair % max(1, len(chosen))
     w, b = np.zeros(len(chosen)), -7.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, rounds + 1):
@@ -94,10 +98,10 @@ def fit(bags: list[tuple[bytes, bytes, int]], rounds: int = 400, rate: float = 0
         p = 1 / (1 + np.exp(-z))
         big = np.clip(bag_scores(z, doc, n), 1e-12, 1 - 1e-12)
         pull = np.where(y > 0, (1 - big) / big, -1.0)[doc] * p / n
-        grad = np.append(np.bincount(col, pull[sent], minlength=len(w)) - ridge * w, pull.sum())
+        grad = np.append(np.bincount(col, pull[sent], minlength=len(w)) - ridge * w - lasso, pull.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         step = rate * min(1, 20 / t**0.5 / 4) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-        w, b = w + step[:-1], b + step[-1]
+        w, b = np.maximum(0, w + step[:-1]), b + step[-1]  # a word can only offend
     weights[chosen] = w
     return Model(weights, float(b))
 
@@ -122,9 +126,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def _z(model: Model, texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Log-odds of every sentence, its document, start and end."""
     features, owner, doc, start, end = sentences(texts)
-    pull = model.weights[features].sum(axis=1, dtype=np.float64) if len(features) else np.zeros(0)
-    return model.bias + np.bincount(owner, pull, minlength=len(doc)), doc, start, end
+    row, head = np.nonzero(model.weights[features])
+    pair = np.unique((owner[row] << BITS) | features[row, head])
+    pull = model.weights[pair & ((1 << BITS) - 1)].astype(np.float64)
+    return model.bias + np.bincount(pair >> BITS, pull, minlength=len(doc)), doc, start, end
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
