@@ -19,6 +19,7 @@ in every other cell. Queries meet cells in blocks of BLOCK.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ CELL_ROWS = 4096
 PAGE = 256
 BLOCK = 4096
 SLACK = 1e-6
+#: The bound of a query whose first cell held too few vectors.
+NO_BOUND = -(1 << 62)
 
 
 def whole_vectors(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -149,36 +152,55 @@ class Cell:
         return [(-s, n) for s, n in found]
 
 
-def top_k(table: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: for each row whose id is divisible by every, its k best
-    other rows by inner product, ties to the smaller id (all, if there are fewer).
+@dataclass
+class Top:
+    """The top of the tree: pivots, their cells and the cells' covering radii. At most
+    MAX_PIVOTS pivots; a cell more for every CELL_ROWS vectors (65 numbers a pivot)."""
 
-    Equal vectors are one entry with their k + 1 least ids, which is all a result can hold;
-    rows are pruned to these before the shuffle, so thousands of copies cost one entry. Rows
-    that repeat an id and a vector count once. Vectors of unequal length are compared as if
-    zeros followed the shorter. Scores are exact below 2^53. An empty table gives no rows;
-    other columns are ignored.
-    """
-    spark = table.sparkSession
-    rows = written(
-        whole_vectors(table, id_col, vec_col).select("id", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(3), "v").alias("h2")), "vectors"
-    )
+    width: int
+    most: float  # largest squared norm
+    pivots: np.ndarray
+    parts: list[int]  # cells of each pivot
+    radius: np.ndarray  # of each cell; -inf for an empty one
+
+    @property
+    def first(self) -> np.ndarray:
+        """Each pivot's first cell."""
+        return np.concatenate(([0], np.cumsum(self.parts)))[:-1]
+
+    @property
+    def pivot_of(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.parts)), self.parts)
+
+    def reach(self, q: np.ndarray, score: int) -> float:
+        """No vector further from q scores as high."""
+        if score == NO_BOUND:
+            return np.inf
+        return np.sqrt(max(0.0, (q**2).sum() + self.most - 2 * score)) * (1 + SLACK) + SLACK
+
+
+def distinct_entries(rows: DataFrame, k: int) -> DataFrame:
+    """(h1, h2, v, ids): each vector once with its k + 1 least ids, which is all that a
+    result can hold. The limit is applied before the shuffle too."""
     least = Window.partitionBy("h1", "h2").orderBy("id")
-    entries = written(
+    return (
         rows.dropDuplicates(["h1", "h2", "id"])
         .withColumn("nth", F.row_number().over(least))
         .filter(F.col("nth") <= k + 1)
         .groupBy("h1", "h2")
-        .agg(F.first("v").alias("v"), F.array_sort(F.collect_list("id")).alias("ids")),
-        "entries",
+        .agg(F.first("v").alias("v"), F.array_sort(F.collect_list("id")).alias("ids"))
     )
+
+
+def placed_in_cells(entries: DataFrame) -> tuple[DataFrame, Top] | None:
+    """Entries with their cell, and the top of the tree; None without vectors. The driver
+    gets the pivots and a number or two for each pivot and cell."""
     norm = F.expr("aggregate(v, 0D, (s, x) -> s + x * x)")
     n, width, most = entries.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0)), F.coalesce(F.max(norm), F.lit(0.0))).first()
-    schema = "query_id long, rank int, vec_id long, score long"
     if not n or not width:
-        return spark.createDataFrame([], schema)
+        return None
     wanted = min(MAX_PIVOTS, -(-n // (CELL_ROWS // 2)))
-    chosen = entries.orderBy("h1", "h2").limit(wanted).select("v").collect()  # the hash order is a random one
+    chosen = entries.orderBy("h1", "h2").limit(wanted).select("v").collect()  # the order of hashes is random
     pivots = np.zeros((len(chosen), width))
     for i, r in enumerate(chosen):
         pivots[i, : len(r[0])] = r[0]
@@ -188,34 +210,33 @@ def top_k(table: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id",
         for batch in batches:
             d = _distances(_lift(_matrix(batch.column(0), width), most), pivots)
             near = d.argmin(axis=1)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(near)), near])],
-                ["v", "ids", "h1", "pivot", "apart"],
-            )
+            apart = d[np.arange(len(near)), near]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32)), pa.array(apart)], ["v", "ids", "h1", "pivot", "apart"])
 
     placed = written(entries.select("v", "ids", "h1").mapInArrow(place, "v array<bigint>, ids array<bigint>, h1 long, pivot int, apart double"), "placed")
-    sizes = {r[0]: r[1] for r in placed.groupBy("pivot").count().collect()}  # one row a pivot
-    parts = [max(1, -(-sizes.get(p, 0) // CELL_ROWS)) for p in range(len(pivots))]
-    first = np.concatenate(([0], np.cumsum(parts)))[:-1]
+    sizes = {r[0]: r[1] for r in placed.groupBy("pivot").count().collect()}
+    top = Top(width, most, pivots, [max(1, -(-sizes.get(p, 0) // CELL_ROWS)) for p in range(len(pivots))], np.zeros(0))
     at = F.col("pivot") + 1
-    cell = F.element_at(long_array(first.tolist()), at) + F.pmod("h1", F.element_at(long_array(parts), at))
+    cell = F.element_at(long_array(top.first.tolist()), at) + F.pmod("h1", F.element_at(long_array(top.parts), at))
     placed = placed.withColumn("cell", cell.cast("int"))
-    covers = placed.groupBy("cell").agg(F.max("apart").alias("radius")).collect()  # one row a cell
-    cell_pivot = np.repeat(np.arange(len(pivots)), parts)
-    radius = np.full(len(cell_pivot), -np.inf)
-    for r in covers:
-        radius[r[0]] = r[1]
+    top.radius = np.full(len(top.pivot_of), -np.inf)
+    for r in placed.groupBy("cell").agg(F.max("apart").alias("radius")).collect():
+        top.radius[r[0]] = r[1]
+    return placed, top
+
+
+def build_index(placed: DataFrame, top: Top) -> DataFrame:
+    """One row a page."""
 
     def build(key: tuple, cell: pa.Table) -> pa.Table:
-        x = _matrix(cell["v"], width)
-        c = key[0].as_py()
-        ids = cell["ids"].to_pylist()
-        pages = build_pages(_lift(x, most), pivots[cell_pivot[c]])
+        x, c, ids = _matrix(cell["v"], top.width), key[0].as_py(), cell["ids"].to_pylist()
+        pages = build_pages(_lift(x, top.most), top.pivots[top.pivot_of[c]])
         return pa.Table.from_arrays(
             [
                 pa.array([c] * len(pages), pa.int32()),
                 pa.array([x[p[0]].astype(np.int64).tolist() for p in pages], pa.list_(pa.int64())),
-                pa.array([p[1] for p in pages]), pa.array([p[2] for p in pages]),
+                pa.array([p[1] for p in pages]),
+                pa.array([p[2] for p in pages]),
                 pa.array([[ids[i] for i in p[3]] for p in pages], pa.list_(pa.list_(pa.int64()))),
                 pa.array([x[p[3]].astype(np.int64).tobytes() for p in pages], pa.binary()),
                 pa.array([p[4].tobytes() for p in pages], pa.binary()),
@@ -223,61 +244,76 @@ def top_k(table: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id",
             ["cell", "route", "up", "radius", "ids", "entries", "apart"],
         )
 
-    index = written(
-        placed.select("cell", "v", "ids").groupBy("cell").applyInArrow(build, "cell int, route array<bigint>, up double, radius double, ids array<array<bigint>>, entries binary, apart binary"),
-        "mtree",
-    )
-    asking = rows.filter(F.col("id") % every == 0).select("id", "h1", "h2", "v").dropDuplicates(["h1", "h2", "id"])
-    asked = written(asking.select("h1", "h2", "v").dropDuplicates(["h1", "h2"]), "queries")
-    blocks = max(1, asked.count() // BLOCK)
-    asked = asked.withColumn("block", F.pmod("h1", F.lit(blocks)).cast("int"))
-    searched = "h1 long, h2 long, score long, vec_id long"
+    schema = "cell int, route array<bigint>, up double, radius double, ids array<array<bigint>>, entries binary, apart binary"
+    return placed.select("cell", "v", "ids").groupBy("cell").applyInArrow(build, schema)
+
+
+def routed(queries: DataFrame, top: Top) -> DataFrame:
+    """queries (h1, h2, v, block, bound) with each cell that they must search: without a
+    bound one cell of the nearest pivot, else all others in reach of the bound."""
+    first, pivot_of, cells = top.first, top.pivot_of, np.arange(len(top.radius))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            q = _matrix(batch.column(2), top.width)
+            d = _distances(_query(q), top.pivots)
+            near = d.argmin(axis=1)
+            who, where = [np.zeros(0, int)], [np.zeros(0, int)]
+            for i, (h, bound) in enumerate(zip(batch.column(0).to_pylist(), batch.column(4).to_pylist(), strict=True)):
+                home = cells == first[near[i]] + h % top.parts[near[i]]
+                found = np.flatnonzero(home if bound is None else ~home & (d[i][pivot_of] - top.radius <= top.reach(q[i], bound)))
+                who.append(np.full(len(found), i))
+                where.append(found)
+            taken = batch.take(pa.array(np.concatenate(who)))
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(np.concatenate(where).astype(np.int32))], ["h1", "h2", "v", "block", "bound", "cell"])
+
+    rows = queries.select("h1", "h2", "v", "block", "bound")
+    return rows.mapInArrow(run, "h1 long, h2 long, v array<bigint>, block int, bound long, cell int")
+
+
+def searched(queries: DataFrame, index: DataFrame, top: Top, blocks: int, k: int) -> DataFrame:
+    """(h1, h2, score, vec_id): the k best of each query in each of its cells. Pages go once
+    to each block of queries, so that a task holds one cell and one block."""
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         if left.num_rows and right.num_rows:
-            cell = Cell(right, width, most, pivots[cell_pivot[right["cell"][0].as_py()]])
-            q = _matrix(left["v"], width)
-            bounds = left["bound"].to_pylist()
-            for i, (h1, h2) in enumerate(zip(left["h1"].to_pylist(), left["h2"].to_pylist(), strict=True)):
-                out += [(h1, h2, s, n) for s, n in cell.best(q[i], k + 1, -np.inf if bounds[i] is None else bounds[i])]
+            cell = Cell(right, top.width, top.most, top.pivots[top.pivot_of[right["cell"][0].as_py()]])
+            q = _matrix(left["v"], top.width)
+            for i, (h1, h2, bound) in enumerate(zip(*(left[c].to_pylist() for c in ("h1", "h2", "bound")), strict=True)):
+                out += [(h1, h2, s, n) for s, n in cell.best(q[i], k, -np.inf if bound in (None, NO_BOUND) else bound)]
         return pa.Table.from_arrays([pa.array([r[j] for r in out], pa.int64()) for j in range(4)], ["h1", "h2", "score", "vec_id"])
 
-    def meet(queries: DataFrame) -> DataFrame:
-        """queries: h1, h2, v, bound, cell, block. Pages go to each block once."""
-        pages = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        return queries.groupBy("cell", "block").cogroup(pages.groupBy("cell", "block")).applyInArrow(search, searched)
+    pages = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = queries.groupBy("cell", "block").cogroup(pages.groupBy("cell", "block"))
+    return met.applyInArrow(search, "h1 long, h2 long, score long, vec_id long")
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The cells of each query: without a bound its first one, else all others in reach."""
-        for batch in batches:
-            q = _matrix(batch.column(2), width)
-            d = _distances(_query(q), pivots)
-            home = first[d.argmin(axis=1)]
-            home = home + np.array([h % parts[p] for h, p in zip(batch.column(0).to_pylist(), d.argmin(axis=1), strict=True)])
-            bounds = batch.column(4).to_pylist()
-            who, where = [], []
-            for i, bound in enumerate(bounds):
-                if bound is None:
-                    cells = np.flatnonzero(np.arange(len(radius)) == home[i])
-                else:
-                    far = np.inf if bound == NO_BOUND else np.sqrt(max(0.0, (q[i] ** 2).sum() + most - 2 * bound)) * (1 + SLACK) + SLACK
-                    cells = np.flatnonzero((d[i][cell_pivot] - radius <= far) & (np.arange(len(radius)) != home[i]))
-                who.append(np.full(len(cells), i))
-                where.append(cells)
-            who = np.concatenate(who) if who else np.zeros(0, int)
-            taken = batch.take(pa.array(who))
-            bound = [None if b == NO_BOUND else b for b in taken.column(4).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*taken.columns[:4], pa.array(bound, pa.int64()), pa.array(np.concatenate(where).astype(np.int32) if where else [], pa.int32())],
-                ["h1", "h2", "v", "block", "bound", "cell"],
-            )
-
-    routed = "h1 long, h2 long, v array<bigint>, block int, bound long, cell int"
-    at_home = written(meet(asked.withColumn("bound", F.lit(None).cast("long")).select("h1", "h2", "v", "block", "bound").mapInArrow(route, routed)), "home")
-    bounds = at_home.groupBy("h1", "h2").agg(F.when(F.count("*") >= k + 1, F.min("score")).otherwise(F.lit(NO_BOUND)).alias("bound"))
-    bounded = asked.join(bounds, ["h1", "h2"], "left").select("h1", "h2", "v", "block", F.coalesce("bound", F.lit(NO_BOUND)).alias("bound"))
-    away = meet(bounded.mapInArrow(route, routed))
+
+def top_k(table: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """query_id, rank, vec_id, score: for each row whose id is divisible by every, its k best
+    other rows by inner product, ties to the smaller id (all, if there are fewer).
+
+    Rows that repeat an id and a vector count once. Vectors of unequal length are compared as
+    if zeros followed the shorter. Scores are exact below 2^53. An empty table gives no rows;
+    other columns are ignored. A query's own vector may be among its best, so k + 1 are
+    searched.
+    """
+    hashed = whole_vectors(table, id_col, vec_col).select("id", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(3), "v").alias("h2"))
+    rows = written(hashed, "vectors")
+    tree = placed_in_cells(written(distinct_entries(rows, k), "entries"))
+    if tree is None:
+        return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    placed, top = tree
+    index = written(build_index(placed, top), "mtree")
+    asking = rows.filter(F.col("id") % every == 0).dropDuplicates(["h1", "h2", "id"])
+    asked = written(asking.select("h1", "h2", "v").dropDuplicates(["h1", "h2"]), "queries")
+    blocks = max(1, asked.count() // BLOCK)
+    asked = asked.withColumn("block", F.pmod("h1", F.lit(blocks)).cast("int"))
+    unbounded = asked.withColumn("bound", F.lit(None).cast("long"))
+    at_home = written(searched(routed(unbounded, top), index, top, blocks, k + 1), "home")
+    bounds = at_home.groupBy("h1", "h2").agg(F.when(F.count("*") >= k + 1, F.min("score")).alias("bound"))
+    bounded = asked.join(bounds, ["h1", "h2"], "left").withColumn("bound", F.coalesce("bound", F.lit(NO_BOUND)))
+    away = searched(routed(bounded, top), index, top, blocks, k + 1)
     best = Window.partitionBy("h1", "h2").orderBy(F.col("score").desc(), "vec_id")
     merged = at_home.unionByName(away).withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= k + 1).drop("nth")
     own = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
@@ -289,6 +325,3 @@ def top_k(table: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id",
         .filter(F.col("rank") <= k)
         .select("query_id", "rank", "vec_id", "score")
     )
-
-
-NO_BOUND = -(1 << 62)
