@@ -60,7 +60,7 @@ def bag_scores(z: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return -np.expm1(-np.bincount(doc, np.logaddexp(0, z), minlength=n))
 
 
-def fit(bags: list[tuple[bytes, bytes, int]], rounds: int = 400, rate: float = 0.3, ridge: float = 2e-5, lasso: float = 3e-5) -> Model:
+def fit(bags: list[tuple[bytes, bytes, int]], rounds: int = 400, rate: float = 0.3, ridge: float = 3e-6, lasso: float = 3e-6, begin: float = 2.0) -> Model:
     """From (features as int32 rows, sentence numbers as int32, label) of each document."""
     weights = np.zeros(1 << BITS, np.float32)
     y = np.array([b[2] for b in bags], float)
@@ -91,7 +91,8 @@ def fit(bags: list[tuple[bytes, bytes, int]], rounds: int = 400, rate: float = 0
     col, sent, doc = np.concatenate(cols), np.concatenate(sents), np.concatenate(docs)
     pair = np.unique(sent * len(chosen) + col) if len(col) else np.zeros(0, np.int64)  # a word counts once a sentence
     sent, col = pair // max(1, len(chosen)), pair % max(1, len(chosen))
-    w, b = np.zeros(len(chosen)), -7.0
+    # All chosen words offend at first, so that blame falls on sentences that hold some.
+    w, b = np.full(len(chosen), begin), -7.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, rounds + 1):
         z = b + np.bincount(sent, w[col], minlength=total)
