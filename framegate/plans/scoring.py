@@ -179,7 +179,7 @@ def crop_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("vec_id", F.round("box.x", 4).alias("x"), F.round("box.y", 4).alias("y"), F.col("box.size").alias("size"))
 
 
-@query(f"""WITH {CROP}, sized AS (SELECT *, greatest(64.0, size * 3) AS s, greatest(0.0, x * 3) AS nx, greatest(0.0, y * 3) AS ny FROM crop),
+@query(f"""WITH {CROP}, sized AS (SELECT *, greatest(64e0, size * 3e0) AS s, greatest(0e0, x * 3) AS nx, greatest(0e0, y * 3) AS ny FROM crop),
   cut AS (SELECT *, CASE WHEN nx + s > 1920 THEN greatest(0.0, 1920 - s) ELSE nx END AS l, CASE WHEN ny + s > 1440 THEN greatest(0.0, 1440 - s) ELSE ny END AS t FROM sized),
   inside AS (SELECT *, s - (cx * 3 - l) AS ix, cy * 3 - t AS iy FROM cut),
   fine AS (SELECT *, ix > s * 0.05 AND ix < s * 0.95 AND iy > s * 0.05 AND iy < s * 0.95 AS ok FROM inside)
