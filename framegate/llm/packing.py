@@ -62,7 +62,7 @@ class WordIds(dict):
 
     def __missing__(self, word: str) -> bytes:
         core = word.rstrip(",.")
-        if core != word and core and core[-1].isalnum():
+        if core != word and core and core[-1].isalnum() and core[-1] < "\u0130":
             ids = self[core] + self[word[len(core) :]]
         elif word.islower() and word.isalpha() and max(word) < "\u0180":
             # Already normal and one piece: straight to the merges, a third of the time.

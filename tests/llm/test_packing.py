@@ -1,14 +1,17 @@
 import zlib
+from functools import cache
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from framegate.llm import packing, queries
 
 ODD = [
     "Don't STOP, I'll go... 'tis <|endoftext|>x, <|ENDOFTEXT|> a\xa0b　c ’x’", "ǰ J̌, Σας ΣΑΣ. İı É",
-    "42nd, 3.14, \xb2\xbd foo!. a.,.b,., \x1c\x1dz\x85", "", " ", ",", ".,.", "中文,文字. 日本語", "\xc4rger \xdcbel, \xc9t\xe9. STRASSE stra\xdfe",
+    "42nd, 3.14, \xb2\xbd foo!. a.,.b,., \x1c\x1dz\x85", "", " ", ",", ".,.", "中文,文字. 日本語", "\u0130. \u0130, \u0958. a\u0301.", "\xc4rger \xdcbel, \xc9t\xe9. STRASSE stra\xdfe",
 ]
 
 
@@ -23,6 +26,23 @@ def test_words_in_a_row_are_the_text(tokenizer, documents):
         assert words.encode(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+@given(st.one_of(st.text(max_size=40), st.text(alphabet="abcXYZ \xe9\xc9\xdf\xd1\u0149\u0131\u0130\u017f\xaa\xba\xb2.,!?'-_01\n\x1c\x85\xa0\u3000\u0301|<>", max_size=60)))
+@settings(max_examples=500, deadline=None, database=None)
+def test_any_text(text):
+    plain = _plain().encode(text, add_special_tokens=False).ids
+    assert _words().encode(text) == np.array(plain, "<u4").tobytes()
+
+
+@cache
+def _plain():
+    return Tokenizer.from_file(queries.tokenizer_path())
+
+
+@cache
+def _words():
+    return packing.WordIds(queries.tokenizer_path())
+
+
 def check_packed(rows):
     """No gap, no overlap, nothing over the capacity."""
     by = {}
