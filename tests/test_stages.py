@@ -52,6 +52,12 @@ def test_progression(spark):
     assert got == want and set(want.values()) == set(STAGES)
 
 
+def test_progression_shuffles_once(spark):
+    df = spark.createDataFrame(made(2, 5), SCHEMA)
+    plan = stages.stage_progression(df, ["s"], "us", "id", RULES)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Python" not in plan
+
+
 def test_report(spark):
     """Progress and messages of the state machine, at every row."""
     rows = made(30)
