@@ -25,7 +25,7 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
 SMALL = 10_000
-PER_SALT = 50_000
+PER_SALT = 2_000
 
 
 def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
