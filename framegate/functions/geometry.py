@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from framegate.presets import CROP, IRIS, NATIVE
+
 #: Places of an iris's points after its first: centre, top, bottom, left, right.
 CENTER, TOP, BOTTOM, LEFT, RIGHT = range(5)
 LEFT_IRIS, RIGHT_IRIS = 468, 473
@@ -27,8 +29,8 @@ def iris_geometry(points: Column, width: Column, height: Column) -> Column:
     at = lambda i, axis: F.get(points, F.lit(i))[axis]
     x, y, side = at(CENTER, "x"), at(CENTER, "y"), F.least(width, height)
     extent = F.greatest(F.abs(at(BOTTOM, "y") - at(TOP, "y")), F.abs(at(RIGHT, "x") - at(LEFT, "x")))
-    seen = x.between(0, width) & (y >= 0) & (y <= height * 0.7)
-    return F.when(seen, F.struct(x.alias("x"), y.alias("y"), F.greatest(side * 0.008, F.least(side * 0.12, extent)).alias("diameter")))
+    seen = x.between(0, width) & (y >= 0) & (y <= height * IRIS["lowest"])
+    return F.when(seen, F.struct(x.alias("x"), y.alias("y"), F.greatest(side * IRIS["least"], F.least(side * IRIS["most"], extent)).alias("diameter")))
 
 
 def face_bounds(pixels: Column) -> Column:
@@ -44,13 +46,13 @@ def _place(middle: Column, size: Column, most: Column) -> Column:
     return F.when(at + size > most, F.greatest(F.lit(0.0), most - size)).otherwise(at)
 
 
-def crop_box(points: Column, iris: Column, width: Column, height: Column, padding: float = 2.4, least: int = 32) -> Column:
+def crop_box(points: Column, iris: Column, width: Column, height: Column, padding: float = CROP["padding"], least: int = CROP["least"]) -> Column:
     """struct(x, y, size): a square around the iris. It is cut to the frame by its whole size,
     which is floored last. Without five points it is centred on the iris."""
     box = face_bounds(points)
     five = F.coalesce(F.size(points) >= 5, F.lit(False))
     across = iris["diameter"] * padding
-    size = F.greatest(F.lit(float(least)), F.when(five, F.greatest(F.greatest(box["width"], box["height"]) * padding, iris["diameter"] * 2.4)).otherwise(across))
+    size = F.greatest(F.lit(float(least)), F.when(five, F.greatest(F.greatest(box["width"], box["height"]) * padding, iris["diameter"] * CROP["padding"])).otherwise(across))
     cx = F.when(five, box["x"] + box["width"] / 2).otherwise(iris["x"])
     cy = F.when(five, box["y"] + box["height"] / 2).otherwise(iris["y"])
     return F.when(
@@ -63,7 +65,7 @@ def map_to_native(x: Column, y: Column, diameter: Column, box: Column, scale_x:
     frame in the camera's own pixels, and the iris in it, mirrored. The last three are NULL
     unless the iris lies within 5 % - 95 % of the crop."""
     scale = (scale_x + scale_y) / 2
-    size = F.greatest(F.lit(64.0), box["size"] * scale)
+    size = F.greatest(F.lit(NATIVE["least"]), box["size"] * scale)
 
     def cut(at: Column, most: Column) -> Column:
         at = F.greatest(F.lit(0.0), at)
@@ -71,8 +73,9 @@ def map_to_native(x: Column, y: Column, diameter: Column, box: Column, scale_x:
 
     left, top = cut(box["x"] * scale_x, width), cut(box["y"] * scale_y, height)
     inx, iny = size - (x * scale_x - left), y * scale_y - top
-    fine = (inx > size * 0.05) & (inx < size * 0.95) & (iny > size * 0.05) & (iny < size * 0.95)
+    low, high = size * NATIVE["margin"], size * (1 - NATIVE["margin"])
+    fine = (inx > low) & (inx < high) & (iny > low) & (iny < high)
     return F.struct(
         left.alias("crop_x"), top.alias("crop_y"), size.alias("crop_size"), F.when(fine, inx).alias("iris_x"), F.when(fine, iny).alias("iris_y"),
-        F.when(fine, diameter * scale * 1.6 / 2).alias("radius"),
+        F.when(fine, diameter * scale * NATIVE["iris_scale"] / 2).alias("radius"),
     )

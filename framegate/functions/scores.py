@@ -5,65 +5,67 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from framegate.presets import GUIDANCE
+from framegate.presets import CENTERING, DISTANCE, FOCUS, GATE, GUIDANCE, LIGHTING, LIVE, LOSS, PARTIAL, REPORT, STABLE_SECONDS, TOLD
 
 
 def _zero(value: Column) -> Column:
     return F.greatest(F.lit(0.0), value)
 
 
-def distance_score(diameter: Column, width: Column, height: Column) -> dict[str, Column]:
-    """Score, status and feedback of an iris diameter in a frame."""
-    ref = F.least(width, height)
-    low, high = ref * 0.07, ref * 0.24
-    mid, half = (low + high) / 2, (high - low) / 2
-    fine, near = diameter.between(low * 0.93, high), diameter < low
-    below, above = diameter / low, (diameter - high) / high
+def _graded(fine: Column, near: Column, share: Column, over: Column, off: Column, warn_below: float, warn_above: float, name: str) -> dict[str, Column]:
+    """Score, status and feedback of a measure that may be fine, below or above: off is how
+    far a fine one is from its ideal, share what part of the lower bound a low one reaches,
+    over by what part a high one passes the upper bound."""
+    ok, low, high = TOLD[name]
     return {
-        "distance_score": F.when(fine, _zero(100 - F.abs(diameter - mid) / half * 30)).when(near, 70 * below).otherwise(_zero(70 - 70 * above)),
-        "distance_status": F.when(fine, "ok").when(near, F.when(below > 0.4, "warn").otherwise("fail")).when(above < 0.6, "warn").otherwise("fail"),
-        "distance_feedback": F.when(fine, "Perfect distance").when(near, "Move closer").otherwise("Move back"),
+        f"{name}_score": F.when(fine, _zero(100 - off * LOSS)).when(near, PARTIAL * share).otherwise(_zero(PARTIAL - PARTIAL * over)),
+        f"{name}_status": F.when(fine, "ok").when(F.when(near, share > warn_below).otherwise(over < warn_above), "warn").otherwise("fail"),
+        f"{name}_feedback": F.when(fine, ok).when(near, low).otherwise(high),
     }
 
 
+def distance_score(diameter: Column, width: Column, height: Column) -> dict[str, Column]:
+    """Score, status and feedback of an iris diameter in a frame."""
+    d, ref = DISTANCE, F.least(width, height)
+    low, high = ref * d["low"], ref * d["high"]
+    off = F.abs(diameter - (low + high) / 2) / ((high - low) / 2)
+    fine = diameter.between(low * d["ok_from"], high)
+    return _graded(fine, diameter < low, diameter / low, (diameter - high) / high, off, d["warn_below"], d["warn_above"], "distance")
+
+
 def lighting_score(brightness: Column) -> dict[str, Column]:
-    fine, dark = brightness.between(100, 180), brightness < 100
-    low, high = brightness / 100, (brightness - 180) / 75
-    return {
-        "lighting_score": F.when(fine, _zero(100 - F.abs(brightness - 140) / 40 * 30)).when(dark, 70 * low).otherwise(_zero(70 - 70 * high)),
-        "lighting_status": F.when(fine, "ok").when(dark, F.when(low > 0.7, "warn").otherwise("fail")).when(high < 0.3, "warn").otherwise("fail"),
-        "lighting_feedback": F.when(fine, "Good lighting").when(dark, "Too dark").otherwise("Too bright"),
-    }
+    g = LIGHTING
+    off = F.abs(brightness - g["ideal"]) / g["half"]
+    fine = brightness.between(g["low"], g["high"])
+    return _graded(fine, brightness < g["low"], brightness / g["low"], (brightness - g["high"]) / g["above"], off, g["warn_below"], g["warn_above"], "lighting")
 
 
 def centering_score(x: Column, y: Column, width: Column, height: Column) -> dict[str, Column]:
     ratio = F.least(F.lit(1.0), F.hypot(x - width / 2, y - height / 2) / (F.least(width, height) / 2))
     score = _zero((1 - ratio) * 100)
-    return {
-        "centering_ratio": ratio,
-        "centering_score": score,
-        "centering_status": F.when(score >= 20, "ok").when(score >= 10, "warn").otherwise("fail"),
-    }
+    status = F.when(score >= CENTERING["ok"], "ok").when(score >= CENTERING["warn"], "warn").otherwise("fail")
+    return {"centering_ratio": ratio, "centering_score": score, "centering_status": status}
 
 
-def focus_status(focus: Column, crop_size: Column, ok: float = 100.0, warn: float = 50.0, least: int = 16) -> dict[str, Column]:
+def focus_status(focus: Column, crop_size: Column, ok: float = FOCUS["ok"], warn: float = FOCUS["warn"], least: int = FOCUS["least_pixels"]) -> dict[str, Column]:
     """Status of a smoothed focus; without a crop, or with one below least pixels, it fails."""
     none, small = crop_size.isNull(), crop_size < least
+    sharp, almost, blurry = TOLD["focus"]
     return {
         "focus_score": F.when(none | small, 0.0).otherwise(focus),
         "focus_status": F.when(none | small, "fail").when(focus >= ok, "ok").when(focus >= warn, "warn").otherwise("fail"),
-        "focus_feedback": F.when(none, "Blurry").when(small, "Move closer").when(focus >= ok, "Sharp").when(focus >= warn, "Almost sharp").otherwise("Blurry"),
+        "focus_feedback": F.when(none, blurry).when(small, TOLD["distance"][1]).when(focus >= ok, sharp).when(focus >= warn, almost).otherwise(blurry),
     }
 
 
 def no_detection_row(detected: Column, columns: dict[str, Column]) -> dict[str, Column]:
     """columns, but for an undetected frame: scores 0, statuses fail, ratio 1."""
-    blank = {"score": F.lit(0.0), "status": F.lit("fail"), "feedback": F.lit("No face detected"), "ratio": F.lit(1.0), "brightness": F.lit(0.0)}
+    blank = {"score": F.lit(0.0), "status": F.lit("fail"), "feedback": F.lit(TOLD["no_face"]), "ratio": F.lit(1.0), "brightness": F.lit(0.0)}
     return {name: F.when(detected, c).otherwise(blank[name.rsplit("_", 1)[-1]]) for name, c in columns.items()}
 
 
 def score_gate(detected: Column, distance: Column, lighting: Column, centering: Column, focus: Column) -> Column:
-    return detected & (distance >= 60) & (lighting >= 50) & (centering >= 35) & (focus >= 80)
+    return detected & (distance >= GATE["distance"]) & (lighting >= GATE["lighting"]) & (centering >= GATE["centering"]) & (focus >= GATE["focus"])
 
 
 def traffic_light(detected: Column, gate: Column) -> Column:
@@ -81,31 +83,31 @@ def live_guidance(
 ) -> Column:
     """The one message to show while a camera runs; the first rule that applies."""
     fine = (distance == "ok") & (centering == "ok") & (lighting == "ok")
-    return (
-        F.when(~detected, "Align one eye in the circle")
-        .when(~crop, "Hold steady...")
-        .when(focus == "fail", "Image is blurry — hold still to focus")
-        .when(focus == "warn", "Almost sharp — keep still...")
-        .when(~locked, "Perfect focus. Hold still...")
-        .when(angle_known & ~angle_ok, "Aim light at hairline — tilt phone back")
-        .when(distance == "fail", distance_feedback)
-        .when(centering == "fail", "Center your eye in the circle")
-        .when(lighting == "fail", "Move to better lighting")
-        .when(fine & countdown.isNull(), "Perfect. Hold still...")
-        .when(countdown.isNotNull(), F.concat(F.lit("Hold still... "), countdown.cast("string")))
-        .otherwise("Almost there...")
+    rules = (
+        (~detected, LIVE["undetected"]),
+        (~crop, LIVE["no_crop"]),
+        (focus == "fail", LIVE["focus_fail"]),
+        (focus == "warn", LIVE["focus_warn"]),
+        (~locked, LIVE["not_locked"]),
+        (angle_known & ~angle_ok, LIVE["angle"]),
+        (distance == "fail", distance_feedback),
+        (centering == "fail", LIVE["centering"]),
+        (lighting == "fail", LIVE["lighting"]),
+        (fine & countdown.isNull(), LIVE["perfect"]),
+        (countdown.isNotNull(), F.concat(F.lit(LIVE["countdown"]), countdown.cast("string"))),
     )
+    return F.coalesce(*[F.when(holds, text) for holds, text in rules], F.lit(LIVE["almost"]))
 
 
-def report_feedback(detected: Column, stable_s: Column, needed_s: int = 3, **parts: Column) -> Column:
+def report_feedback(detected: Column, stable_s: Column, needed_s: int = STABLE_SECONDS, **parts: Column) -> Column:
     """Failures first, then warnings, each as distance, centering, lighting, focus; then how
     long to hold. parts: <name>_status and <name>_feedback of the four."""
-    out = F.when(detected.isNull(), "Initializing...").when(~detected, "Position your eye in frame")
+    out = F.when(detected.isNull(), REPORT["none"]).when(~detected, REPORT["undetected"])
     for level in ("fail", "warn"):
         for name in ("distance", "centering", "lighting", "focus"):
             out = out.when(parts[f"{name}_status"] == level, parts[f"{name}_feedback"])
-    left = F.concat(F.lit("Hold steady... "), (F.lit(needed_s) - stable_s).cast("string"), F.lit("s"))
-    return out.when((stable_s > 0) & (stable_s < needed_s), left).otherwise("Perfect! Hold steady...")
+    left = F.concat(F.lit(REPORT["steady"]), (F.lit(needed_s) - stable_s).cast("string"), F.lit("s"))
+    return out.when((stable_s > 0) & (stable_s < needed_s), left).otherwise(REPORT["perfect"])
 
 
 def condition_priority(failed: Column) -> Column:

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DARK, GLARE = 30.0, 240.0
+from framegate.presets import DARK, FOCUS_GRADIENT, FOCUS_VARIANCE, GLARE, LUMA
 
 
 def _inner(gray: Column, width: int) -> Column:
@@ -52,7 +52,7 @@ def raster_focus(df: DataFrame, gray: str, width: int, out: str = "focus") -> Da
     grad = F.transform(_inner(F.col(gray), width), lambda i: F.sqrt(F.pow(at(i + 1) - at(i - 1), F.lit(2)) + F.pow(at(i + width) - at(i - width), F.lit(2))))
     df = df.withColumns({"_m": _mean(F.col(gray)), "_lap": _laplacian(F.col(gray), width), "_grad": grad})
     mean_grad = F.when(F.size("_grad") == 0, 0.0).otherwise(_mean(F.col("_grad")))
-    score = 100 * (0.7 * _variance(F.col("_lap")) + 3 * mean_grad) / (F.col("_m") + 1)
+    score = 100 * (FOCUS_VARIANCE * _variance(F.col("_lap")) + FOCUS_GRADIENT * mean_grad) / (F.col("_m") + 1)
     return df.withColumn(out, F.when((F.col("_m") < DARK) | (F.col("_m") > GLARE), 0.0).otherwise(score)).drop("_m", "_lap", "_grad")
 
 
@@ -80,7 +80,7 @@ def measures(gray: np.ndarray) -> tuple[float, float, float]:
     var = float((lap**2).mean() - lap.mean() ** 2)
     grad = float(np.sqrt((gray[1:-1, 2:] - gray[1:-1, :-2]) ** 2 + (gray[2:, 1:-1] - gray[:-2, 1:-1]) ** 2).mean())
     mean = float(gray.mean())
-    focus = 0.0 if mean < DARK or mean > GLARE else 100 * (0.7 * var + 3 * grad) / (mean + 1)
+    focus = 0.0 if mean < DARK or mean > GLARE else 100 * (FOCUS_VARIANCE * var + FOCUS_GRADIENT * grad) / (mean + 1)
     return bright, max(0.0, var), focus
 
 
@@ -96,7 +96,7 @@ def raster_metrics(images: DataFrame, id_col: str = "path") -> DataFrame:
                     out.append((name, None, None, None))
                     continue
                 px = np.frombuffer(data, np.uint8).reshape(h, w, c).astype(np.float64)
-                gray = px[..., 0] if c == 1 else 0.114 * px[..., 0] + 0.587 * px[..., 1] + 0.299 * px[..., 2]
+                gray = px[..., 0] if c == 1 else px[..., :3] @ np.array(LUMA[::-1])
                 out.append((name, *measures(gray)))
             yield pd.DataFrame(out, columns=[id_col, "brightness", "sharpness", "focus"])
 

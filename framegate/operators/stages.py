@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framegate.operators.windows import Names, hold_for, known, latch, run_length
-from framegate.presets import STAGES, StageRules
+from framegate.presets import STAGE_TOLD, STAGES, StageRules
 
 
 def _within(value: Column, low: float, high: float) -> Column:
@@ -81,7 +81,7 @@ def stage_report(df: DataFrame, key: Names, us: str, tie: str, rules: StageRules
     A row that completes a stage reports the start of the next."""
     df = stage_progression(df, key, us, tie, rules)
     order, band, bright = (us, tie), rules.diameter, rules.brightness
-    share = F.col("iris_diameter") / rules.reference_height
+    share = known(F.col("iris_diameter") / rules.reference_height)
     on1 = F.col("stage_number") == 1
     # Holds restart with their stage: the clocks run over the rows of that stage alone.
     df = latch(df, [*key, "stage_number"], order, _within(share, band.low, band.high), ~_within(share, band.low - band.margin, band.high + band.margin), "_near")
@@ -101,21 +101,16 @@ def stage_report(df: DataFrame, key: Names, us: str, tie: str, rules: StageRules
         .when(entered, F.col("_h3_progress"))
         .otherwise(100.0)
     )
-    message = (
-        F.when(on1, F.when(share < band.low, "Move Closer").when(share > band.high, "Move Back").otherwise("Perfect Distance"))
-        .when(
-            F.col("stage_number") == 2,
-            F.when(~F.coalesce("is_raised", F.lit(False)), "Raise Your Eyebrows").when(F.col("_count") < rules.raised_frames / 2, "Hold Them Raised...").otherwise("Good! Keep Going"),
-        )
-        .when(
-            entered,
-            F.when(F.col("centering_ratio") > rules.centering_max, "Center Your Eye")
-            .when(F.col("sharpness") < rules.sharpness_min, "Tap to Focus")
-            .when(F.col("brightness") < bright.low, "Move to Better Light")
-            .otherwise("Almost Ready..."),
-        )
-        .otherwise("Hold Still!")
+    second = F.col("stage_number") == 2
+    (closer, back, right), (raise_, hold, good) = STAGE_TOLD["distance"], STAGE_TOLD["eyebrows"]
+    center, tap, light, almost = STAGE_TOLD["final_checks"]
+    rules = (
+        (on1 & (share < band.low), closer), (on1 & (share > band.high), back), (on1, right),
+        (second & ~F.coalesce("is_raised", F.lit(False)), raise_), (second & (F.col("_count") < rules.raised_frames / 2), hold), (second, good),
+        (entered & (known(F.col("centering_ratio")) > rules.centering_max), center), (entered & (F.col("sharpness") < rules.sharpness_min), tap),
+        (entered & (F.col("brightness") < bright.low), light), (entered, almost),
     )
+    message = F.coalesce(*[F.when(holds, text) for holds, text in rules], F.lit(STAGE_TOLD["ready"]))
     df = df.withColumns({"progress": progress, "message": message})
     df = df.withColumn("can_advance", F.col("progress") >= 100.0)
     return df.drop("_near", "_h1", "_h1_progress", "_counts3", "_fine", "_h3", "_h3_progress", "_count", "_held1_progress", "_held3_progress")

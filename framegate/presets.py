@@ -48,6 +48,52 @@ GUIDANCE = (
 )
 
 
+#: Fixed values of the frame scores: shares of the frame's short side, brightness, focus.
+DISTANCE = {"low": 0.07, "high": 0.24, "ok_from": 0.93, "warn_below": 0.4, "warn_above": 0.6}
+LIGHTING = {"low": 100, "high": 180, "ideal": 140, "half": 40, "above": 75, "warn_below": 0.7, "warn_above": 0.3}
+CENTERING = {"ok": 20, "warn": 10}
+FOCUS = {"ok": 100.0, "warn": 50.0, "least_pixels": 16}
+LOSS, PARTIAL = 30, 70
+GATE = {"distance": 60, "lighting": 50, "centering": 35, "focus": 80}
+STABLE_SECONDS = 3
+#: Fixed values of iris geometry: shares of the frame, and of the crop around an iris.
+IRIS = {"least": 0.008, "most": 0.12, "lowest": 0.7}
+CROP = {"padding": 2.4, "least": 32}
+NATIVE = {"least": 64.0, "margin": 0.05, "iris_scale": 1.6}
+#: Fixed values of raster focus: means outside [DARK, GLARE] score 0; weights of its terms.
+DARK, GLARE = 30.0, 240.0
+FOCUS_VARIANCE, FOCUS_GRADIENT = 0.7, 3
+LUMA = (0.299, 0.587, 0.114)
+
+#: Fixed texts: what a user is told.
+TOLD = {
+    "distance": ("Perfect distance", "Move closer", "Move back"),
+    "lighting": ("Good lighting", "Too dark", "Too bright"),
+    "focus": ("Sharp", "Almost sharp", "Blurry"),
+    "no_face": "No face detected",
+}
+LIVE = {
+    "undetected": "Align one eye in the circle",
+    "no_crop": "Hold steady...",
+    "focus_fail": "Image is blurry — hold still to focus",
+    "focus_warn": "Almost sharp — keep still...",
+    "not_locked": "Perfect focus. Hold still...",
+    "angle": "Aim light at hairline — tilt phone back",
+    "centering": "Center your eye in the circle",
+    "lighting": "Move to better lighting",
+    "perfect": "Perfect. Hold still...",
+    "countdown": "Hold still... ",
+    "almost": "Almost there...",
+}
+REPORT = {"none": "Initializing...", "undetected": "Position your eye in frame", "steady": "Hold steady... ", "perfect": "Perfect! Hold steady..."}
+STAGE_TOLD = {
+    "distance": ("Move Closer", "Move Back", "Perfect Distance"),
+    "eyebrows": ("Raise Your Eyebrows", "Hold Them Raised...", "Good! Keep Going"),
+    "final_checks": ("Center Your Eye", "Tap to Focus", "Move to Better Light", "Almost Ready..."),
+    "ready": "Hold Still!",
+}
+
+
 @dataclass(frozen=True)
 class StageRules:
     """What the four stages of a capture ask for. Times in microseconds."""
