@@ -8,6 +8,7 @@ forward-backward marginals, weighted by length.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +23,8 @@ from framegate.llm.textvec import BLANK, Spans, chunks, joined
 
 FIT_DOCS = 6000
 CHAIN = 64
-HINGES = (0.05, 0.25, 0.5, 0.75, 0.95)
+FIT_LINES = 120_000
+HINGES = (0.1, 0.5, 0.9)
 
 
 def _class(*groups: bytes) -> np.ndarray:
@@ -102,8 +104,13 @@ class Model:
     move: np.ndarray  # 2 x 2, from bad/good to bad/good
 
     def basis(self, x: np.ndarray) -> np.ndarray:
-        parts = [np.ones((len(x), 1)), x, *[np.maximum(0, x - k) for k in self.knots]]
-        return np.concatenate(parts, axis=1) / self.scale
+        out = np.empty((len(x), len(self.scale)), np.float32)
+        width = x.shape[1]
+        out[:, 0], out[:, 1 : 1 + width] = 1, x
+        for i, knot in enumerate(self.knots):
+            np.maximum(0, x - knot, out=out[:, 1 + width * (i + 1) : 1 + width * (i + 2)])
+        out /= self.scale
+        return out
 
 
 def _grid(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -150,12 +157,12 @@ def marginals(z: np.ndarray, lengths: np.ndarray, start: float, move: np.ndarray
 def fit(lines: np.ndarray, lengths: np.ndarray, y: np.ndarray, rounds: int = 250, rate: float = 0.15, ridge: float = 1e-3) -> Model:
     """lines: features of all chains' lines in turn; lengths, y: lines and label of each."""
     width = lines.shape[1]
-    knots = np.quantile(lines, HINGES, axis=0) if len(lines) else np.zeros((len(HINGES), width))
-    model = Model(knots, np.ones(1 + width * (1 + len(HINGES))), np.zeros(1 + width * (1 + len(HINGES))), 0.0, np.zeros((2, 2)))
+    knots = (np.quantile(lines, HINGES, axis=0) if len(lines) else np.zeros((len(HINGES), width))).astype(np.float32)
+    model = Model(knots, np.ones(1 + width * (1 + len(HINGES)), np.float32), np.zeros(1 + width * (1 + len(HINGES))), 0.0, np.zeros((2, 2)))
     if not len(y):
         return model
     x = model.basis(lines)
-    model.scale = np.maximum(np.sqrt((x**2).mean(axis=0)), 1e-3)
+    model.scale = np.maximum(np.sqrt(np.einsum("ij,ij->j", x, x) / len(x)), 1e-3).astype(np.float32)
     x /= model.scale
     label = np.repeat(y, lengths).astype(float)
     told = np.zeros((2, 2))
@@ -166,8 +173,8 @@ def fit(lines: np.ndarray, lengths: np.ndarray, y: np.ndarray, rounds: int = 250
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, rounds + 1):
         w, start, move = theta[:-5], theta[-5], theta[-4:].reshape(2, 2)
-        good, joint, begun = marginals(x @ w, lengths, start, move, pairs=True)
-        grad = np.concatenate((x.T @ (label - good), [y.sum() - begun], (told - joint).ravel())) / len(y)
+        good, joint, begun = marginals((x @ w.astype(np.float32)).astype(float), lengths, start, move, pairs=True)
+        grad = np.concatenate((x.T @ (label - good).astype(np.float32), [y.sum() - begun], (told - joint).ravel())) / len(y)
         grad -= ridge * theta
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta = theta + rate / (1 + t / 60) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
@@ -176,8 +183,9 @@ def fit(lines: np.ndarray, lengths: np.ndarray, y: np.ndarray, rounds: int = 250
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_docs: int = FIT_DOCS) -> Model:
-    """Learns from at most fit_docs labelled rows (see labelled.sample). Executors make the
-    line features; the driver gets those of the sample alone."""
+    """Learns from at most fit_docs labelled rows (see labelled.sample), and from no further
+    ones once FIT_LINES lines are there. Executors make the line features; the driver gets
+    those of the sample alone."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,22 +196,25 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.binary()), pa.array([r[1] for r in out], pa.int64())], ["f", "y"])
 
     rows = sample(docs, labels, id_col, text_col, label_col, fit_docs)
-    found = sorted((bytes(r[0]), r[1]) for r in rows.select("text", "y").mapInArrow(run, "f binary, y long").collect())
+    found = [(bytes(r[0]), r[1]) for r in rows.select("text", "y").mapInArrow(run, "f binary, y long").collect()]
+    found.sort(key=lambda r: (zlib.crc32(r[0]), r))  # an order of its own, so that the fit is that of the rows
     width = line_features([b""])[0].shape[1]
-    chains, lengths, y = [], [], []
-    for raw, label in found:
+    chains, lengths, y, n = [np.zeros((0, width), np.float32)], [], [], 0
+    while found and n < FIT_LINES:
+        raw, label = found.pop()
         x = np.frombuffer(raw, np.float32).reshape(-1, width)
+        n += len(x)
         for i in range(0, len(x), CHAIN):
             chains.append(x[i : i + CHAIN])
             lengths.append(len(chains[-1]))
             y.append(label)
-    return fit(np.concatenate(chains) if chains else np.zeros((0, width), np.float32), np.array(lengths, int), np.array(y, int))
+    return fit(np.concatenate(chains), np.array(lengths, int), np.array(y, int))
 
 
 def line_scores(model: Model, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(P(good), document, weight) of every line."""
     x, doc, weight = line_features(texts)
-    z = np.concatenate([model.basis(x[i : i + 50_000]) @ model.weights for i in range(0, len(x), 50_000)])
+    z = np.concatenate([(model.basis(x[i : i + 50_000]) @ model.weights.astype(np.float32)).astype(float) for i in range(0, len(x), 50_000)])
     return marginals(z, np.bincount(doc, minlength=len(texts)), model.start, model.move), doc, weight
 
 
