@@ -206,10 +206,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     named = (
         components(docs, id_col, text_col)
         .filter(F.col("component_id").isNotNull())
-        .select(F.col("component_id").alias("kept_id"))
+        .select(F.col("component_id").alias("_kept_id"))
         .distinct()
     )
     one = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))
-    kept = docs.join(named, docs[id_col] == F.col("kept_id"), "left_semi")
-    kept = kept.withColumn("nth_of_id", one).filter("nth_of_id = 1").drop("nth_of_id")
+    kept = docs.join(named, docs[id_col] == F.col("_kept_id"), "left_semi")
+    kept = kept.withColumn("_nth_of_id", one).filter("_nth_of_id = 1").drop("_nth_of_id")
     return kept.unionByName(docs.filter(F.col(id_col).isNull()))
