@@ -1,7 +1,8 @@
 import numpy as np
+import pytest
 import xxhash
 
-from framegate.llm import queries, simhash
+from framegate.llm import graph, queries, simhash
 
 
 def brute_fp(text):
@@ -95,11 +96,15 @@ def test_a_large_group_is_joined_as_pairs_would(monkeypatch):
     assert all(pairs[i] == pairs[table[i]] for i in range(len(fps)))  # and joins nothing else
 
 
-def test_chains_and_copies(spark):
-    """A chain of fingerprints, each within reach of the next only, is one component."""
-    from framegate.llm.graph import stars
-
-    links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (100, 102)] + [(7, 7)], "a long, b long")
+@pytest.mark.parametrize("many", [1_000_000, 1])
+def test_chains_and_copies(spark, monkeypatch, many):
+    """A chain of fingerprints, each within reach of the next only, is one component; hubs
+    are joined the other way."""
+    monkeypatch.setattr(graph, "MANY", many)
+    monkeypatch.setattr(graph, "SHARE", 20)
+    stars = graph.stars
+    links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (100, 102)] + [(7, 7)] + [(200, i) for i in range(201, 240)], "a long, b long")
     got = {r.node: r.root for r in stars(links).collect()}
     assert all(got[i] == 0 for i in range(1, 61)) and got[101] == got[102] == 100
+    assert all(got[i] == 200 for i in range(201, 240))
     assert stars(links.limit(0)).count() == 0
