@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from framegate.llm import likeness
 from framegate.llm.common import bounded_batches, written
 from framegate.llm.graph import stars
 from framegate.llm.textvec import U64
@@ -179,11 +180,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     rows = written(fingerprints(docs, id_col, text_col), "simhash")
     distinct = written(rows.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
-    keyed = distinct.select("fp").mapInArrow(_emit, "key long, fp long")
-    linked = (
-        keyed.repartition(_key_partitions(docs, distinct), "key").sortWithinPartitions("key").mapInArrow(_links, "a long, b long")
-    )
-    root = stars(linked.distinct())
+    root = stars(_ball_links(distinct, _key_partitions(docs, distinct)).distinct())
     named = distinct.join(root, distinct.fp == root.node, "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
@@ -194,6 +191,12 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
+def _ball_links(distinct: DataFrame, parts: int) -> DataFrame:
+    """Linked pairs (a, b) of distinct(fp), a forest for each key."""
+    keyed = distinct.select("fp").mapInArrow(_emit, "key long, fp long")
+    return keyed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_links, "a long, b long")
+
+
 def _key_partitions(docs: DataFrame, distinct: DataFrame) -> int:
     """About a million keys a task."""
     spark = docs.sparkSession
@@ -201,15 +204,64 @@ def _key_partitions(docs: DataFrame, distinct: DataFrame) -> int:
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component: the one whose id names it. Rows that share an id
-    are one document, of which the least text stays. Rows with a null id all stay."""
-    named = (
-        components(docs, id_col, text_col)
-        .filter(F.col("component_id").isNotNull())
-        .select(F.col("component_id").alias("_kept_id"))
-        .distinct()
-    )
+    """docs with one row of each group of near copies: that of the least id.
+
+    Texts are linked by their fingerprints, as in components(), and where their sets of
+    five-word shingles are alike by 4/5 (likeness.py), which no pair escapes. Rows that share
+    an id are one document, of which the least text stays. Rows with a null id all stay."""
+    bounded_batches(docs.sparkSession)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(text.alias("t"), F.xxhash64(text).alias("th"))
+    rows = written(_features(docs, id_col, text_col, likeness.common_shingles(texts)), "near-rows")
+    distinct = written(rows.groupBy("fp").agg(F.min("id").alias("least")), "near-distinct")
+    parts = _key_partitions(docs, distinct)
+    sets = rows.select("node", "fp", "n", "th", "prefix", "bits").dropDuplicates(["node"])
+    sets = written(sets, "near-sets")
+    links = _ball_links(distinct, parts).distinct()
+    # Equal sets may have several fingerprints (words repeat).
+    same = rows.select("node", "fp").distinct().join(sets.select("node", F.col("fp").alias("a")), "node").select("a", F.col("fp").alias("b"))
+    links = written(links.union(same.filter("a <> b")), "near-links")
+    of_fp = sets.select("node", "fp")
+    roots, groups = _roots(of_fp, stars(links)), None
+    for every_pair in (False, True):
+        if groups is None:
+            groups = likeness.shared_groups(sets.join(roots, "node"), parts)
+        more = likeness.alike(groups, roots, sets, texts, parts, every_pair)
+        more = more.join(of_fp.select(F.col("node").alias("a"), F.col("fp").alias("fa")), "a")
+        more = more.join(of_fp.select(F.col("node").alias("b"), F.col("fp").alias("fb")), "b")
+        links = written(links.union(more.select(F.col("fa").alias("a"), F.col("fb").alias("b"))), "near-links")
+        root = stars(links)
+        roots = _roots(of_fp, root)
+    named = distinct.join(root, distinct.fp == root.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    least = named.groupBy("root").agg(F.min("least").alias("_kept_id")).select("_kept_id").filter("_kept_id is not null").distinct()
     one = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))
-    kept = docs.join(named, docs[id_col] == F.col("_kept_id"), "left_semi")
+    kept = docs.join(least, docs[id_col] == F.col("_kept_id"), "left_semi")
     kept = kept.withColumn("_nth_of_id", one).filter("_nth_of_id = 1").drop("_nth_of_id")
     return kept.unionByName(docs.filter(F.col(id_col).isNull()))
+
+
+def _roots(of_fp: DataFrame, root: DataFrame) -> DataFrame:
+    """(node, root) of every set, from the roots of fingerprints."""
+    root = root.select(F.col("node").alias("fp"), "root")
+    return written(of_fp.join(root, "fp", "left").select("node", F.coalesce("root", "fp").alias("root")), "near-roots")
+
+
+def _features(docs: DataFrame, id_col: str, text_col: str, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(id, th, fp, node, n, prefix, bits) of every row: a hash of its text, its fingerprint,
+    and the name, size, prefix and bitmap of its set of five-word shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t.encode() for t in batch.column(2).to_pylist()]
+            fps = np.array([fingerprint(t) for t in texts], U64).view(np.int64)
+            found = [(k, len(s), likeness.prefix(s, common).view(np.int64), likeness.bitmap(s)) for k, s in likeness.shingle_sets(texts)]
+            node, n, first, bits = zip(*found, strict=True) if found else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(fps), pa.array(node, pa.int64()), pa.array(n, pa.int32())]
+                + [pa.array(x, pa.list_(pa.int64())) for x in (first, bits)],
+                ["id", "th", "fp", "node", "n", "prefix", "bits"],
+            )
+
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("t"))
+    return rows.mapInArrow(run, "id long, th long, fp long, node long, n int, prefix array<long>, bits array<long>")
