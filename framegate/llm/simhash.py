@@ -208,7 +208,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Texts are linked by their fingerprints, as in components(), and where their sets of
     five-word shingles are alike by 4/5 (likeness.py), which no pair escapes. Rows that share
-    an id are one document, of which the least text stays. Rows with a null id all stay."""
+    an id but not a text may lie in different groups; each group looks at its own. In a group
+    they are one document, of which the least text stays. Rows with a null id all stay."""
     bounded_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(text.alias("t"), F.xxhash64(text).alias("th"))
@@ -233,10 +234,13 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         root = stars(links)
         roots = _roots(of_fp, root)
     named = distinct.join(root, distinct.fp == root.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("_kept_id")).select("_kept_id").filter("_kept_id is not null").distinct()
-    one = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))
-    kept = docs.join(least, docs[id_col] == F.col("_kept_id"), "left_semi")
-    kept = kept.withColumn("_nth_of_id", one).filter("_nth_of_id = 1").drop("_nth_of_id")
+    least = named.groupBy("root").agg(F.min("least").alias("least_id"))
+    of = named.select("fp", "root").join(least, "root")
+    keep = rows.join(of, "fp").filter(F.col("id") == F.col("least_id")).select("id", "th", "root").distinct()
+    keep = keep.groupBy(F.col("id").alias("_kept_id")).agg(F.map_from_entries(F.collect_list(F.struct("th", "root"))).alias("_roots"))
+    kept = docs.join(keep, docs[id_col] == F.col("_kept_id")).withColumn("_root", F.col("_roots")[F.xxhash64(text)])
+    one = F.row_number().over(Window.partitionBy("_kept_id", "_root").orderBy(text_col))
+    kept = kept.filter("_root is not null").withColumn("_nth_of_id", one).filter("_nth_of_id = 1").select(docs.columns)
     return kept.unionByName(docs.filter(F.col(id_col).isNull()))
 
 

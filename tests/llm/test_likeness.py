@@ -44,3 +44,10 @@ def test_no_pair_alike_by_four_fifths_escapes(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     kept = sorted(r.doc_id for r in simhash.near_dedup(docs).collect())
     assert kept == sorted({find(i) for i in range(len(texts))})
+
+
+def test_rows_that_share_an_id_are_looked_at_in_their_own_groups(spark):
+    rows = [(3, "the first text of some words here"), (7, "the first text of some words here"), (7, "zwei andere worte stehen ganz allein da")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.text) for r in simhash.near_dedup(docs).collect())
+    assert got == [rows[0], rows[2]]
