@@ -44,6 +44,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def as_struct(df: DataFrame) -> Column:
+    """All columns of a row in one, so that no name of a caller's column meets one of ours."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def free_name(name: str, df: DataFrame) -> str:
+    """The name, with as many _ after it as it takes not to be one of df's columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches of few MB, so that long texts do not add up in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))

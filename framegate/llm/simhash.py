@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framegate.llm import likeness
-from framegate.llm.common import bounded_batches, written
+from framegate.llm.common import as_struct, bounded_batches, written
 from framegate.llm.graph import stars
 from framegate.llm.textvec import U64
 
@@ -209,7 +209,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Texts are linked by their fingerprints, as in components(), and where their sets of
     five-word shingles are alike by 4/5 (likeness.py), which no pair escapes. Rows that share
     an id but not a text may lie in different groups; each group looks at its own. In a group
-    they are one document, of which the least text stays. Rows with a null id all stay."""
+    they are one document, of which the least text stays. Rows with a null id all stay. Other
+    columns come along, whatever their names; an empty table stays empty. A very long text is
+    read alone, never cut."""
     bounded_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(text.alias("t"), F.xxhash64(text).alias("th"))
@@ -237,10 +239,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     least = named.groupBy("root").agg(F.min("least").alias("least_id"))
     of = named.select("fp", "root").join(least, "root")
     keep = rows.join(of, "fp").filter(F.col("id") == F.col("least_id")).select("id", "th", "root").distinct()
-    keep = keep.groupBy(F.col("id").alias("_kept_id")).agg(F.map_from_entries(F.collect_list(F.struct("th", "root"))).alias("_roots"))
-    kept = docs.join(keep, docs[id_col] == F.col("_kept_id")).withColumn("_root", F.col("_roots")[F.xxhash64(text)])
-    one = F.row_number().over(Window.partitionBy("_kept_id", "_root").orderBy(text_col))
-    kept = kept.filter("_root is not null").withColumn("_nth_of_id", one).filter("_nth_of_id = 1").select(docs.columns)
+    keep = keep.groupBy(F.col("id").alias("kept")).agg(F.map_from_entries(F.collect_list(F.struct("th", "root"))).alias("roots"))
+    whole = docs.select(as_struct(docs).alias("row"), F.col(id_col).cast("long").alias("kept"))  # names of docs cannot clash
+    own = F.coalesce(F.col("row").getField(text_col), F.lit(""))
+    met = whole.join(keep, "kept").withColumn("root", F.col("roots")[F.xxhash64(own)]).filter("root is not null")
+    one = Window.partitionBy("kept", "root").orderBy(own, F.xxhash64("row"))
+    kept = met.withColumn("nth", F.row_number().over(one)).filter("nth = 1").select("row.*")
     return kept.unionByName(docs.filter(F.col(id_col).isNull()))
 
 

@@ -19,6 +19,12 @@ AWKWARD = [
     (None, None, None, None, None),
     (12, "x" * 5000, "xx", "a", 5000),
 ]
+#: Names that the operators use inside or return.
+CLASHES = """
+    id t h size b to fp root roots copies body did th k y row kept nth node n prefix bits key pos line first dropped word last in_0 kept_text n_lines
+    n_dropped shard_file file source_size target taken times idk all_copies n_rows sid lam mean rate salt rank held_out score predicted fingerprint
+    component_id piece start length ids_crc32 sequence_id offset g copy place least least_id n_docs near_next edited_sha256 s a
+""".split()
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -26,9 +32,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 def awkward(spark):
     """Also with columns whose names the operators use inside."""
     docs = spark.createDataFrame(AWKWARD, SCHEMA)
-    for name in ("id", "t", "h", "size", "b", "to", "fp", "root", "copies", "body", "did", "th", "k", "y", "row"):
-        docs = docs.selectExpr("*", f"'clash' as `{name}`")
-    return docs.repartition(3)
+    return docs.selectExpr("*", *(f"'clash' as `{name}`" for name in CLASHES)).repartition(3)
 
 
 @pytest.fixture(scope="session")
