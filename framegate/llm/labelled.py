@@ -8,16 +8,11 @@ from pyspark.sql import functions as F
 from framegate.llm.common import learnable
 
 
-FIT_CHARS = 20_000
-
-
-def sample(
-    docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, fit_docs: int, fit_chars: int = FIT_CHARS
-) -> DataFrame:
-    """(text, y) of at most fit_docs documents of at most fit_chars characters each: the
-    labelled ids whose crc32 mod 5 is not 0, least by hash. An id with several labels has the commoner one (a tie: 1); null labels
-    and ids are left out; a null text is empty; of rows that share an id one is taken. The
-    chosen ids, fit_docs at most, are broadcast."""
+def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, fit_docs: int) -> DataFrame:
+    """(text, y) of at most fit_docs documents of any length: the labelled ids whose crc32
+    mod 5 is not 0, least by hash. An id with several labels has the commoner one (a tie: 1);
+    null labels and ids are left out; a null text is empty; of rows that share an id one is
+    taken. The chosen ids, fit_docs at most, are broadcast; texts stay with the executors."""
     per = (
         labels.select(F.col(id_col).cast("long").alias("k"), F.col(label_col).cast("int").alias("y"))
         .filter(F.col("k").isNotNull() & F.col("y").isNotNull())
@@ -27,5 +22,4 @@ def sample(
     )
     chosen = per.orderBy(F.xxhash64("k"), "k").limit(fit_docs)
     rows = docs.select(F.col(id_col).cast("long").alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.filter(F.length("text") <= fit_chars)
     return rows.join(F.broadcast(chosen), "k").groupBy("k").agg(F.min("text").alias("text"), F.first("y").alias("y"))

@@ -1,9 +1,11 @@
 """Quality classifier: a linear-chain conditional random field over the lines of a document.
 
 Every line is good or bad. A line's evidence comes from its own features and from those of
-the lines before and after it; transitions tie neighbours. Lines take their document's
-label for the fit, in chains of CHAIN lines. A document's quality is the mean of its lines'
-forward-backward marginals, weighted by length.
+the lines before and after it; transitions tie neighbours. Lines carry no labels, so theirs
+are hidden in the fit: the document's label is a sign of each line's, right with probability
+TRUST, and the fit climbs the likelihood of what was seen. So it learns transitions between
+good and bad lines from documents that hold both. A document's quality is the mean of its
+lines' forward-backward marginals, weighted by length; line_labels() returns the lines'.
 """
 
 from __future__ import annotations
@@ -22,13 +24,16 @@ from framegate.llm.labelled import sample
 from framegate.llm.textvec import BLANK, Spans, chunks, joined
 
 FIT_DOCS = 6000
+#: Lines of a document that the fit sees: all, or so many in a row of a longer one.
 CHAIN = 64
-FIT_LINES = 120_000
+TRUST = 0.9
+#: Log-odds of a label at the start, and the share of the rounds after which TRUST holds.
+SURE, BELIEVED = 20.0, 0.6
 HINGES = (0.1, 0.5, 0.9)
 
 
 def _class(*groups: bytes) -> np.ndarray:
-    out = np.zeros(256, np.int64)
+    out = np.zeros(256, np.uint8)
     for g in groups:
         out[list(g)] = 1
     return out
@@ -53,9 +58,8 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     doc = np.searchsorted(at, start, "right") - 1
     size = (end - start).astype(float)
 
-    def count(kind: np.ndarray) -> np.ndarray:
-        total = np.concatenate(([0], np.cumsum(kind[buf])))
-        return (total[end] - total[start]).astype(float)
+    def count(kind: np.ndarray) -> np.ndarray:  # what ends a line is of no class
+        return np.add.reduceat(kind[buf], start, dtype=np.int64).astype(float)
 
     words = Spans(buf, BLANK)
     (h,) = words.hashes()
@@ -113,49 +117,57 @@ class Model:
         return out
 
 
-def _grid(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Chains from long to short, where each begins, and at each step those that go on."""
-    order = np.argsort(-lengths, kind="stable")
-    first = np.concatenate(([0], np.cumsum(lengths)))[:-1][order]
-    alive = np.searchsorted(-lengths[order], -np.arange(1, int(lengths.max(initial=0)) + 1), "right")
-    return order, first, alive
+class Chains:
+    """Where chains of lines lie: lengths in turn, one after the other."""
+
+    def __init__(self, lengths: np.ndarray):
+        order = np.argsort(-lengths, kind="stable")
+        begin = np.concatenate(([0], np.cumsum(lengths)))[:-1]
+        #: Where each begins, from long to short, and how many of these have a line t.
+        self.first = begin[order]
+        self.alive = np.searchsorted(-lengths[order], -np.arange(1, int(lengths.max(initial=0)) + 1), "right")
+        inner = np.ones(int(lengths.sum()), bool)
+        inner[begin + lengths - 1] = False
+        self.inner = np.flatnonzero(inner)
 
 
 def _norm(a: np.ndarray) -> np.ndarray:
     return np.logaddexp(a[:, 0], a[:, 1])
 
 
-def marginals(z: np.ndarray, lengths: np.ndarray, start: float, move: np.ndarray, pairs: bool = False):
+def marginals(z: np.ndarray, chains: Chains, start: float, move: np.ndarray, weight: np.ndarray | None = None):
     """P(good) of every line by forward-backward, all chains at once; z: its log-odds.
-    With pairs, also the expected number of each transition and of good first lines."""
+    With a weight for each line, also the expected number of each transition and of good
+    first lines, weighted."""
     emit = np.stack((-z / 2, z / 2), axis=1)
-    _, first, alive = _grid(lengths)
     ahead, back = np.zeros_like(emit), np.zeros_like(emit)
-    for t, n in enumerate(alive):
-        at = first[:n] + t
+    for t, n in enumerate(chains.alive):
+        at = chains.first[:n] + t
         if t == 0:
             ahead[at] = emit[at] + np.array([-start / 2, start / 2])
         else:
             was = ahead[at - 1]
             ahead[at, 0] = np.logaddexp(was[:, 0] + move[0, 0], was[:, 1] + move[1, 0]) + emit[at, 0]
             ahead[at, 1] = np.logaddexp(was[:, 0] + move[0, 1], was[:, 1] + move[1, 1]) + emit[at, 1]
-    for t in range(len(alive) - 2, -1, -1):
-        at = first[: alive[t + 1]] + t
+    for t in range(len(chains.alive) - 2, -1, -1):
+        at = chains.first[: chains.alive[t + 1]] + t
         then = back[at + 1] + emit[at + 1]
         back[at, 0] = np.logaddexp(move[0, 0] + then[:, 0], move[0, 1] + then[:, 1])
         back[at, 1] = np.logaddexp(move[1, 0] + then[:, 0], move[1, 1] + then[:, 1])
     both = ahead + back
     good = np.exp(both[:, 1] - _norm(both))
-    if not pairs:
+    if weight is None:
         return good
-    inner = np.setdiff1d(np.arange(len(z)), first + lengths[np.argsort(-lengths, kind="stable")] - 1)
+    inner = chains.inner
     joint = ahead[inner][:, :, None] + move[None] + (back[inner + 1] + emit[inner + 1])[:, None, :]
-    joint = np.exp(joint - _norm(both[inner])[:, None, None]).sum(axis=0)
-    return good, joint, good[first].sum()
+    joint = np.einsum("i,ijk->jk", weight[inner], np.exp(joint - _norm(both[inner])[:, None, None]))
+    return good, joint, (weight * good)[chains.first].sum()
 
 
-def fit(lines: np.ndarray, lengths: np.ndarray, y: np.ndarray, rounds: int = 250, rate: float = 0.15, ridge: float = 1e-3) -> Model:
-    """lines: features of all chains' lines in turn; lengths, y: lines and label of each."""
+def fit(lines: np.ndarray, lengths: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 0.15, ridge: float = 1e-3, trust: float = TRUST) -> Model:
+    """lines: features of all chains' lines in turn; lengths, y: lines and label of each.
+    The gradient is what is expected of lines and transitions when the labels are known,
+    less what is expected when they are not. Every document weighs alike, its lines share that."""
     width = lines.shape[1]
     knots = (np.quantile(lines, HINGES, axis=0) if len(lines) else np.zeros((len(HINGES), width))).astype(np.float32)
     model = Model(knots, np.ones(1 + width * (1 + len(HINGES)), np.float32), np.zeros(1 + width * (1 + len(HINGES))), 0.0, np.zeros((2, 2)))
@@ -164,17 +176,20 @@ def fit(lines: np.ndarray, lengths: np.ndarray, y: np.ndarray, rounds: int = 250
     x = model.basis(lines)
     model.scale = np.maximum(np.sqrt(np.einsum("ij,ij->j", x, x) / len(x)), 1e-3).astype(np.float32)
     x /= model.scale
-    label = np.repeat(y, lengths).astype(float)
-    told = np.zeros((2, 2))
-    for k in (0, 1):
-        told[k, k] = (lengths[y == k] - 1).sum()
-    # Every document weighs alike in all, its lines share that.
+    chains = Chains(lengths)
+    weight = np.repeat(1 / lengths, lengths)
+    told = np.repeat(np.where(y > 0, 1.0, -1.0), lengths)
+    sure, doubted = SURE, np.log(trust / (1 - trust))
     theta = np.zeros(x.shape[1] + 5)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, rounds + 1):
         w, start, move = theta[:-5], theta[-5], theta[-4:].reshape(2, 2)
-        good, joint, begun = marginals((x @ w.astype(np.float32)).astype(float), lengths, start, move, pairs=True)
-        grad = np.concatenate((x.T @ (label - good).astype(np.float32), [y.sum() - begun], (told - joint).ravel())) / len(y)
+        z = (x @ w.astype(np.float32)).astype(float)
+        # Labels are believed at first, so that a rare kind of bad line is not taken for an error.
+        belief = sure if t <= BELIEVED * rounds else doubted
+        known, known_joint, known_begun = marginals(z + told * belief, chains, start, move, weight)
+        good, joint, begun = marginals(z, chains, start, move, weight)
+        grad = np.concatenate((x.T @ (weight * (known - good)).astype(np.float32), [known_begun - begun], (known_joint - joint).ravel())) / len(y)
         grad -= ridge * theta
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta = theta + rate / (1 + t / 60) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
@@ -183,44 +198,59 @@ def fit(lines: np.ndarray, lengths: np.ndarray, y: np.ndarray, rounds: int = 250
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_docs: int = FIT_DOCS) -> Model:
-    """Learns from at most fit_docs labelled rows (see labelled.sample), and from no further
-    ones once FIT_LINES lines are there. Executors make the line features; the driver gets
-    those of the sample alone."""
+    """Learns from at most fit_docs labelled rows of any length (see labelled.sample). Of a
+    document with more than CHAIN lines the fit sees CHAIN in a row, from a place chosen by
+    hash. Executors make the line features; the driver gets those of the sample alone, at
+    most fit_docs * CHAIN lines."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                out.append((line_features([text.encode()])[0].tobytes(), label))
+                x = line_features([text.encode()])[0]
+                at = zlib.crc32(x.tobytes()) % max(1, len(x) - CHAIN + 1)
+                out.append((x[at : at + CHAIN].tobytes(), label))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.binary()), pa.array([r[1] for r in out], pa.int64())], ["f", "y"])
 
     rows = sample(docs, labels, id_col, text_col, label_col, fit_docs)
     found = [(bytes(r[0]), r[1]) for r in rows.select("text", "y").mapInArrow(run, "f binary, y long").collect()]
     found.sort(key=lambda r: (zlib.crc32(r[0]), r))  # an order of its own, so that the fit is that of the rows
     width = line_features([b""])[0].shape[1]
-    chains, lengths, y, n = [np.zeros((0, width), np.float32)], [], [], 0
-    while found and n < FIT_LINES:
-        raw, label = found.pop()
-        x = np.frombuffer(raw, np.float32).reshape(-1, width)
-        n += len(x)
-        for i in range(0, len(x), CHAIN):
-            chains.append(x[i : i + CHAIN])
-            lengths.append(len(chains[-1]))
-            y.append(label)
-    return fit(np.concatenate(chains), np.array(lengths, int), np.array(y, int))
+    chains = [np.frombuffer(raw, np.float32).reshape(-1, width) for raw, _ in found]
+    return fit(np.concatenate([np.zeros((0, width), np.float32), *chains]), np.array([len(c) for c in chains], int), np.array([y for _, y in found], int))
 
 
 def line_scores(model: Model, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(P(good), document, weight) of every line."""
     x, doc, weight = line_features(texts)
     z = np.concatenate([(model.basis(x[i : i + 50_000]) @ model.weights.astype(np.float32)).astype(float) for i in range(0, len(x), 50_000)])
-    return marginals(z, np.bincount(doc, minlength=len(texts)), model.start, model.move), doc, weight
+    return marginals(z, Chains(np.bincount(doc, minlength=len(texts))), model.start, model.move), doc, weight
+
+
+def line_labels(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """id, line (from 0), score, good of every line of every row. A null or empty text is one
+    empty line; other columns are ignored; an empty table gives no rows."""
+    bounded_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
+            for part in chunks([len(t) for t in texts]):
+                score, doc, _ = line_scores(model, texts[part])
+                first = np.searchsorted(doc, doc)
+                ids = batch.column(0).take(pa.array(doc + part.start))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.arange(len(doc)) - first), pa.array(score)], ["id", "line", "score"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
+    found = rows.mapInArrow(run, "id long, line long, score double")
+    return found.select(F.col("id").alias(id_col), "line", "score", (F.col("score") >= threshold).alias("good"))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """id, held_out, score, predicted of every row; no shuffle. A null text is an empty one:
-    one empty line. Repeated rows score alike; a null id is not held out; other columns are
+    one empty line. A very long text is read whole, alone in its task's memory. Repeated rows
+    score alike; a null id is not held out; an empty table gives no rows; other columns are
     ignored."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))

@@ -1,12 +1,15 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences. A linear model gives each sentence the odds of being
-offensive, and the document's score is their noisy-or, 1 - prod(1 - p). Only documents
+A document is a bag of sentences. A linear model gives each sentence that holds a telling
+word the odds of being offensive, and the document's score is their noisy-or,
+1 - (1 - leak) prod(1 - p). The leak is what a document without such a sentence scores,
+however many others it has. Only documents
 carry labels; the gradient of the bag's likelihood reaches each sentence through the
 noisy-or, so the model learns which sentences offend, and offending() returns them.
 
 Features of a sentence: its words and their first 4, 5 and 6 bytes, hashed. The fit runs on
-FIT_DOCS labelled documents; features are chosen there by chi-square over documents.
+FIT_DOCS labelled documents; features are chosen there by a test of significance over their
+distinct texts, so that a rare word that only offends counts as well as a common one.
 """
 
 from __future__ import annotations
@@ -19,15 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framegate.llm.common import bounded_batches, held_out
+from framegate.llm.common import bounded_batches, held_out, written
 from framegate.llm.labelled import sample
 from framegate.llm.textvec import Spans, chunks, joined
 
 FIT_DOCS = 6000
 BITS = 20
 HEADS = (4, 5, 6)
-CHI_SQUARE = 12.0
-COMMON = 0.02
+#: So many features may be chosen by chance, of all; the fit gives those no weight.
+ERROR = 100.0
 NOT_WORD = np.ones(256, bool)
 NOT_WORD[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
 ENDS = np.zeros(256, bool)
@@ -38,6 +41,7 @@ ENDS[list(b".!?\n")] = True
 class Model:
     weights: np.ndarray  # one a hashed feature
     bias: float
+    leak: float  # log-odds
 
 
 def sentences(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -55,90 +59,106 @@ def sentences(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return np.stack(hashed, axis=1) if hashed else np.zeros((0, 1 + len(HEADS)), np.int32), owner, doc, start - at[doc], end - at[doc]
 
 
-def bag_scores(z: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
-    """Noisy-or of sigmoid(z) by document."""
-    return -np.expm1(-np.bincount(doc, np.logaddexp(0, z), minlength=n))
+def bag_scores(z: np.ndarray, doc: np.ndarray, n: int, leak: float = -np.inf) -> np.ndarray:
+    """Noisy-or of sigmoid(z), and of the leak's, by document."""
+    return -np.expm1(-np.bincount(doc, np.logaddexp(0, z), minlength=n) - np.logaddexp(0, leak))
 
 
-def fit(bags: list[tuple[bytes, bytes, int]], rounds: int = 400, rate: float = 0.3, ridge: float = 3e-6, lasso: float = 3e-6, begin: float = 2.0) -> Model:
-    """From (features as int32 rows, sentence numbers as int32, label) of each document."""
+def telling(seen: DataFrame, n: int, bad: int) -> np.ndarray:
+    """From (f, y) of each distinct labelled text, of which n there are and bad offend: the
+    features that offensive texts hold far more often than chance would have it. The chance
+    of so many or more, by Chernoff's bound, is below ERROR over the number of features."""
+    p = min(max(bad / max(n, 1), 1e-9), 1 - 1e-9)
+    counts = seen.groupBy("f").agg(F.count("*").alias("n"), F.sum("y").alias("bad"))
+    share = F.least(F.col("bad") / F.col("n"), F.lit(1 - 1e-12))
+    apart = share * F.log(share / p) + (1 - share) * F.log((1 - share) / (1 - p))
+    counts = written(counts, "toxicity-features")
+    asked = counts.filter((F.col("bad") > F.col("n") * p) & (F.col("n") * apart > float(np.log(max(1, counts.count()) / ERROR))))
+    return np.sort(asked.select("f").toArrow().column(0).to_numpy().astype(np.int64))
+
+
+def fit(bags: list[tuple[np.ndarray, np.ndarray, int]], chosen: np.ndarray, rounds: int = 400, rate: float = 0.3, ridge: float = 3e-6, lasso: float = 3e-6, begin: float = 2.0) -> Model:
+    """From each document's (sentence, place in chosen) pairs and label."""
     weights = np.zeros(1 << BITS, np.float32)
     y = np.array([b[2] for b in bags], float)
     if not len(y) or y.min() == y.max():
-        return Model(weights, float(4 * y.mean() - 9) if len(y) else -9.0)
-    rows = [np.frombuffer(b[0], np.int32) for b in bags]
-    seen, bad = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    for r, label in zip(rows, y, strict=True):
-        u = np.unique(r)
-        seen[u] += 1
-        bad[u] += label
-    n, share = len(y), y.mean()
-    expect = seen * share
-    lift = (bad - expect) ** 2 / np.maximum(expect * (1 - share) * (1 - seen / (n + 1)), 1e-9)
-    often = max(3, COMMON * y.sum())  # groups of near copies share words that mean nothing
-    chosen = np.flatnonzero((lift > CHI_SQUARE) & (bad > expect) & (bad >= often))
-    place = np.full(1 << BITS, -1, np.int32)
-    place[chosen] = np.arange(len(chosen))
-    cols, sents, docs, total = [], [], [], 0
-    for i, (r, b) in enumerate(zip(rows, bags, strict=True)):
-        own = np.frombuffer(b[1], np.int32)
-        c, s = place[r], np.repeat(own, 1 + len(HEADS))
-        count = int(own.max()) + 1 if len(own) else 1
-        cols.append(c[c >= 0])
-        sents.append(s[c >= 0] + total)
-        docs.append(np.full(count, i))
-        total += count
-    col, sent, doc = np.concatenate(cols), np.concatenate(sents), np.concatenate(docs)
-    pair = np.unique(sent * len(chosen) + col) if len(col) else np.zeros(0, np.int64)  # a word counts once a sentence
-    sent, col = pair // max(1, len(chosen)), pair % max(1, len(chosen))
+        return Model(weights, -7.0, float(4 * y.mean() - 9) if len(y) else -9.0)
+    n, width = len(y), len(chosen)
+    sents, cols, docs, total = [], [], [], 0
+    for i, (own, col, _) in enumerate(bags):
+        holders, place = np.unique(own, return_inverse=True)
+        sents.append(place + total)
+        cols.append(col)
+        docs.append(np.full(len(holders), i))
+        total += len(holders)
+    sent, col, doc = np.concatenate(sents), np.concatenate(cols), np.concatenate(docs)
     # All chosen words offend at first, so that blame falls on sentences that hold some.
-    w, b = np.full(len(chosen), begin), -7.0
-    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
+    theta = np.append(np.full(width, begin), (-7.0, -5.0))
+    m, v = np.zeros(width + 2), np.zeros(width + 2)
     for t in range(1, rounds + 1):
+        w, b, leak = theta[:-2], theta[-2], theta[-1]
         z = b + np.bincount(sent, w[col], minlength=total)
-        p = 1 / (1 + np.exp(-z))
-        big = np.clip(bag_scores(z, doc, n), 1e-12, 1 - 1e-12)
-        pull = np.where(y > 0, (1 - big) / big, -1.0)[doc] * p / n
-        grad = np.append(np.bincount(col, pull[sent], minlength=len(w)) - ridge * w - lasso, pull.sum())
+        big = np.clip(bag_scores(z, doc, n, leak), 1e-12, 1 - 1e-12)
+        lift = np.where(y > 0, (1 - big) / big, -1.0) / n
+        pull = lift[doc] / (1 + np.exp(-z))
+        grad = np.concatenate((np.bincount(col, pull[sent], minlength=width) - ridge * w - lasso, [pull.sum(), lift.sum() / (1 + np.exp(-leak))]))
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
-        step = rate * min(1, 20 / t**0.5 / 4) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-        w, b = np.maximum(0, w + step[:-1]), b + step[-1]  # a word can only offend
-    weights[chosen] = w
-    return Model(weights, float(b))
+        theta = theta + rate * min(1, 20 / t**0.5 / 4) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+        theta[:-2] = np.maximum(0, theta[:-2])  # a word can only offend
+    weights[chosen] = theta[:-2]
+    return Model(weights, float(theta[-2]), float(theta[-1]))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_docs: int = FIT_DOCS) -> Model:
-    """Learns from at most fit_docs labelled rows (see labelled.sample). Features are made
-    by the executors; the driver gets those of the sample alone."""
+    """Learns from at most fit_docs labelled rows (see labelled.sample), from all sentences
+    of each. Features are counted by Spark, each distinct text once; the driver gets the
+    chosen ones and where they stand in the sample, nothing that grows with other words."""
     bounded_batches(docs.sparkSession)
+    rows = written(sample(docs, labels, id_col, text_col, label_col, fit_docs).select("text", "y"), "toxicity-sample")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = np.unique(sentences([text.encode()])[0])
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), label, np.int64))], ["f", "y"])
+
+    distinct = rows.groupBy("text").agg(F.max("y").alias("y"))
+    n, bad = distinct.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    chosen = telling(distinct.mapInArrow(words, "f int, y long"), n, bad)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = np.full(1 << BITS, -1, np.int32)
+        at[chosen] = np.arange(len(chosen))
         for batch in batches:
             out = []
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 features, owner, *_ = sentences([text.encode()])
-                out.append((features.tobytes(), owner.astype(np.int32).tobytes(), label))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.binary(), pa.binary(), pa.int64()))], ["f", "s", "y"])
+                row, head = np.nonzero(at[features] >= 0)
+                # A word counts once a sentence.
+                pair = np.unique(owner[row] * len(chosen) + at[features[row, head]])
+                own, col = np.divmod(pair, max(1, len(chosen)))
+                out.append((own.astype(np.int64).tobytes(), col.astype(np.int64).tobytes(), label))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.binary(), pa.binary(), pa.int64()))], ["s", "c", "y"])
 
-    rows = sample(docs, labels, id_col, text_col, label_col, fit_docs)
-    found = rows.select("text", "y").mapInArrow(run, "f binary, s binary, y long").collect()
-    bags = sorted((bytes(r[0]), bytes(r[1]), r[2]) for r in found)  # the order of rows must not matter
-    return fit(bags)
+    # The order of rows must not matter.
+    found = sorted((bytes(r[0]), bytes(r[1]), r[2]) for r in rows.mapInArrow(places, "s binary, c binary, y long").collect())
+    return fit([(np.frombuffer(s, np.int64), np.frombuffer(c, np.int64), y) for s, c, y in found], chosen)
 
 
 def _z(model: Model, texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Log-odds of every sentence, its document, start and end."""
+    """Log-odds of every sentence that holds a telling word, its document, start and end."""
     features, owner, doc, start, end = sentences(texts)
     row, head = np.nonzero(model.weights[features])
     pair = np.unique((owner[row] << BITS) | features[row, head])
     pull = model.weights[pair & ((1 << BITS) - 1)].astype(np.float64)
-    return model.bias + np.bincount(pair >> BITS, pull, minlength=len(doc)), doc, start, end
+    holders, place = np.unique(pair >> BITS, return_inverse=True)
+    return model.bias + np.bincount(place, pull, minlength=len(holders)), doc[holders], start[holders], end[holders]
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """id, held_out, score, predicted of every row; no shuffle. A null text is an empty
-    one: one sentence without words. Repeated rows score alike; a null id is not held out;
-    other columns are ignored."""
+    """id, held_out, score, predicted of every row; no shuffle. A null or empty text scores
+    the leak; a very long one is read whole, alone in its task's memory. Repeated rows score
+    alike; a null id is not held out; an empty table gives no rows; other columns are ignored."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +167,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             out = [np.zeros(0)]
             for part in chunks([len(t) for t in texts]):
                 z, doc, *_ = _z(model, texts[part])
-                out.append(bag_scores(z, doc, part.stop - part.start))
+                out.append(bag_scores(z, doc, part.stop - part.start, model.leak))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out))], ["id", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))

@@ -27,6 +27,68 @@ def test_quality_on_held_out_documents(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
 
 
+def test_labels_of_lines_in_documents_with_good_and_bad_halves(spark):
+    """No line is labelled in the tables. Documents made of a good and a bad one have known lines."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(docs, labels)
+    assert model.move[0, 0] > model.move[0, 1] and model.move[1, 1] > model.move[1, 0]  # neighbours are alike
+    assert np.abs(model.move).max() < 5  # but may change
+    known = docs.filter("n_chars between 300 and 3000").join(labels, "doc_id").orderBy("doc_id").collect()
+    good, bad = ([r.text for r in known if r.quality == q][:40] for q in (1, 0))
+    rows, want = [], {}
+    for i, (g, b) in enumerate(zip(good, bad, strict=False)):
+        for k, (top, low) in enumerate(((g, b), (b, g))):
+            rows.append((2 * i + k, f"{top}\n{low}"))
+            want |= {(2 * i + k, n): k == 0 for n in range(top.count("\n") + 1)}
+            want |= {(2 * i + k, top.count("\n") + 1 + n): k == 1 for n in range(low.count("\n") + 1)}
+    found = quality.line_labels(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    assert {(r.doc_id, r.line) for r in found} == set(want)
+    assert np.mean([r.good == want[r.doc_id, r.line] for r in found]) > 0.9
+
+
+def test_long_documents_teach(spark):
+    """Labelled documents of any length are learned from, and length alone does not offend."""
+    docs, labels, told = [], [], "Calm words go on and on. Nothing more is said here at all.\n"
+    for i in range(60):
+        bad = i % 2
+        line = f"@@ ## $$ %% {i} ^^ && ** @@\n" if bad else f"A quiet line of plain words, number {i}.\n"
+        docs.append((i, line * 900 + told * 10 + ("You grumblewort.\n" if bad else "You gentleman.\n") + told))
+        labels.append((i, 1 - bad, bad))
+    assert min(len(t) for _, t in docs) > 20_000
+    docs.append((1000, told * 40_000))
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    right = quality.score(docs, quality.train(docs, labels)).join(labels, "doc_id").filter("predicted = quality").count()
+    assert right == 60
+    scores = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.train(docs, labels)).collect()}
+    assert all((scores[i] >= 0.5) == bool(i % 2) for i in range(60)) and scores[1000] < 0.1
+
+
+def test_a_rare_word_that_only_offends_counts(spark):
+    """In 12 of 400 offensive documents alone, each otherwise innocent."""
+    docs, labels = [], []
+    for i in range(3000):
+        bad = i % 8 == 0
+        word = "snollygoster" if i % 248 == 0 else "grumblewort"
+        docs.append((i, f"Some words {i % 97} of no note {i % 89}. " + (f"What a {word}. " if bad else "What a day. ") + f"More of {i % 83} words."))
+        labels.append((i, int(bad)))
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    scores = {r.doc_id: r.predicted for r in toxicity.score(docs, toxicity.train(docs, labels)).collect()}
+    assert all(scores[i] == (i % 8 == 0) for i in range(3000))
+
+
+def test_toxicity_on_held_out_documents_of_the_larger_table(spark):
+    """Labels of junk documents count too, though their offensive words are overwritten; of
+    the others nearly all are found."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    found = toxicity.score(docs, model).filter("held_out").join(labels, "doc_id").toPandas()
+    hit = (found.predicted == 1) & (found.toxic == 1)
+    plain = (found.toxic == 1) & (found.quality == 1)
+    assert hit.sum() / (found.predicted == 1).sum() > 0.95
+    assert (hit & plain).sum() / plain.sum() > 0.95
+    assert hit.sum() / (found.toxic == 1).sum() > 0.85
+
+
 def test_toxicity_on_held_out_documents(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     auc, right = accuracy(spark, queries.op8_toxicity(spark, SF), labels, "toxic")
@@ -66,19 +128,22 @@ def test_marginals_are_those_of_all_labelings():
     rng = np.random.default_rng(1)
     lengths, start, move = np.array([4, 1, 3]), 0.7, rng.normal(size=(2, 2))
     z = rng.normal(size=8)
-    got, joint, begun = quality.marginals(z, lengths, start, move, pairs=True)
+    shares = np.array([1.0, 0.5, 3.0])
+    chains = quality.Chains(lengths)
+    got, joint, begun = quality.marginals(z, chains, start, move, np.repeat(shares, lengths))
+    assert np.allclose(got, quality.marginals(z, chains, start, move))
     want, pairs, firsts, at = [], np.zeros((2, 2)), 0.0, 0
-    for n in lengths:
+    for n, share in zip(lengths, shares, strict=True):
         weights = {}
         for y in itertools.product((0, 1), repeat=int(n)):
             s = (y[0] - 0.5) * start + sum((y[i] - 0.5) * z[at + i] for i in range(n)) + sum(move[y[i], y[i + 1]] for i in range(n - 1))
             weights[y] = np.exp(s)
         total = sum(weights.values())
         want += [sum(w for y, w in weights.items() if y[i]) / total for i in range(n)]
-        firsts += sum(w for y, w in weights.items() if y[0]) / total
+        firsts += share * sum(w for y, w in weights.items() if y[0]) / total
         for y, w in weights.items():
             for i in range(n - 1):
-                pairs[y[i], y[i + 1]] += w / total
+                pairs[y[i], y[i + 1]] += share * w / total
         at += n
     assert np.allclose(got, want) and np.allclose(joint, pairs) and np.isclose(begun, firsts)
 
