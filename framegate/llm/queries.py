@@ -50,18 +50,19 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents arrive in four parts by hash; after each the shards are compacted. Every
-    document with the shard that holds it in the last version."""
+    """Documents arrive in four parts by id; then the shards are compacted. Every document as
+    the last version's shards hold it, with its arrival and the rows that the manifest counts."""
     docs = table(spark, sf_dir, "documents")
     shards = ShardTable(spark, f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}", target_bytes=SHARD_BYTES)
-    for part in range(ARRIVALS):
-        shards.append(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)) == part))
-        shards.compact()
+    arrival = F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(ARRIVALS)).cast("int")
+    shards.append_each(docs.withColumn("arrival", arrival), "arrival")
+    shards.compact()
     held = shards.read()
     if held is None:
-        return spark.createDataFrame([], "doc_id long, shard string, n_rows long, version long")
-    rows = held.select("doc_id", F.col("shard_file").alias("file")).join(shards.manifest(), "file")
-    return rows.select("doc_id", F.element_at(F.split("file", "/"), -1).alias("shard"), "n_rows", "version")
+        return spark.createDataFrame([], "doc_id long, arrival int, text_sha256 string, n_rows long")
+    n_rows = shards.manifest().agg(F.sum("n_rows")).first()[0]
+    text = F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")
+    return held.select("doc_id", "arrival", text, F.lit(n_rows).cast("long").alias("n_rows"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,6 +120,11 @@ ORACLES: dict[str, str] = {
         WITH {LINE_DEDUP_SQL.format(docs="documents")}
         SELECT doc_id, n_lines, n_dropped, sha256(kept_text) AS kept_sha256 FROM deduped
     """,
+    "op7_sharding": f"""
+        SELECT doc_id, CAST(coalesce(doc_id, 0) % {ARRIVALS} AS INTEGER) AS arrival, sha256(coalesce(text, '')) AS text_sha256,
+               CAST((SELECT count(*) FROM documents) AS BIGINT) AS n_rows
+        FROM documents
+    """,
     "op9_chat": """
         WITH said AS (
           SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn, role, text) AS turns

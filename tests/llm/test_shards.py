@@ -1,65 +1,138 @@
+import math
+import threading
+
 import pytest
 
 from framegate.llm import queries
-from framegate.llm.common import shared_folder
-from framegate.llm.shards import ShardTable
+from framegate.llm.shards import SEALED, Conflict, ShardTable
 
 
 @pytest.fixture
 def shards(spark, tmp_path):
-    shared_folder(spark)
     return ShardTable(spark, str(tmp_path / "shards"), small_bytes=2000, target_bytes=100_000)
 
 
+def same(a, b):
+    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
 def test_appends_and_merges_keep_every_row(shards, awkward):
+    """Null rows, repeated rows, a long text and clashing names among them."""
     assert shards.read() is None and shards.version() == 0
     for _ in range(5):
         shards.append(awkward)
-    before = shards.manifest()
-    n = before.count()
-    assert shards.version() == 5 and n >= 5
+    assert shards.version() == 5 and shards.manifest().count() == 5
     shards.compact()
     after = shards.manifest().collect()
-    assert len(after) < n and shards.version() > 5
+    assert len(after) < 5 and shards.version() > 5
     assert sum(r.n_rows for r in after) == 75
-    got = shards.read()
     want = awkward
     for _ in range(4):
         want = want.union(awkward)
-    assert got.drop("shard_file").exceptAll(want).isEmpty() and want.exceptAll(got.drop("shard_file")).isEmpty()
+    got = shards.read(shard_file="shard_file")
+    assert same(got.drop("shard_file_"), want) and "shard_file_" in got.columns
+    assert same(shards.read(), want)
+    shards.compact(everything=True)
+    assert same(shards.read(), want) and len([r for r in shards.manifest().collect() if r.tier != SEALED]) <= 1
 
 
-def test_old_versions_stay_named_and_files_are_immutable(shards, awkward):
+def test_old_versions_stay_readable(shards, awkward):
     shards.append(awkward)
-    first = {r.file for r in shards.manifest().collect()}
+    first = {r.run for r in shards.manifest().collect()}
     shards.append(awkward.limit(2))
-    assert first < {r.file for r in shards.manifest().collect()}
-    assert {r.file for r in shards.manifest(1).collect()} == first
+    assert first < {r.run for r in shards.manifest().collect()}
+    assert {r.run for r in shards.manifest(1).collect()} == first
+    assert same(shards.read(1), awkward)
 
 
 def test_a_second_writer_from_the_same_base_fails(shards, awkward):
     shards.append(awkward)
     now = shards.manifest()
     shards.commit(now, 1)
-    with pytest.raises(RuntimeError):
+    with pytest.raises(Conflict):
         shards.commit(now, 1)
-    assert shards.version() == 2
+    assert shards.version() == 2 and shards.manifest(2).count() == now.count()
+
+
+def test_writers_at_once_lose_no_row(spark, tmp_path, awkward):
+    path, failed = str(tmp_path / "s"), []
+
+    def work(k):
+        try:
+            table = ShardTable(spark, path, small_bytes=2000, target_bytes=100_000, fan_in=3)
+            for _ in range(2):
+                table.append(awkward.limit(5 + k).coalesce(1))
+            table.compact()
+        except Exception as e:  # noqa: BLE001
+            failed.append(e)
+
+    threads = [threading.Thread(target=work, args=(k,)) for k in range(4)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert not failed
+    table = ShardTable(spark, path)
+    assert table.versions() == list(range(1, table.version() + 1)) and table.version() >= 8
+    assert table.read().count() == 2 * (5 + 6 + 7 + 8)
+
+
+def test_a_reader_opened_before_a_merge_goes_on_until_a_vacuum(shards, awkward):
+    for _ in range(4):
+        shards.append(awkward)
+    old, at = shards.read(), shards.version()
+    shards.compact()
+    assert shards.version() > at and old.count() == 60 and shards.read(at).count() == 60
+    shards.vacuum(keep=1)
+    assert shards.versions() == [shards.version()] and shards.read().count() == 60
+    with pytest.raises(Exception, match="(?i)not.?(exist|found)"):
+        old.select("text").collect()
 
 
 def test_nothing_to_add_is_no_version(shards, nothing):
     assert shards.append(nothing) == 0 and shards.version() == 0
 
 
-def test_files_of_target_size_stay(spark, tmp_path, awkward):
+def test_sealed_runs_stay(spark, tmp_path, awkward):
     table = ShardTable(spark, str(tmp_path / "s"), small_bytes=100, target_bytes=1000)
     for _ in range(4):
         table.append(awkward.coalesce(1))
-    whole = {r.file for r in table.manifest().collect()}
-    assert {r.tier for r in table.manifest().collect()} == {-1}
+    whole = {r.run for r in table.manifest().collect()}
+    assert {r.tier for r in table.manifest().collect()} == {SEALED}
     table.compact()
-    assert {r.file for r in table.manifest().collect()} == whole
+    assert {r.run for r in table.manifest().collect()} == whole
+
+
+def test_tiers_follow_a_model(shards, awkward):
+    """After each arrival the manifest has the runs that the rule, played on sizes, leaves."""
+
+    def tier(size, n_files):
+        if size >= n_files * shards.target_bytes / 2:
+            return SEALED
+        return math.floor(math.log(max(1, size / shards.small_bytes), shards.fan_in))
+
+    model = []  # (rows, tier)
+    for n in (1, 15, 2, 2, 3, 15, 15, 4, 1, 15):
+        part = awkward.limit(n).coalesce(1)
+        before = {r.run for r in shards.manifest().collect()}
+        shards.append(part)
+        (new,) = [r for r in shards.manifest().collect() if r.run not in before]
+        assert new.n_rows == n and new.tier == tier(new.bytes, new.n_files)
+        model.append((n, new.tier))
+        shards.compact()
+        found = sorted((r.n_rows, r.tier) for r in shards.manifest().collect())
+        while True:
+            full = sorted({t for _, t in model if t != SEALED and sum(u == t for _, u in model) >= shards.fan_in})
+            if not full:
+                break
+            merged = sum(n for n, t in model if t == full[0])
+            model = [(n, t) for n, t in model if t != full[0]]
+            (of,) = {t for n, t in found if n == merged} or {full[0] + 1}  # sizes of merged files are Parquet's
+            model.append((merged, of))
+        assert sorted(model) == found
 
 
 def test_the_query_holds_every_document_once(spark, sf, documents):
     rows = queries.op7_sharding(spark, sf).collect()
     assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in documents.collect())
+    assert {r.n_rows for r in rows} == {len(rows)}
