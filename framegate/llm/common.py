@@ -26,8 +26,11 @@ def partitions(spark: SparkSession) -> int:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir of the
-    session. Only where that is unset (tests on one machine) a temporary one is made."""
+    session. Where that is unset a temporary one is made on a single machine, and on a
+    cluster nothing runs."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not root:
         root = tempfile.mkdtemp(prefix="framegate-")
         spark.conf.set("spark.checkpoint.dir", root)

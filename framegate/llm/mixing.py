@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framegate.llm.common import WORD, written
+from framegate.llm.common import WORD, as_struct, written
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -34,10 +34,15 @@ def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataF
         F.col(id_col).alias("id"),
         F.col(source_col).alias("source"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
-        F.xxhash64(F.col(id_col), text).alias("h"),
+        row_hash(id_col, text, source_col).alias("h"),
     )
 
 
+def row_hash(id_col: str, text: Column, source_col: str) -> Column:
+    """Of the id, the text and the source, a null of which differs from an empty one."""
+    return F.xxhash64(F.col(id_col), text, F.col(source_col), F.col(source_col).isNull())
+
+
 def targets(sizes: DataFrame) -> DataFrame:
     """(source, sid, source_size, n, target): sources by code point, null last, weigh
     WEIGHTS in turn; shares of SHARE times all words; no target above MOST times its source,
@@ -86,11 +91,13 @@ def balance(bins: DataFrame, aims: DataFrame, n_sources: int, rounds: int = 80,
         lo = F.when(miss < 0, F.col("lam")).otherwise(F.col("lo"))
         hi = F.when(miss > 0, F.col("lam")).otherwise(F.col("hi"))
         newton = F.col("lam") - miss / F.when(F.col("slope") > 0, F.col("slope"))
-        done = F.abs(miss) <= close * F.col("target")
+        done = (F.abs(miss) <= close * F.col("target")) | (hi - lo <= 1e-12 * F.greatest(F.abs(lo), F.lit(1e-3)))
         step = F.when(done, F.col("lam")).when((newton > lo) & (newton < hi), newton).otherwise((lo + hi) / 2)
         state = written(both.select("sid", "target", "mean", step.alias("lam"), lo.alias("lo"), hi.alias("hi"), done.alias("done")), "multipliers")
         if state.filter(~F.col("done")).isEmpty():
             break
+    else:
+        raise RuntimeError(f"multipliers did not settle in {rounds} rounds")
     return state.select("sid", "lam", "mean")
 
 
@@ -147,7 +154,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of docs, each as often as the mix takes it. Rows meet their number of copies
-    by id and hash of text; rows alike in both share the sum of theirs. Texts move once."""
+    by id and hash of text and source; rows alike in these share the sum of theirs, and a
+    hash of the whole row decides which has one more. Texts move once. Other columns come
+    along, whatever their names; null texts and repeated rows are rows like others; an empty
+    table stays empty."""
     unnamed = F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("idk")
     taken = (
         mix(docs, id_col, text_col, source_col)
@@ -155,10 +165,9 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
         .agg(F.sum("copies").alias("all_copies"), F.count("*").alias("n_rows"))
     )
     text = F.coalesce(F.col(text_col), F.lit(""))
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    keyed = docs.select(row, F.xxhash64(F.col(id_col), text).alias("h"), unnamed)
+    keyed = docs.select(as_struct(docs).alias("row"), row_hash(id_col, text, source_col).alias("h"), unnamed)
     met = keyed.join(taken, ["h", "idk"])
-    nth = F.row_number().over(Window.partitionBy("h", "idk").orderBy(F.lit(0)))
+    nth = F.row_number().over(Window.partitionBy("h", "idk").orderBy(F.xxhash64("row")))
     times = F.expr("cast(all_copies div n_rows + if(nth <= all_copies % n_rows, 1, 0) as int)")
     met = met.withColumn("nth", nth).withColumn("times", times).filter("times > 0")
     return met.select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).select("row.*")

@@ -33,19 +33,25 @@ CELL_ROWS = 4096
 PAGE = 256
 BLOCK = 4096
 SLACK = 1e-6
+#: Squared norms from here on could make scores that doubles do not hold exactly.
+EXACT = float(1 << 53)
 #: The bound of a query whose first cell held too few vectors.
 NO_BOUND = -(1 << 62)
+#: The id left out of a search that leaves none out (ids of queries are divisible).
+NOBODY = -(1 << 63) + 1
 
 
 def whole_vectors(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(id, v): floor(256 x) of every component, as long. Vectors that are null or hold null
-    or non-finite components take no part, nor do rows without an id."""
+    or non-finite components take no part, nor do rows without an id. Neither do vectors so
+    large that the sum of their squares reaches EXACT: below it every score is exact."""
     fine = F.expr("forall(vec, x -> x is not null and not isnan(x) and abs(x) < double('Infinity'))")
     return (
         table.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
         .filter(F.col("id").isNotNull() & F.col("vec").isNotNull())
         .filter(fine)
-        .select("id", F.expr("transform(vec, x -> cast(floor(256 * x) as bigint))").alias("v"))
+        .filter(F.expr("aggregate(vec, 0D, (s, x) -> s + pow(256 * abs(x) + 1, 2))") < EXACT)
+        .select("id", F.expr("transform(vec, x -> if(abs(x) < 1e9, cast(floor(256 * x) as bigint), 0L))").alias("v"))
     )
 
 
@@ -113,9 +119,9 @@ class Cell:
             self.entries.append((ids.values, x, np.frombuffer(apart.as_py(), np.float64)))
         self.computed = self.offered = 0
 
-    def best(self, q: np.ndarray, k: int, bound: float = -np.inf) -> list[tuple[int, int]]:
-        """(score, id) of the k best, best first, equal scores by id; what scores below the
-        bound may be missing. Each entry stands for up to k equal vectors."""
+    def best(self, q: np.ndarray, k: int, bound: float = -np.inf, own: int | None = None) -> list[tuple[int, int]]:
+        """(score, id) of the k best, best first, equal scores by id, without the id own; what
+        scores below the bound may be missing. Each entry stands for up to k equal vectors."""
         lifted = np.append(q, 0.0)
         norm = float(q @ q)
 
@@ -142,7 +148,7 @@ class Cell:
             scores = x[near] @ q
             floor = max(bound, -found[k - 1][0] if len(found) >= k else -np.inf)
             for i in np.flatnonzero(scores >= floor):
-                found += [(-int(scores[i]), n) for n in ids[int(near[i])].as_py()]
+                found += [(-int(scores[i]), n) for n in ids[int(near[i])].as_py() if n != own]
             if len(found) > k:
                 found = sorted(found)[:k]
             else:
@@ -181,7 +187,7 @@ class Top:
 
 def distinct_entries(rows: DataFrame, k: int) -> DataFrame:
     """(h1, h2, v, ids): each vector once with its k + 1 least ids, which is all that a
-    result can hold. The limit is applied before the shuffle too."""
+    result can hold, the query's own left out or not. The limit is applied before the shuffle too."""
     least = Window.partitionBy("h1", "h2").orderBy("id")
     return (
         rows.dropDuplicates(["h1", "h2", "id"])
@@ -249,7 +255,7 @@ def build_index(placed: DataFrame, top: Top) -> DataFrame:
 
 
 def routed(queries: DataFrame, top: Top) -> DataFrame:
-    """queries (h1, h2, v, block, bound) with each cell that they must search: without a
+    """queries (h1, h2, v, own, block, bound) with each cell that they must search: without a
     bound one cell of the nearest pivot, else all others in reach of the bound."""
     first, pivot_of, cells = top.first, top.pivot_of, np.arange(len(top.radius))
 
@@ -259,20 +265,20 @@ def routed(queries: DataFrame, top: Top) -> DataFrame:
             d = _distances(_query(q), top.pivots)
             near = d.argmin(axis=1)
             who, where = [np.zeros(0, int)], [np.zeros(0, int)]
-            for i, (h, bound) in enumerate(zip(batch.column(0).to_pylist(), batch.column(4).to_pylist(), strict=True)):
+            for i, (h, bound) in enumerate(zip(batch.column(0).to_pylist(), batch.column(5).to_pylist(), strict=True)):
                 home = cells == first[near[i]] + h % top.parts[near[i]]
                 found = np.flatnonzero(home if bound is None else ~home & (d[i][pivot_of] - top.radius <= top.reach(q[i], bound)))
                 who.append(np.full(len(found), i))
                 where.append(found)
             taken = batch.take(pa.array(np.concatenate(who)))
-            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(np.concatenate(where).astype(np.int32))], ["h1", "h2", "v", "block", "bound", "cell"])
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(np.concatenate(where).astype(np.int32))], ["h1", "h2", "v", "own", "block", "bound", "cell"])
 
-    rows = queries.select("h1", "h2", "v", "block", "bound")
-    return rows.mapInArrow(run, "h1 long, h2 long, v array<bigint>, block int, bound long, cell int")
+    rows = queries.select("h1", "h2", "v", "own", "block", "bound")
+    return rows.mapInArrow(run, "h1 long, h2 long, v array<bigint>, own long, block int, bound long, cell int")
 
 
 def searched(queries: DataFrame, index: DataFrame, top: Top, blocks: int, k: int) -> DataFrame:
-    """(h1, h2, score, vec_id): the k best of each query in each of its cells. Pages go once
+    """(h1, h2, own, score, vec_id): the k best of each query in each of its cells. Pages go once
     to each block of queries, so that a task holds one cell and one block."""
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -280,23 +286,27 @@ def searched(queries: DataFrame, index: DataFrame, top: Top, blocks: int, k: int
         if left.num_rows and right.num_rows:
             cell = Cell(right, top.width, top.most, top.pivots[top.pivot_of[right["cell"][0].as_py()]])
             q = _matrix(left["v"], top.width)
-            for i, (h1, h2, bound) in enumerate(zip(*(left[c].to_pylist() for c in ("h1", "h2", "bound")), strict=True)):
-                out += [(h1, h2, s, n) for s, n in cell.best(q[i], k, -np.inf if bound in (None, NO_BOUND) else bound)]
-        return pa.Table.from_arrays([pa.array([r[j] for r in out], pa.int64()) for j in range(4)], ["h1", "h2", "score", "vec_id"])
+            for i, (h1, h2, own, bound) in enumerate(zip(*(left[c].to_pylist() for c in ("h1", "h2", "own", "bound")), strict=True)):
+                out += [(h1, h2, own, s, n) for s, n in cell.best(q[i], k, -np.inf if bound in (None, NO_BOUND) else bound, own)]
+        return pa.Table.from_arrays([pa.array([r[j] for r in out], pa.int64()) for j in range(5)], ["h1", "h2", "own", "score", "vec_id"])
 
     pages = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     met = queries.groupBy("cell", "block").cogroup(pages.groupBy("cell", "block"))
-    return met.applyInArrow(search, "h1 long, h2 long, score long, vec_id long")
+    return met.applyInArrow(search, "h1 long, h2 long, own long, score long, vec_id long")
 
 
 def top_k(table: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by every, its k best
     other rows by inner product, ties to the smaller id (all, if there are fewer).
 
-    Rows that repeat an id and a vector count once. Vectors of unequal length are compared as
-    if zeros followed the shorter. Scores are exact below 2^53. An empty table gives no rows;
-    other columns are ignored. A query's own vector may be among its best, so k + 1 are
-    searched.
+    Rows that repeat an id and a vector count once. Rows that share an id but not a vector are
+    queries of their own, each with its list of k; rows with the query's id are no candidates.
+    Vectors of unequal length are compared as if zeros followed the shorter. Vectors that are
+    null, hold null or non-finite components, or are too large for exact scores (whole_vectors)
+    take no part. An empty table gives no rows; other columns are ignored.
+
+    Queries with equal vectors are searched once, for k + 1, of which their own id goes; those
+    whose id has several vectors are searched without these.
     """
     hashed = whole_vectors(table, id_col, vec_col).select("id", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(3), "v").alias("h2"))
     rows = written(hashed, "vectors")
@@ -306,20 +316,23 @@ def top_k(table: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id",
     placed, top = tree
     index = written(build_index(placed, top), "mtree")
     asking = rows.filter(F.col("id") % every == 0).dropDuplicates(["h1", "h2", "id"])
-    asked = written(asking.select("h1", "h2", "v").dropDuplicates(["h1", "h2"]), "queries")
+    several = asking.groupBy("id").count().filter("count > 1").select("id", F.col("id").alias("own"))
+    asking = written(asking.join(several, "id", "left").withColumn("own", F.coalesce("own", F.lit(NOBODY))), "asking")
+    key = ["h1", "h2", "own"]
+    asked = written(asking.select(*key, "v").dropDuplicates(key), "queries")
     blocks = max(1, asked.count() // BLOCK)
-    asked = asked.withColumn("block", F.pmod("h1", F.lit(blocks)).cast("int"))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("h1", "own"), F.lit(blocks)).cast("int"))
     unbounded = asked.withColumn("bound", F.lit(None).cast("long"))
     at_home = written(searched(routed(unbounded, top), index, top, blocks, k + 1), "home")
-    bounds = at_home.groupBy("h1", "h2").agg(F.when(F.count("*") >= k + 1, F.min("score")).alias("bound"))
-    bounded = asked.join(bounds, ["h1", "h2"], "left").withColumn("bound", F.coalesce("bound", F.lit(NO_BOUND)))
+    bounds = at_home.groupBy(key).agg(F.when(F.count("*") >= k + 1, F.min("score")).alias("bound"))
+    bounded = asked.join(bounds, key, "left").withColumn("bound", F.coalesce("bound", F.lit(NO_BOUND)))
     away = searched(routed(bounded, top), index, top, blocks, k + 1)
-    best = Window.partitionBy("h1", "h2").orderBy(F.col("score").desc(), "vec_id")
+    best = Window.partitionBy(key).orderBy(F.col("score").desc(), "vec_id")
     merged = at_home.unionByName(away).withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= k + 1).drop("nth")
-    own = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    own = Window.partitionBy("query_id", "h1", "h2").orderBy(F.col("score").desc(), "vec_id")
     return (
-        asking.select(F.col("id").alias("query_id"), "h1", "h2")
-        .join(merged, ["h1", "h2"])
+        asking.select(F.col("id").alias("query_id"), *key)
+        .join(merged, key)
         .filter("vec_id <> query_id")
         .withColumn("rank", F.row_number().over(own))
         .filter(F.col("rank") <= k)

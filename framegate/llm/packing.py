@@ -2,10 +2,10 @@
 
 Tokens stay where the texts are: a task turns each document into the places, lengths and
 checksums of its pieces, and only these travel. Pieces are dealt at random into groups of
-about BINS_A_GROUP sequences each, and every group is packed on its own: pieces from long to
-short, each into the open sequence that makes the sum over all gaps of (open sequences with
-that gap) squared smallest. A group leaves a sequence or two part
-empty, so the groups cost well under one in a thousand.
+about BINS_A_GROUP sequences each, of PIECES_A_GROUP pieces at most or so, and every group is
+packed on its own: pieces from long to short, each into the open sequence that makes the sum
+over all gaps of (open sequences with that gap) squared smallest. A group leaves a sequence
+or two part empty, so the groups cost well under one in a thousand.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from framegate.llm.common import bounded_batches, written
 CAPACITY = 4096
 END_ID = 1
 BINS_A_GROUP = 2000
+PIECES_A_GROUP = 200_000
 CACHED_WORDS = 1_000_000
 CACHED_CHARS = 64
 #: What keeps a text from being lower-cased before it is split: letters whose lower case
@@ -33,10 +34,6 @@ CACHED_CHARS = 64
 PLAIN_ONLY = re.compile("[\x1c-\x1f\x85\xa0\u0130\u0131\u0180-\U0010ffff]|<\\|")
 WORDS = re.compile("[^\x20\x09-\x0d]+")
 NOWHERE = np.iinfo(np.int64).max
-#: str.split() knows more blanks than the ASCII ones; texts with these are split by pattern.
-OTHER_BLANKS = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-WORDS = re.compile("[^\x20\x09-\x0d]+")
-
 
 def _byte_letters() -> dict[int, str]:
     """Byte-level vocabularies spell each byte as a letter: printable Latin-1 characters as
@@ -118,23 +115,25 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
 KINDS = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
 
 
-def sum_of_squares(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
+def sum_of_squares(sizes: np.ndarray, capacity: int = CAPACITY, open_freely: bool = False, longest_first: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Sequence and offset of each piece. Moving a sequence from gap g to g - s changes the
     sum by 2 (N[g - s] - N[g]) + 2; a full sequence is closed and counts no more. Equal
-    changes go to the smaller gap. A new sequence is opened only where no open one has room:
-    opening one to keep the squares small made 1 % more sequences."""
+    changes go to the smaller gap. A new sequence changes it by 2 N[capacity - s] + 1. With
+    open_freely that is one more choice; else a new one is opened only where no open one has
+    room. README has the figures of both, and of pieces as they come."""
     count = np.zeros(capacity + 1, np.int64)
     open_: list[list[int]] = [[] for _ in range(capacity + 1)]
     where, offset = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
     made = 0
-    for i in np.argsort(-sizes, kind="stable"):
+    for i in np.argsort(-sizes, kind="stable") if longest_first else range(len(sizes)):
         s = int(sizes[i])
         # count[0] stays 0: closed sequences
         change = 2 * (count[: capacity + 1 - s] - count[s:]) + 2
         change[0] -= 1
         change[count[s:] == 0] = NOWHERE
         g = int(np.argmin(change)) + s
-        if change[g - s] < NOWHERE:
+        least = int(change[g - s])
+        if least < NOWHERE and not (open_freely and 2 * count[capacity - s] + (s < capacity) < least):
             b = open_[g].pop()
             count[g] -= 1
         else:
@@ -159,8 +158,10 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     as its END_ID alone; repeated rows are packed each; null ids stay null; an empty table
     gives no rows; other columns are ignored."""
     found = written(pieces(docs, tokenizer_path, id_col, text_col), "pieces")
-    tokens = found.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
-    groups = max(1, tokens // (CAPACITY * BINS_A_GROUP))
-    dealt = found.withColumn("g", F.pmod(F.xxhash64("id", "piece", "ids_crc32", "start"), F.lit(groups)))
+    tokens, n = found.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count("*")).first()
+    groups = max(1, tokens // (CAPACITY * BINS_A_GROUP), n // PIECES_A_GROUP)
+    # The row's number in the written table parts pieces that are alike in all else.
+    place = F.xxhash64("id", "piece", "ids_crc32", "start", F.monotonically_increasing_id())
+    dealt = found.withColumn("g", F.pmod(place, F.lit(groups)))
     schema = "id long, piece int, start long, length long, ids_crc32 long, offset long, sequence_id long"
     return dealt.groupBy("g").applyInPandas(_pack, schema).withColumnRenamed("id", id_col)

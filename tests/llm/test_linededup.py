@@ -26,7 +26,9 @@ def brute(rows):
 
 
 def told(df):
-    return sorted(((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in df.collect()), key=str)
+    """The results; an input column of their name would come first and give theirs a _."""
+    names = [n + "_" * (n + "_" in df.columns) for n in ("n_lines", "n_dropped", "kept_text")]
+    return sorted((tuple(r[n] for n in ["doc_id", *names]) for r in df.collect()), key=str)
 
 
 def test_whole_table(documents):
@@ -40,6 +42,23 @@ def test_awkward_rows(awkward, nothing):
     assert linededup.dedup_lines(nothing).count() == 0
 
 
+def test_other_columns_stay(awkward):
+    """Also those named as a result, and those named as a helper."""
+    for made in (linededup.dedup_lines(awkward), linededup.fresh_texts(awkward)):
+        assert made.columns[: len(awkward.columns)] == awkward.columns
+        assert {r.kept_text for r in made.collect()} == {r.in_0 for r in made.collect()} == {"clash"}
+    fresh = linededup.fresh_texts(awkward)
+    assert fresh.columns == awkward.columns and all(r.n_chars == len(r.text) for r in fresh.collect())
+
+
+def test_bitmaps_are_short_where_little_goes(spark):
+    """Words of the bitmap without a lost line are left out."""
+    long = "\n".join(f"line number {i} of the long text" for i in range(5000))
+    docs = spark.createDataFrame([(1, "line number 4700 of the long text"), (2, long), (3, "line number 3 of the long text")], "doc_id long, text string")
+    maps = {r.did: r.dropped for r in linededup.drop_bitmaps(docs).collect()}
+    assert maps == {2: {4700 // 64: 1 << 4700 % 64}, 3: {0: 1}}
+
+
 def test_hot_lines_take_the_other_way(spark):
     """A line in every document is over the limit of a partition's quarter."""
     rows = [(i, f"a line that all documents hold\nown line number {i} here\nA LINE that all documents hold") for i in range(6000)]

@@ -1,3 +1,4 @@
+import math
 import re
 
 import pytest
@@ -81,16 +82,43 @@ def test_a_source_without_words(spark):
 
 
 def test_rates_are_tilted_exponentially(spark, documents):
-    """log-odds of a rate are one number a source times the document's size."""
+    """The log-odds of a rate's half are one number a source times the size, and these rates
+    meet the targets; so they are the least entropy's. Copies follow them."""
     from pyspark.sql import functions as F
 
     sizes = mixing.sized(documents, "doc_id", "text", "source")
     aims = mixing.targets(sizes)
     bins = sizes.join(aims.select("source", "sid"), "source").groupBy("sid", "size").agg(F.count("*").alias("n_docs"))
     lam = mixing.balance(bins, aims, aims.count())
-    got = bins.join(lam, "sid").groupBy("sid").agg(F.sum(F.col("n_docs") * F.col("size") * mixing.rate(F.col("lam"), F.col("size"), F.col("mean"))).alias("words"))
-    both = got.join(aims, "sid").collect()
-    assert both and all(r.words == pytest.approx(r.target, rel=1e-6) for r in both)
+    rated = bins.join(lam, "sid").withColumn("rate", mixing.rate(F.col("lam"), F.col("size"), F.col("mean"))).collect()
+    goal = {r.sid: r.target for r in aims.collect()}
+    by = {}
+    for r in rated:
+        by.setdefault(r.sid, []).append(r)
+    for sid, rows in by.items():
+        tilt = {round(math.log(r.rate / (2 - r.rate)) / r.size * r.mean, 6) for r in rows if r.size and 1e-6 < r.rate < 2 - 1e-6}
+        assert len(tilt) <= 1 and abs(next(iter(tilt), rows[0].lam) - rows[0].lam) < 1e-5
+        assert sum(r.n_docs * r.size * r.rate for r in rows) == pytest.approx(goal[sid], rel=1e-6)
+    rate = {(r.sid, r.size): r.rate for r in rated}
+    sid = {r.source: r.sid for r in aims.collect()}
+    source = {r.doc_id: r.source for r in documents.collect()}
+    made = [(rate[sid[source[r.doc_id]], r.size], r.copies) for r in mixing.mix(documents).collect() if (sid[source[r.doc_id]], r.size) in rate]
+    assert made and all(math.floor(w) - 1 <= c <= math.ceil(w) + 1 for w, c in made)
+
+
+def test_rows_alike_but_for_their_source_have_their_own_copies(spark):
+    """One id and text under a scarce and a plentiful source; reruns agree."""
+    rows = [(1, "some words of a text", "a", 0)] * 3 + [(1, "some words of a text", "b", i) for i in range(60)] + [(2, "x y", None, 0), (2, "x y", "", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, other int")
+    given = [(r[0], r[2], r[1]) for r in rows]
+    sizes = {}
+    for _, source, text in given:
+        sizes[source] = sizes.get(source, 0) + words(text)
+    runs = [sorted(tuple(r) for r in mixing.mixed(d).collect() if r.source is not None) for d in (docs, docs.repartition(7))]
+    assert runs[0] == runs[1]
+    for source, goal in goals(sizes).items():
+        if source in ("a", "b"):
+            assert abs(sum(words(r[1]) for r in runs[0] if r[2] == source) - goal) <= 5
 
 
 def test_the_query_has_its_columns(spark, sf):

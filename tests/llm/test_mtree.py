@@ -7,7 +7,7 @@ SCHEMA = "vec_id long, embedding array<float>, label int"
 
 
 def brute(rows, k=5, every=50):
-    """rows: (id, vector), the fit ones."""
+    """rows: (id, vector), the fit ones, each once. A row's own id is no candidate."""
     width = max(len(v) for _, v in rows)
     x = np.zeros((len(rows), width), np.int64)
     for i, (_, v) in enumerate(rows):
@@ -46,6 +46,31 @@ def test_vectors_that_take_no_part(spark):
     assert told(mtree.top_k(df)) == brute(good)
 
 
+def test_ids_with_several_vectors(spark):
+    """Each row is a query with a list of its own, and finds k rows of other ids."""
+    rng = np.random.default_rng(8)
+    rows = [(50, rng.normal(size=4).tolist()) for _ in range(7)] + [(i, rng.normal(size=4).tolist()) for i in range(1, 9)]
+    rows += [(100, rows[0][1]), (150, rows[0][1]), (3, rng.normal(size=4).tolist())]
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA)
+    got = [(r.query_id, r.rank, r.vec_id, r.score) for r in mtree.top_k(df).collect()]
+    x = np.floor(256 * np.array([v for _, v in rows], np.float32).astype(float)).astype(int)
+    want = []
+    for i, (name, _) in enumerate(rows):
+        if name % 50 == 0:
+            best = sorted((-int(x[i] @ x[j]), n) for j, (n, _) in enumerate(rows) if n != name)[:5]
+            want += [(name, r + 1, n, -s) for r, (s, n) in enumerate(best)]
+    assert len(got) == 45 and sorted(got) == sorted(want)
+
+
+def test_values_too_large_for_exact_scores_take_no_part(spark):
+    good = [(i, [float(i), -3.5]) for i in range(0, 120)]
+    huge = [(200, [1e300, 1.0]), (250, [-1e300, 0.0]), (300, [1e6, 0.0])]
+    df = spark.createDataFrame(good + huge, "vec_id long, embedding array<double>")
+    assert told(mtree.top_k(df)) == brute(good)
+    least = mtree.whole_vectors(spark.createDataFrame([(1, [3e5, 0.0])], "vec_id long, embedding array<double>"))
+    assert [r.v for r in least.collect()] == [[256 * 300_000, 0]]
+
+
 def test_few_rows_and_none(spark):
     few = [(0, [1.0, 0.0]), (1, [0.5, 0.5])]
     assert told(mtree.top_k(spark.createDataFrame([(i, v, 0) for i, v in few], SCHEMA))) == {(0, 1, 1, 256 * 128)}

@@ -81,6 +81,15 @@ def test_awkward_rows(awkward, nothing):
     assert packing.pack(nothing, queries.tokenizer_path()).count() == 0
 
 
+def test_rows_that_are_alike_are_dealt_to_several_groups(spark, monkeypatch):
+    """Empty texts make pieces of one token each; identical rows part all the same."""
+    monkeypatch.setattr(packing, "PIECES_A_GROUP", 500)
+    docs = spark.range(3000).selectExpr("cast(null as long) doc_id", "if(id % 2 = 0, '', null) text").repartition(3)
+    rows = packing.pack(docs, queries.tokenizer_path()).collect()
+    assert len(rows) == 3000 and check_packed(rows) >= 5
+    assert max(np.unique([r.sequence_id >> 32 for r in rows], return_counts=True)[1]) < 700
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_groups_fill_like_best_fit(seed):
     rng = np.random.default_rng(seed)
@@ -94,12 +103,15 @@ def test_groups_fill_like_best_fit(seed):
     assert len(used) <= -(-sizes.sum() // 4096) * 1.01 + 1
 
 
-def test_a_step_makes_the_sum_of_squares_least():
+@pytest.mark.parametrize("freely", [False, True])
+@pytest.mark.parametrize("longest_first", [False, True])
+def test_a_step_makes_the_sum_of_squares_least(freely, longest_first):
+    """Over all open sequences with room and, if opening is free, a new one."""
     rng = np.random.default_rng(9)
     sizes = rng.integers(1, 40, 200)
-    where, _ = packing.sum_of_squares(sizes, capacity=64)
+    where, _ = packing.sum_of_squares(sizes, 64, freely, longest_first)
     gaps = {}
-    for i in np.argsort(-sizes, kind="stable"):
+    for i in np.argsort(-sizes, kind="stable") if longest_first else range(len(sizes)):
         s = int(sizes[i])
         fits = {b: g for b, g in gaps.items() if g >= s}
 
@@ -107,7 +119,10 @@ def test_a_step_makes_the_sum_of_squares_least():
             left = [x for c, x in gaps.items() if c != b] + [g - s]
             return sum(left.count(x) ** 2 for x in set(left) if x)
 
-        if fits:
+        if fits and freely:
+            choices = [after(b, g) for b, g in fits.items()]
+            assert after(where[i], gaps.get(where[i], 64)) == min(*choices, after(None, 64))
+        elif fits:
             assert after(where[i], gaps[where[i]]) == min(after(b, g) for b, g in fits.items())
         else:
             assert where[i] not in gaps
