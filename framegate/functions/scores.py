@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from framegate.presets import CENTERING, DISTANCE, FOCUS, GATE, GUIDANCE, LIGHTING, LIVE, LOSS, PARTIAL, REPORT, STABLE_SECONDS, TOLD
+from framegate.presets import CENTERING, DISTANCE, FOCUS, GATE, GUIDANCE, GUIDANCE_VARIANTS, LIGHTING, LIVE, LOSS, PARTIAL, REPORT, STABLE_SECONDS, TOLD
 
 
 def _zero(value: Column) -> Column:
@@ -116,8 +116,12 @@ def condition_priority(failed: Column) -> Column:
     return F.get(F.filter(order, lambda n: F.array_contains(failed, n)), F.lit(0))
 
 
-def guidance(condition: Column) -> Column:
+def guidance(condition: Column, variant: Column | None = None) -> Column:
+    """What to say of a condition; variant: tooFar, tooClose, dark, tooBright or perfect."""
     out = F.when(condition.isNull(), "Hold Still")
+    if variant is not None:
+        for name, kind, text in GUIDANCE_VARIANTS:
+            out = out.when((condition == name) & (variant == kind), text)
     for name, text in GUIDANCE:
         out = out.when(condition == name, text)
     return out

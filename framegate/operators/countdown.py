@@ -23,9 +23,9 @@ def countdown_trigger(
     df = island(df, key, order, F.col("_good"))
     by_key = Window.partitionBy(*key)
     df = df.withColumn("_last", F.max(us).over(by_key))
-    # The bad row that ends a good run begins the next island.
-    ahead = by_key.orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
-    df = df.withColumn("_bad", F.first(F.when(~F.col("_good"), F.col(us)), ignorenulls=True).over(ahead))
+    # The next bad row, looked for backwards: a frame that only grows is aggregated once.
+    ahead = by_key.orderBy(*[F.col(c).desc() for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumn("_bad", F.last(F.when(~F.col("_good"), F.col(us)), ignorenulls=True).over(ahead))
     starts = df.filter(F.col("_run") == frames)
     due = F.col(us) + wait_us
     outcome = (

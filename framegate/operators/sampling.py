@@ -1,8 +1,8 @@
 """Greedy samplers: what is kept depends on what was kept before.
 
-No window function expresses that. ordered_fold sends each task its keys sorted and runs
-one small state a key over the rows as they stream by, in batches: memory does not grow
-with a key.
+No window function expresses that. Each task gets its keys sorted and runs one small state a
+key over the rows as they stream by, in batches: memory does not grow with a key.
+ordered_runs hands on arrays, ordered_fold single rows, for rules that need each.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -40,27 +41,65 @@ def ordered_fold(df: DataFrame, key: Names, order: Names, new_state: Callable[[]
     return df.repartition(*key).sortWithinPartitions(*key, *order).mapInPandas(run, schema)
 
 
+def ordered_runs(df: DataFrame, key: Names, order: Names, new_state: Callable[[], dict], step: Callable[[dict, pd.DataFrame], np.ndarray], schema: str) -> DataFrame:
+    """step(state, rows of one key in a batch, in order) may change the state and returns
+    the places of the rows that stay. Work goes by arrays, not by rows."""
+    keys = list(key)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state = None, None
+        for batch in batches:
+            if batch.empty:
+                continue
+            named = batch[keys]
+            turn = ((named != named.shift()) & ~(named.isna() & named.shift().isna())).any(axis=1).to_numpy(copy=True)
+            turn[0] = True
+            cuts = [*np.flatnonzero(turn), len(batch)]
+            kept = []
+            for low, high in zip(cuts, cuts[1:], strict=False):
+                mine = tuple(None if pd.isna(v) else v for v in named.iloc[low])
+                if state is None or mine != current:
+                    current, state = mine, new_state()
+                kept.append(low + step(state, batch.iloc[low:high]))
+            yield batch.iloc[np.concatenate(kept)]
+
+    return df.repartition(*key).sortWithinPartitions(*key, *order).mapInPandas(run, schema)
+
+
 def min_gap_sample(df: DataFrame, key: str, us: str, tie: str, gap_us: int) -> DataFrame:
     """key, us and tie of the rows at least gap_us after the last kept one (the first stays)."""
 
-    def step(state: dict, row: dict):
-        if "at" not in state or row[us] - state["at"] >= gap_us:
-            state["at"] = row[us]
-            return row[key], row[us], row[tie]
+    def step(state: dict, rows: pd.DataFrame) -> np.ndarray:
+        at, kept = rows[us].to_numpy(), []
+        i = int(np.searchsorted(at, state["at"] + gap_us)) if state else 0
+        while i < len(at):
+            kept.append(i)
+            i = max(i + 1, int(np.searchsorted(at, at[i] + gap_us)))  # one jump a kept row
+        if kept:
+            state["at"] = int(at[kept[-1]])
+        return np.array(kept, int)
 
-    return ordered_fold(df.select(key, us, tie), [key], [us, tie], dict, step, f"{key} long, {us} long, {tie} long")
+    return ordered_runs(df.select(key, us, tie), [key], [us, tie], dict, step, f"{key} long, {us} long, {tie} long")
 
 
 def throttle_repeats(df: DataFrame, key: str, us: str, tie: str, text: str, any_us: int, same_us: int) -> DataFrame:
     """Messages that are spoken: none within any_us of the last one, nor the same text
     within same_us of it."""
 
-    def step(state: dict, row: dict):
-        if "at" in state:
-            since = row[us] - state["at"]
-            if since < any_us or (row[text] == state["text"] and since < same_us):
-                return None
-        state.update(at=row[us], text=row[text])
-        return row[key], row[us], row[tie], row[text]
-
-    return ordered_fold(df.select(key, us, tie, text), [key], [us, tie], dict, step, f"{key} long, {us} long, {tie} long, {text} string")
+    def step(state: dict, rows: pd.DataFrame) -> np.ndarray:
+        at, said, kept = rows[us].to_numpy(), rows[text].to_numpy(object), []
+        last, word = state.get("at"), state.get("text")
+        i = 0
+        while i < len(at):
+            if last is not None and at[i] - last < any_us:
+                i = int(np.searchsorted(at, last + any_us))  # nothing is said before
+            elif last is not None and said[i] == word and at[i] - last < same_us:
+                i += 1
+            else:
+                kept.append(i)
+                last, word = int(at[i]), said[i]
+                i += 1
+        state.update(at=last, text=word)
+        return np.array(kept, int)
+
+    return ordered_runs(df.select(key, us, tie, text), [key], [us, tie], dict, step, f"{key} long, {us} long, {tie} long, {text} string")

@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame
 
 SCHEMA = "item_id string, success boolean, error string, original_size array<int>, upscaled_size array<int>, stage1_ms double, stage2_ms double, total_ms double, quality_score double"
 
-#: Takes (image, hint point) and gives (image, score); takes an image and gives an image.
-Stage1 = Callable[[np.ndarray, tuple[int, int]], tuple[np.ndarray, float]]
+#: Takes (image, hint point) and gives (image, score) or (image, score, mask); takes an image
+#: and gives an image.
+Stage1 = Callable[[np.ndarray, tuple[int, int]], tuple]
 Stage2 = Callable[[np.ndarray], np.ndarray]
 
 
@@ -35,29 +36,39 @@ def upscaled(image: np.ndarray, stage2: Stage2) -> np.ndarray:
         return image
 
 
-def score_two_stage(df: DataFrame, stage1_factory: Callable[[], Stage1], stage2_factory: Callable[[], Stage2]) -> DataFrame:
+def score_two_stage(
+    df: DataFrame, stage1_factory: Callable[[], Stage1], stage2_factory: Callable[[], Stage2], return_mask: bool = False, return_intermediate: bool = False,
+    return_image: bool = False,
+) -> DataFrame:
     """Scores rows of item_id, height, width, n_channels, data, hint_x, hint_y.
 
     The factories run once a task, so models load once. A stage 1 error fails its row and
-    never the job. total_ms = stage1_ms + stage2_ms."""
+    never the job. total_ms = stage1_ms + stage2_ms. The flags add the bytes of stage 1's
+    mask, of its image (both of original_size) and of stage 2's image (of upscaled_size), row
+    by row, in columns mask, intermediate and upscaled; NULL where there is none."""
+    asked = (("mask", return_mask), ("intermediate", return_intermediate), ("upscaled", return_image))
+    pictures = [name for name, wanted in asked if wanted]
+    schema = ", ".join([SCHEMA, *(f"{name} binary" for name in pictures)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         one, two = stage1_factory(), stage2_factory()
         for batch in batches:
-            yield pd.DataFrame([_scored(row, one, two) for row in batch.itertuples(index=False)], columns=[c.split()[0] for c in SCHEMA.split(", ")])
+            yield pd.DataFrame([_scored(row, one, two, pictures) for row in batch.itertuples(index=False)], columns=[c.split()[0] for c in schema.split(", ")])
 
     rows = df.select("item_id", "height", "width", "n_channels", "data", "hint_x", "hint_y")
-    return rows.mapInPandas(run, SCHEMA)
+    return rows.mapInPandas(run, schema)
 
 
-def _scored(row, one: Stage1, two: Stage2) -> tuple:
+def _scored(row, one: Stage1, two: Stage2, pictures: list[str]) -> tuple:
     began = time.perf_counter()
     try:
         image = np.frombuffer(row.data, np.uint8).reshape(row.height, row.width, row.n_channels)
-        cut, score = one(image, hint_point(row.hint_x, row.hint_y, row.width, row.height))
+        cut, score, *mask = one(image, hint_point(row.hint_x, row.hint_y, row.width, row.height))
     except Exception as error:  # one bad row is a result, not the end of the job
-        return row.item_id, False, str(error)[:200], None, None, None, None, None, None
+        return row.item_id, False, str(error)[:200], None, None, None, None, None, None, *[None] * len(pictures)
     middle = time.perf_counter()
     out = upscaled(cut, two)
     ms1, ms2 = (middle - began) * 1e3, (time.perf_counter() - middle) * 1e3
-    return row.item_id, True, None, list(cut.shape[:2]), list(out.shape[:2]), ms1, ms2, ms1 + ms2, float(score)
+    made = {"mask": mask[0] if mask else None, "intermediate": cut, "upscaled": out}
+    shown = [None if made[p] is None else np.ascontiguousarray(made[p]).tobytes() for p in pictures]
+    return row.item_id, True, None, list(cut.shape[:2]), list(out.shape[:2]), ms1, ms2, ms1 + ms2, float(score), *shown

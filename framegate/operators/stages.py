@@ -167,10 +167,31 @@ def _num(value) -> float:
     return float("nan") if value is None else float(value)
 
 
-def stage_funnel(df: DataFrame, key: Names, us: str, group: str) -> DataFrame:
-    """From stage_progression: for each group (and 'all'), sessions that reached each
-    stage, those lost before it and the mean seconds spent in the stage before."""
-    per = df.groupBy(*dict.fromkeys([*key, group])).agg(
+def failing(rules: StageRules = StageRules()) -> Column:
+    """The condition that keeps a row of stage_progression in its stage; NULL if none does."""
+    centre, bright = known(F.col("centering_ratio")), rules.brightness
+    third = (
+        F.when(~F.coalesce(centre <= rules.centering_max, F.lit(False)), "centering")
+        .when(~F.coalesce(known(F.col("sharpness")) >= rules.sharpness_min, F.lit(False)), "focus")
+        .when(~_within(F.col("brightness"), bright.low, bright.high), "lighting")
+    )
+    near = _within(F.col("iris_diameter") / rules.reference_height, rules.diameter.low, rules.diameter.high)
+    number = F.col("stage_number")
+    return F.when((number == 1) & ~near, "distance").when((number == 2) & ~F.coalesce("is_raised", F.lit(False)), "eyebrows").when(number == 3, third)
+
+
+def stage_funnel(df: DataFrame, key: Names, us: str, group: str, rules: StageRules = StageRules()) -> DataFrame:
+    """From stage_progression: for each group (and 'all') and stage, the sessions that reached
+    it, those lost before it, and the mean and median seconds spent in the stage before it;
+    and, of sessions stuck in the stage, the condition that failed in most of their rows there
+    (a tie: the first by name). The median is a session's, exact up to 10,000 sessions and
+    approximate beyond."""
+    by = list(dict.fromkeys([*key, group]))
+    held = df.withColumn("reached", F.max("stage_number").over(Window.partitionBy(*key)))
+    stuck = held.filter((F.col("stage_number") == F.col("reached")) & (F.col("reached") < len(STAGES))).withColumn("failed", failing(rules))
+    counts = stuck.filter("failed is not null").rollup("stage_number", "failed", group).agg(F.count("*").alias("n"), F.grouping(group).alias("every"), F.grouping("failed").alias("whole"))
+    counts = counts.filter("whole = 0").groupBy("stage_number", group, "every").agg(F.min_by("failed", F.struct(-F.col("n"), "failed")).alias("top_failing"))
+    per = df.groupBy(*by).agg(
         F.min(us).alias("began"), F.max("stage_number").alias("reached"),
         F.max("done_distance").alias("d1"), F.max("done_eyebrows").alias("d2"), F.max("done_final_checks").alias("d3"),
     )
@@ -178,10 +199,13 @@ def stage_funnel(df: DataFrame, key: Names, us: str, group: str) -> DataFrame:
     rows = per.select(group, "reached", F.posexplode(took).alias("at", "took")).withColumn("stage_number", F.col("at") + 1)
     came = F.col("reached") >= F.col("stage_number")
     out = rows.withColumn("came", came).rollup("stage_number", group).agg(
-        F.count_if("came").alias("sessions"), F.count("*").alias("started"), (F.avg("took") / 1e6).alias("mean_seconds")
+        F.count_if("came").alias("sessions"), F.count("*").alias("started"), (F.avg("took") / 1e6).alias("mean_seconds"),
+        (F.percentile_approx("took", 0.5, 10_000) / 1e6).alias("median_seconds"), F.grouping(group).alias("every"),
     ).filter(F.col("stage_number").isNotNull())
-    return out.select(
-        F.coalesce(F.col(group).cast("string"), F.lit("all")).alias("grp"), "stage_number",
+    top = counts.select(F.col("stage_number").alias("at"), F.col(group).alias("of"), F.col("every").alias("whole"), "top_failing")
+    met = out.join(top, (F.col("stage_number") == F.col("at")) & F.col(group).eqNullSafe(F.col("of")) & (F.col("every") == F.col("whole")), "left")
+    return met.select(
+        F.when(F.col("every") == 1, "all").otherwise(F.col(group).cast("string")).alias("grp"), "stage_number",
         F.element_at(F.array(*map(F.lit, STAGES)), F.col("stage_number")).alias("stage"),
-        "sessions", (F.col("started") - F.col("sessions")).alias("lost"), "mean_seconds",
+        "sessions", (F.col("started") - F.col("sessions")).alias("lost"), "mean_seconds", "median_seconds", "top_failing",
     )

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framegate.operators import candidates, raster, telemetry
 from framegate.plans.base import DAY_US, EV, query
 from framegate.presets import Band
+from framegate.sources import images
 from framegate.sources.tables import events, load
 
 TYPES = ("click", "view", "purchase", "signup", "error")
@@ -96,14 +97,36 @@ def raster_focus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.raster_focus(rasters(spark, sf_dir), "gray", 8).select("vec_id", F.round("focus", 5).alias("focus"))
 
 
-@query(f"""WITH {FOCUS}, told AS (SELECT label, focus, CASE WHEN focus >= 9000 THEN 'ok' WHEN focus >= 6000 THEN 'warn' ELSE 'fail' END AS status FROM focus)
-  SELECT label, count(*) AS images, count(*) FILTER (WHERE status = 'ok') AS ok, count(*) FILTER (WHERE status = 'warn') AS warn, count(*) FILTER (WHERE status = 'fail') AS fail,
-         round(count(*) FILTER (WHERE status = 'fail') / count(*), 6) AS rejected, round(quantile_cont(focus, 0.5), 4) AS median_focus FROM told GROUP BY label""")
+_INSIDE = "list_avg(list_transform(list_filter(range(64), lambda i: i % 8 >= 2 AND i % 8 < 6 AND i >= 16 AND i < 48), lambda i: g[i + 1]))"
+_QUANTILES = (("low", 0.05), ("median", 0.5), ("high", 0.95))
+_MEASURES = ("brightness", "sharpness", "focus")
+
+
+@query(f"""WITH items AS (SELECT vec_id, label, list_transform(embedding, lambda x: 128 + 200 * CAST(x AS DOUBLE)) AS g FROM embeddings),
+  checked AS (SELECT *, CASE WHEN g IS NULL THEN 'not an image' WHEN len(g) < 64 THEN 'too small' WHEN len(g) > 64 THEN 'too large' WHEN list_max(g) - list_min(g) < 150 THEN 'flat' END AS violation FROM items),
+  laps AS (SELECT vec_id, label, list_avg(g) AS m, {_INSIDE} AS brightness, {LAP} AS lap, {GRAD} AS grad FROM checked WHERE violation IS NULL),
+  told AS (SELECT label, brightness, greatest(0.0, {VAR}) AS sharpness, CASE WHEN m < 30 OR m > 240 THEN 0.0 ELSE 100 * (0.7 * ({VAR}) + 3 * list_avg(grad)) / (m + 1) END AS focus FROM laps),
+  stated AS (SELECT *, CASE WHEN focus >= 9000 THEN 'ok' WHEN focus >= 6000 THEN 'warn' ELSE 'fail' END AS status,
+             avg(focus) OVER (PARTITION BY label) AS middle, stddev_pop(focus) OVER (PARTITION BY label) AS spread FROM told),
+  per AS (SELECT label, count(*) AS images, count(*) FILTER (WHERE status = 'ok') AS ok, count(*) FILTER (WHERE status = 'warn') AS warn, count(*) FILTER (WHERE status = 'fail') AS fail,
+          count(*) FILTER (WHERE abs(focus - middle) > 2 * spread) AS outliers, {", ".join(f"round(quantile_disc({m}, {q}), 4) AS {name}_{m}" for m in _MEASURES for name, q in _QUANTILES)} FROM stated GROUP BY label),
+  bad AS (SELECT label, count(*) AS invalid FROM checked WHERE violation IS NOT NULL GROUP BY label)
+  SELECT per.*, coalesce(invalid, 0) AS invalid, round((fail + coalesce(invalid, 0)) / (images + coalesce(invalid, 0)), 6) AS rejected FROM per LEFT JOIN bad USING (label)""")
 def image_quality_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = raster.raster_focus(rasters(spark, sf_dir), "gray", 8)
+    """The image job by label: items are validated; good ones are measured for brightness,
+    sharpness and focus; then status counts, quantiles, the share rejected, and outliers of
+    focus (beyond two deviations of the label's mean)."""
+    items = load(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: 128 + 200 * x.cast("double")).alias("gray"))
+    size, flat = F.size("gray"), F.array_max("gray") - F.array_min("gray") < 150
+    good, bad = images.validate_items(items, (("not an image", F.col("gray").isNull()), ("too small", size < 64), ("too large", size > 64), ("flat", flat)))
+    df = raster.raster_brightness(raster.raster_sharpness(raster.raster_focus(good, "gray", 8), "gray", 8), "gray", 8, 0, 0, 8, 8).drop("gray")
     status = F.when(F.col("focus") >= 9000, "ok").when(F.col("focus") >= 6000, "warn").otherwise("fail")
-    df = df.withColumn("status", status)
-    return df.groupBy("label").agg(
-        F.count("*").alias("images"), *[F.count_if(F.col("status") == s).alias(s) for s in ("ok", "warn", "fail")],
-        F.round(F.count_if(F.col("status") == "fail") / F.count("*"), 6).alias("rejected"), F.round(F.percentile("focus", 0.5), 4).alias("median_focus"),
+    by_label = Window.partitionBy("label")
+    off = F.abs(F.col("focus") - F.avg("focus").over(by_label)) > 2 * F.stddev_pop("focus").over(by_label)
+    df = df.withColumns({"status": status, "off": off})
+    per = df.groupBy("label").agg(
+        F.count("*").alias("images"), *[F.count_if(F.col("status") == s).alias(s) for s in ("ok", "warn", "fail")], F.count_if("off").alias("outliers"),
+        *[F.round(F.percentile_approx(m, q, 10_000), 4).alias(f"{name}_{m}") for m in _MEASURES for name, q in _QUANTILES],
     )
+    out = per.join(bad.groupBy("label").agg(F.count("*").alias("invalid")), "label", "left").withColumn("invalid", F.coalesce("invalid", F.lit(0)))
+    return out.withColumn("rejected", F.round((F.col("fail") + F.col("invalid")) / (F.col("images") + F.col("invalid")), 6))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framegate.operators import policy
 from framegate.plans.base import DAY_US, EV, query
 from framegate.sources import captures, images
-from framegate.sources.tables import events, load
+from framegate.sources.tables import events, load, shared_folder
 
 WEEK_S = 7 * 86_400
 AS_OF_US = 1_706_745_600_000_000  # 2024-02-01
@@ -129,3 +131,21 @@ def request_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
 def result_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The keys under which write_results appends."""
     return load(spark, sf_dir, "orders").select("o_orderkey", captures.result_key(F.col("o_orderkey"), F.col("o_orderstatus")).alias("result_key"))
+
+
+@query("""SELECT day, CAST(o_orderkey AS VARCHAR) AS item_id, sha256(CAST(o_orderkey AS VARCHAR) || chr(31) || o_orderstatus) AS result_key, length(o_orderpriority) AS payload_bytes
+  FROM (SELECT *, strftime(o_orderdate, '%Y-%m') AS day FROM orders)""")
+def write_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results and payload are written after a run that broke off half-way, written again as
+    by a repeated run, and read back: every key once."""
+    path = f"{shared_folder(spark)}/results-{uuid.uuid4().hex}"
+    rows = load(spark, sf_dir, "orders").select(
+        F.date_format("o_orderdate", "yyyy-MM").alias("day"), F.col("o_orderkey").cast("string").alias("item_id"),
+        captures.result_key(F.col("o_orderkey"), F.col("o_orderstatus")).alias("result_key"), F.encode("o_orderpriority", "UTF-8").alias("payload"),
+    )
+    results, payload = rows.select("result_key", "item_id", "day"), rows.select("result_key", "payload", "day")
+    captures.write_results(results.filter("item_id % 2 = 0"), payload.filter("hash(result_key) % 2 = 0"), "result_key", "day", path)
+    for _ in range(2):
+        captures.write_results(results, payload, "result_key", "day", path)
+    held, sizes = (spark.read.schema(df.schema).parquet(f"{path}/{t}") for df, t in ((results, "results"), (payload, "payload")))
+    return held.join(sizes, ["result_key", "day"]).select("day", "item_id", "result_key", F.octet_length("payload").alias("payload_bytes"))

@@ -105,15 +105,23 @@ def feedback_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("event_id", live.alias("live"), scores.report_feedback(F.col("detected"), k % 5, **parts).alias("report"))
 
 
-@query(f"""WITH {EV}, told AS (SELECT event_id, CASE WHEN k % 2 = 0 THEN 'eyebrowsRaised' WHEN k % 3 = 0 THEN 'phoneAngleOk' WHEN k % 5 = 0 THEN 'distanceOk' WHEN k % 7 = 0 THEN 'focusSharp' WHEN NOT {SEEN} THEN 'faceDetected' END AS condition FROM ev)
-  SELECT event_id, condition, CASE condition WHEN 'eyebrowsRaised' THEN 'Raise Your Eyebrows' WHEN 'phoneAngleOk' THEN 'Aim Light at Hairline' WHEN 'distanceOk' THEN 'Move Closer' WHEN 'focusSharp' THEN 'Tap to Focus'
+@query(f"""WITH {EV}, told AS (SELECT event_id, value, CASE WHEN k % 2 = 0 THEN 'eyebrowsRaised' WHEN k % 3 = 0 THEN 'phoneAngleOk' WHEN k % 5 = 0 THEN 'distanceOk' WHEN k % 11 = 0 THEN 'eyeCentered'
+    WHEN k % 13 = 0 THEN 'lightingAdequate' WHEN k % 7 = 0 THEN 'focusSharp' WHEN NOT {SEEN} THEN 'faceDetected' END AS condition FROM ev)
+  SELECT event_id, condition, CASE condition WHEN 'eyebrowsRaised' THEN 'Raise Your Eyebrows' WHEN 'phoneAngleOk' THEN 'Aim Light at Hairline'
+    WHEN 'distanceOk' THEN CASE WHEN value > 60 THEN 'Move Back' WHEN value > 40 THEN 'Perfect Distance' ELSE 'Move Closer' END WHEN 'eyeCentered' THEN 'Center Your Eye'
+    WHEN 'lightingAdequate' THEN CASE WHEN value > 60 THEN 'Too Much Light' WHEN value > 40 THEN 'Good Lighting' ELSE 'More Light Needed' END WHEN 'focusSharp' THEN 'Tap to Focus'
     WHEN 'faceDetected' THEN 'Position Your Face' ELSE 'Hold Still' END AS message FROM told""")
 def condition_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("k")
-    tests = (("faceDetected", F.col("event_type") == "error"), ("focusSharp", k % 7 == 0), ("distanceOk", k % 5 == 0), ("phoneAngleOk", k % 3 == 0), ("eyebrowsRaised", k % 2 == 0))
+    k, value = F.col("k"), F.col("value")
+    tests = (
+        ("faceDetected", F.col("event_type") == "error"), ("focusSharp", k % 7 == 0), ("lightingAdequate", k % 13 == 0), ("eyeCentered", k % 11 == 0),
+        ("distanceOk", k % 5 == 0), ("phoneAngleOk", k % 3 == 0), ("eyebrowsRaised", k % 2 == 0),
+    )
     failed = F.array_compact(F.array(*[F.when(broken, name) for name, broken in tests]))
     df = events(spark, sf_dir).withColumn("condition", scores.condition_priority(failed))
-    return df.select("event_id", "condition", scores.guidance(F.col("condition")).alias("message"))
+    near = F.col("condition") == "distanceOk"
+    variant = F.when(value > 60, F.when(near, "tooClose").otherwise("tooBright")).when(value > 40, "perfect").otherwise(F.when(near, "tooFar").otherwise("dark"))
+    return df.select("event_id", "condition", scores.guidance(F.col("condition"), variant).alias("message"))
 
 
 @query(f"""WITH {EV}, {_STATUSES} SELECT event_id, seen AND k >= 5 AND fs = 'ok' AND k % 7 <> 0 AND ds = 'ok' AND ls <> 'fail' AND k % 3 <> 1 AS ready FROM parts""")
@@ -197,12 +205,12 @@ def _centroid_model():
     """A deterministic stand-in for a segmentation model: cuts around the hint, and scores by
     the cut's contrast."""
 
-    def run(image: np.ndarray, hint: tuple[int, int]) -> tuple[np.ndarray, float]:
+    def run(image: np.ndarray, hint: tuple[int, int]) -> tuple[np.ndarray, float, np.ndarray]:
         if image.mean() > 160:
             raise ValueError("no candidate in bounds")
         x, y = hint
         cut = image[max(0, y - 2) : y + 2, max(0, x - 2) : x + 2]
-        return cut, float(cut.std() / 128)
+        return cut, float(cut.std() / 128), (cut > 128).astype(np.uint8)
 
     return run
 
@@ -211,9 +219,14 @@ def _doubling_model():
     return lambda image: np.repeat(np.repeat(image, 4, axis=0), 4, axis=1)
 
 
-@query()
+@query("""WITH px AS (SELECT vec_id, list_transform(embedding, lambda x: least(255, greatest(0, CAST(floor(128 + 200 * x) AS INTEGER)))) AS p FROM embeddings WHERE embedding IS NOT NULL),
+  cut AS (SELECT vec_id, list_avg(p) > 160 AS bad, list_transform(list_filter(range(64), lambda i: i % 8 BETWEEN 2 AND 5 AND i // 8 BETWEEN 2 AND 5), lambda i: p[i + 1]) AS c FROM px)
+  SELECT CAST(vec_id AS VARCHAR) AS item_id, NOT bad AS success, CASE WHEN bad THEN 'no candidate in bounds' END AS error, CASE WHEN NOT bad THEN '4x4' END AS original_size,
+         CASE WHEN NOT bad THEN '16x16' END AS upscaled_size, CASE WHEN NOT bad THEN round(sqrt(list_avg(list_transform(c, lambda x: x * x)) - pow(list_avg(c), 2)) / 128, 6) END AS quality_score,
+         CASE WHEN NOT bad THEN 16 END AS intermediate_bytes, CASE WHEN NOT bad THEN len(list_filter(c, lambda x: x > 128)) END AS mask_pixels FROM cut""")
 def score_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings as 8 x 8 gray images through demonstration models; times are left out."""
+    """Embeddings as 8 x 8 gray images through demonstration models, with the first stage's
+    picture and mask; times are left out."""
     df = load(spark, sf_dir, "embeddings").filter("embedding is not null")
     pixel = F.transform("embedding", lambda x: F.least(F.lit(255), F.greatest(F.lit(0), F.floor(128 + 200 * x))))
     data = F.unhex(F.array_join(F.transform(pixel, lambda p: F.lpad(F.hex(p), 2, "0")), ""))
@@ -221,5 +234,9 @@ def score_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("vec_id").cast("string").alias("item_id"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("n_channels"), data.alias("data"),
         F.lit(None).cast("double").alias("hint_x"), F.lit(None).cast("double").alias("hint_y"),
     )
-    out = two_stage(rows, _centroid_model, _doubling_model)
-    return out.select("item_id", "success", "error", "original_size", "upscaled_size", "quality_score")
+    out = two_stage(rows, _centroid_model, _doubling_model, return_mask=True, return_intermediate=True)
+    size = lambda c: F.when(F.col(c).isNotNull(), F.array_join(c, "x")).alias(c)
+    return out.select(
+        "item_id", "success", "error", size("original_size"), size("upscaled_size"), F.round("quality_score", 6).alias("quality_score"),
+        F.octet_length("intermediate").alias("intermediate_bytes"), F.length(F.replace(F.hex("mask"), F.lit("0"), F.lit(""))).alias("mask_pixels"),
+    )

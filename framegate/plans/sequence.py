@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from framegate.operators import countdown, sampling, stages, windows
 from framegate.plans.base import EV, HOUR_US, query
-from framegate.presets import STAGES, Band, StageRules
+from framegate.presets import STAGE_TOLD, STAGES, Band, StageRules
 from framegate.sources.tables import events
 
 KEY, ORDER = ["user_id"], ["us", "event_id"]
@@ -103,20 +103,49 @@ def stage_progression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stages.stage_progression(stage_inputs(spark, sf_dir), KEY, "us", "event_id", RULES).select("event_id", "stage_number", "stage")
 
 
-@query()
+STAGE_W = "PARTITION BY user_id, stage_number ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+THIRD_W = "PARTITION BY user_id, counts3 ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+_TOLD = [f"'{text}'" for name in ("distance", "eyebrows", "final_checks") for text in STAGE_TOLD[name]]
+
+
+@query(f"""WITH {STAGED},
+  r1 AS (SELECT staged.*, coalesce(run, 0) AS raised_run, stage_number = 3 AND us2 <> us AS counts3,
+           coalesce(last_value(CASE WHEN value / 500 BETWEEN 0.04 AND 0.2 THEN true WHEN value / 500 NOT BETWEEN 0.02 AND 0.22 THEN false END IGNORE NULLS) OVER ({STAGE_W}), false) AND stage_number = 1 AS near_
+         FROM staged LEFT JOIN (SELECT event_id, run FROM s2r) USING (event_id)),
+  r2 AS (SELECT * REPLACE (coalesce(counts3, false) AS counts3), sum(CASE WHEN near_ THEN 0 ELSE 1 END) OVER ({STAGE_W}) AS isle1 FROM r1),
+  r3 AS (SELECT *, CASE WHEN near_ THEN least(100.0, (us - min(us) OVER (PARTITION BY user_id, stage_number, isle1, near_)) * 100.0 / {RULES.hold_us}) ELSE 0.0 END AS p1,
+           coalesce(last_value(CASE WHEN value >= 8 AND k / 100 <= 0.6 AND value * 2 BETWEEN 20 AND 300 THEN true WHEN NOT (value >= 8 AND k / 100 <= 0.65 AND value * 2 BETWEEN 10 AND 310) THEN false END IGNORE NULLS) OVER ({THIRD_W}), false) AND counts3 AS fine
+         FROM r2),
+  r4 AS (SELECT *, sum(CASE WHEN fine THEN 0 ELSE 1 END) OVER ({THIRD_W}) AS isle3 FROM r3),
+  r5 AS (SELECT *, CASE WHEN fine THEN least(100.0, (us - min(us) OVER (PARTITION BY user_id, counts3, isle3, fine)) * 100.0 / {RULES.hold_us}) ELSE 0.0 END AS p3, raised_run AS raised_count FROM r4),
+  told AS (SELECT event_id, {NAMES}[stage_number] AS stage, stage_number, CASE stage_number WHEN 1 THEN p1 WHEN 2 THEN least(100.0, raised_count * 100.0 / 3) WHEN 3 THEN p3 ELSE 100.0 END AS progress,
+      CASE stage_number WHEN 1 THEN CASE WHEN value / 500 < 0.04 THEN {_TOLD[0]} WHEN value / 500 > 0.2 THEN {_TOLD[1]} ELSE {_TOLD[2]} END
+        WHEN 2 THEN CASE WHEN event_type = 'error' THEN {_TOLD[3]} WHEN raised_count < 1.5 THEN {_TOLD[4]} ELSE {_TOLD[5]} END
+        WHEN 3 THEN CASE WHEN k / 100 > 0.6 THEN {_TOLD[6]} WHEN value < 8 THEN {_TOLD[7]} WHEN value * 2 < 20 THEN {_TOLD[8]} ELSE {_TOLD[9]} END
+        ELSE '{STAGE_TOLD["ready"]}' END AS message FROM r5)
+  SELECT event_id, stage, stage_number, round(progress, 6) AS progress, message, progress >= 100 AS can_advance FROM told""")
 def stage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stages.stage_report(stage_inputs(spark, sf_dir), KEY, "us", "event_id", RULES).select("event_id", *stages.REPORT)
+    return stages.stage_report(stage_inputs(spark, sf_dir), KEY, "us", "event_id", RULES).select("event_id", *stages.REPORT).withColumn("progress", F.round("progress", 6))
 
 
 @query(f"""WITH {STAGED},
   per AS (SELECT user_id, user_id % 3 AS grp, min(us) AS began, max(stage_number) AS reached, max(us1) AS d1, max(us2) AS d2, max(us3) AS d3 FROM staged GROUP BY user_id),
-  long AS (SELECT grp, reached, n AS stage_number, CASE n WHEN 2 THEN d1 - began WHEN 3 THEN d2 - d1 WHEN 4 THEN d3 - d2 END AS took FROM per, unnest([1, 2, 3, 4]) AS u(n))
-  SELECT coalesce(CAST(grp AS VARCHAR), 'all') AS grp, stage_number, {NAMES}[stage_number] AS stage, count(*) FILTER (WHERE reached >= stage_number) AS sessions,
-         count(*) FILTER (WHERE reached < stage_number) AS lost, round(avg(took) / 1e6, 3) AS mean_seconds
-  FROM long GROUP BY GROUPING SETS ((grp, stage_number), (stage_number))""")
+  long AS (SELECT grp, reached, n AS stage_number, CASE n WHEN 2 THEN d1 - began WHEN 3 THEN d2 - d1 WHEN 4 THEN d3 - d2 END AS took FROM per, unnest([1, 2, 3, 4]) AS u(n)),
+  told AS (
+    SELECT coalesce(CAST(grp AS VARCHAR), 'all') AS grp, stage_number, {NAMES}[stage_number] AS stage, count(*) FILTER (WHERE reached >= stage_number) AS sessions,
+           count(*) FILTER (WHERE reached < stage_number) AS lost, round(avg(took) / 1e6, 3) AS mean_seconds, round(quantile_disc(took, 0.5) / 1e6, 3) AS median_seconds
+    FROM long GROUP BY GROUPING SETS ((grp, stage_number), (stage_number))),
+  failed AS (
+    SELECT stage_number, user_id % 3 AS grp, CASE stage_number WHEN 1 THEN CASE WHEN NOT coalesce(value / 500 BETWEEN 0.04 AND 0.2, false) THEN 'distance' END
+      WHEN 2 THEN CASE WHEN event_type = 'error' THEN 'eyebrows' END
+      WHEN 3 THEN CASE WHEN NOT coalesce(k / 100 <= 0.6, false) THEN 'centering' WHEN NOT coalesce(value >= 8, false) THEN 'focus' WHEN NOT coalesce(value * 2 BETWEEN 20 AND 300, false) THEN 'lighting' END END AS why
+    FROM staged JOIN per USING (user_id) WHERE stage_number = reached AND reached < 4),
+  counted AS (SELECT coalesce(CAST(grp AS VARCHAR), 'all') AS grp, stage_number, why, count(*) AS n FROM failed WHERE why IS NOT NULL GROUP BY GROUPING SETS ((grp, stage_number, why), (stage_number, why))),
+  top AS (SELECT grp, stage_number, why AS top_failing FROM counted QUALIFY row_number() OVER (PARTITION BY grp, stage_number ORDER BY n DESC, why) = 1)
+  SELECT told.*, top_failing FROM told LEFT JOIN top USING (grp, stage_number)""")
 def stage_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = stages.stage_progression(stage_inputs(spark, sf_dir), KEY, "us", "event_id", RULES).withColumn("grp", F.col("user_id") % 3)
-    return stages.stage_funnel(df, KEY, "us", "grp").withColumn("mean_seconds", F.round("mean_seconds", 3))
+    return stages.stage_funnel(df, KEY, "us", "grp", RULES).withColumns({c: F.round(c, 3) for c in ("mean_seconds", "median_seconds")})
 
 
 def _regress(state: stages.SessionState, row: dict):
@@ -125,7 +154,31 @@ def _regress(state: stages.SessionState, row: dict):
     return row["event_id"], state.step(row, RULES)
 
 
-@query()
+#: The stage rules event by event; stage counts from 0. A signup sends a session back first.
+REGRESSED = f"""{EV},
+  numbered AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS n, CASE WHEN event_type = 'signup' THEN CASE WHEN event_id % 2 = 0 THEN 0 ELSE 2 END END AS back FROM ev),
+  walked AS (
+    SELECT user_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS BIGINT) AS us, 0 AS stage, CAST(NULL AS BIGINT) AS since1, 0 AS raised, false AS confirmed, CAST(NULL AS BIGINT) AS since3
+    FROM (SELECT DISTINCT user_id FROM ev)
+    UNION ALL
+    SELECT user_id, n, event_id, us,
+           s + CAST(CASE s WHEN 0 THEN coalesce(us - since1n >= {RULES.hold_us}, false) WHEN 1 THEN confirmedn WHEN 2 THEN coalesce(us - since3n >= {RULES.hold_us}, false) ELSE false END AS INT),
+           since1n, raisedn, confirmedn, since3n
+    FROM (
+      SELECT *, CASE WHEN s = 0 THEN CASE WHEN near_ THEN coalesce(since1, us) END ELSE since1 END AS since1n, CASE WHEN s = 2 THEN CASE WHEN fine THEN coalesce(since3, us) END ELSE since3 END AS since3n,
+             CASE WHEN s = 1 AND NOT confirmed THEN CASE WHEN up THEN raised + 1 ELSE 0 END ELSE raised END AS raisedn,
+             confirmed OR (s = 1 AND up AND raised + 1 >= 3) AS confirmedn
+      FROM (
+        SELECT b.user_id, b.n, b.event_id, b.us, s, w.since1, w.raised, w.confirmed, w.since3, event_type <> 'error' AS up,
+               coalesce(value / 500 BETWEEN 0.04 - m1 AND 0.2 + m1, false) AS near_,
+               coalesce(k / 100 <= CASE WHEN w.since3 IS NULL THEN 0.6 ELSE 0.65 END AND value >= 8 AND value * 2 BETWEEN 20 - m3 AND 300 + m3, false) AS fine
+        FROM (SELECT w.user_id, w.n, w.raised, w.confirmed, coalesce(b.back, w.stage) AS s, CASE WHEN b.back IS NULL THEN w.since1 END AS since1, CASE WHEN b.back IS NULL THEN w.since3 END AS since3,
+                     CASE WHEN b.back IS NULL AND w.since1 IS NOT NULL THEN 0.02 ELSE 0 END AS m1, CASE WHEN b.back IS NULL AND w.since3 IS NOT NULL THEN 10 ELSE 0 END AS m3
+              FROM walked w JOIN numbered b ON b.user_id = w.user_id AND b.n = w.n + 1) w
+        JOIN numbered b ON b.user_id = w.user_id AND b.n = w.n + 1)))"""
+
+
+@query(f"WITH RECURSIVE {REGRESSED} SELECT event_id, {NAMES}[stage + 1] AS stage FROM walked WHERE n > 0")
 def stage_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A signup sends its session back: to the first stage or, for odd ids, the third."""
     back = F.when(F.col("event_type") == "signup", F.when(F.col("event_id") % 2 == 0, STAGES[0]).otherwise(STAGES[2]))

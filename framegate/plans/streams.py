@@ -6,15 +6,13 @@ DuckDB twins hold the batch result up to the same time.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framegate.plans import policy, sequence
 from framegate.plans.base import DAY_US, EV, HOUR_US, query
 from framegate.presets import STAGES
-from framegate.sources.tables import load, micros
+from framegate.sources.tables import load, micros, shared_folder
 from framegate.streaming import stateful, windows
 
 LATE = "1 hour"
@@ -23,14 +21,6 @@ STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 MARK = f"mark AS (SELECT max(us) // 1000 - {HOUR_US // 1000} AS ms FROM ev)"
 
 
-def _folder(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="framegate-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as a stream, ts with a time zone, us and k as in the batch."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
@@ -48,7 +38,7 @@ def _keyed(df: DataFrame, key, *columns) -> DataFrame:
   SELECT window_us, event_type, n, total FROM per, mark WHERE (window_us + {DAY_US}) // 1000 <= ms""")
 def stream_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = windows.stream_telemetry(_events(spark, sf_dir), "ts", "event_type", "value", "1 day", late=LATE)
-    out = windows.drained(out.select(F.unix_micros("start").alias("window_us"), "event_type", "n", "total"), _folder(spark))
+    out = windows.drained(out.select(F.unix_micros("start").alias("window_us"), "event_type", "n", "total"), shared_folder(spark))
     return out.withColumn("total", F.round("total", 4))
 
 
@@ -60,13 +50,13 @@ def stream_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = windows.stream_sessions(_events(spark, sf_dir), "ts", "user_id", "value", "6 hours", LATE)
     told = out.select("user_id", "frames", F.unix_micros("first_ts").alias("first_us"), F.unix_micros("last_ts").alias("last_us"), "best")
-    return windows.drained(told, _folder(spark))
+    return windows.drained(told, shared_folder(spark))
 
 
 @query(f"WITH {sequence.BANDED}, {MARK} SELECT user_id AS key, event_id AS id, CASE WHEN on_ THEN 'pass' ELSE 'fail' END AS state FROM banded, mark WHERE us // 1000 < ms")
 def stream_hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _keyed(_events(spark, sf_dir), F.col("user_id"), "value")
-    return windows.drained(stateful.run_ordered(rows, stateful.Hysteresis(sequence.BAND)), _folder(spark))
+    return windows.drained(stateful.run_ordered(rows, stateful.Hysteresis(sequence.BAND)), shared_folder(spark))
 
 
 @query(f"""WITH {EV}, {MARK}, told AS (SELECT event_type || '/' || user_id AS key, event_id AS id, us, {policy.ADMITTED} AS admitted FROM ev)
@@ -74,7 +64,7 @@ def stream_hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.concat_ws("/", "event_type", F.col("user_id").cast("string"))
     rows = _keyed(_events(spark, sf_dir), key)
-    return windows.drained(stateful.run_ordered(rows, stateful.RateLimit(2, DAY_US), "string"), _folder(spark))
+    return windows.drained(stateful.run_ordered(rows, stateful.RateLimit(2, DAY_US), "string"), shared_folder(spark))
 
 
 @query(f"WITH {sequence.STAGED}, {MARK} SELECT user_id AS key, event_id AS id, {sequence.NAMES}[stage_number] AS stage FROM staged, mark WHERE us // 1000 < ms")
@@ -84,10 +74,10 @@ def stream_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
         df, F.col("user_id"), F.col("value").alias("iris_diameter"), (F.col("event_type") != "error").alias("is_raised"), (F.col("k") / 100).alias("centering_ratio"),
         F.col("value").alias("sharpness"), (F.col("value") * 2).alias("brightness"), F.lit(None).cast("string").alias("return_to"),
     )
-    return windows.drained(stateful.run_ordered(rows, stateful.Stages(sequence.RULES)), _folder(spark))
+    return windows.drained(stateful.run_ordered(rows, stateful.Stages(sequence.RULES)), shared_folder(spark))
 
 
-@query()
+@query(f"WITH RECURSIVE {sequence.REGRESSED}, {MARK} SELECT user_id AS key, event_id AS id, {sequence.NAMES}[stage + 1] AS stage FROM walked, mark WHERE n > 0 AND us // 1000 < ms")
 def stream_stage_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """stream_stages in which a signup sends its session back, as in stage_regression."""
     df = _events(spark, sf_dir)
@@ -96,7 +86,7 @@ def stream_stage_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
         df, F.col("user_id"), F.col("value").alias("iris_diameter"), (F.col("event_type") != "error").alias("is_raised"), (F.col("k") / 100).alias("centering_ratio"),
         F.col("value").alias("sharpness"), (F.col("value") * 2).alias("brightness"), back.alias("return_to"),
     )
-    return windows.drained(stateful.run_ordered(rows, stateful.Stages(sequence.RULES)), _folder(spark))
+    return windows.drained(stateful.run_ordered(rows, stateful.Stages(sequence.RULES)), shared_folder(spark))
 
 
 @query(f"""WITH {sequence.NOT_ERROR}, {MARK},
@@ -108,23 +98,26 @@ def stream_stage_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT user_id AS key, started_us, outcome, CASE outcome WHEN 'aborted' THEN bad_us ELSE started_us + {DAY_US} END AS ended_us FROM told WHERE outcome <> 'open' AND (won IS NULL OR started_us <= won)""")
 def stream_countdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _keyed(_events(spark, sf_dir), F.col("user_id"), (F.col("event_type") != "error").alias("good"))
-    return windows.drained(stateful.run_ordered(rows, stateful.Countdown(5, DAY_US)), _folder(spark))
+    return windows.drained(stateful.run_ordered(rows, stateful.Countdown(5, DAY_US)), shared_folder(spark))
 
 
-@query(f"""WITH {policy.STORED} SELECT event_id FROM asked JOIN stored USING (user_id) WHERE us - created_us BETWEEN 0 AND {policy.WEEK_S * 1_000_000}""")
+@query(f"""WITH {policy.STORED}, told AS (SELECT event_id, us, {policy.FOUND} AS found FROM asked LEFT JOIN stored USING (user_id)),
+  mark AS (SELECT least((SELECT max(us) FROM asked), (SELECT max(created_us) FROM stored)) // 1000 - {HOUR_US // 1000} AS ms)
+  SELECT event_id, found FROM told, mark WHERE found OR us // 1000 < ms""")
 def stream_ttl_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests that found their token; the store's first rows stream in beside them."""
+    """Requests and whether each found its token; the store's first rows stream in beside
+    them. A miss is told when the slower stream's watermark has passed it."""
     asked = _events(spark, sf_dir).filter("event_type = 'purchase'").select("event_id", "user_id", "ts")
     first = policy.stored(spark, sf_dir).withColumnRenamed("user_id", "owner")
     ev = _events(spark, sf_dir).filter("event_type = 'signup'").select("user_id", "ts", "us")
     held = ev.join(first, (ev.user_id == first.owner) & (ev.us == first.created_us), "left_semi").drop("us")
     out = windows.stream_ttl_lookup(asked, held, "user_id", f"{policy.WEEK_S} seconds", LATE)
-    return windows.drained(out.select("event_id", "found"), _folder(spark)).filter("found").select("event_id")
+    return windows.drained(out.select("event_id", "found"), shared_folder(spark))
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = windows.stream_dedup(_events(spark, sf_dir), "ts", ["user_id", "event_type"], "3650 days")
-    return windows.drained(df.select("user_id", "event_type"), _folder(spark))
+    return windows.drained(df.select("user_id", "event_type"), shared_folder(spark))
 
 

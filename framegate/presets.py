@@ -46,6 +46,13 @@ GUIDANCE = (
     ("focusSharp", "Tap to Focus"),
     ("faceDetected", "Position Your Face"),
 )
+#: What is said instead where it is known how a condition fails, or that it is met.
+GUIDANCE_VARIANTS = (
+    ("distanceOk", "tooClose", "Move Back"),
+    ("distanceOk", "perfect", "Perfect Distance"),
+    ("lightingAdequate", "tooBright", "Too Much Light"),
+    ("lightingAdequate", "perfect", "Good Lighting"),
+)
 
 
 #: Fixed values of the frame scores: shares of the frame's short side, brightness, focus.

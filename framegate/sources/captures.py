@@ -28,7 +28,18 @@ def result_key(*parts: Column) -> Column:
 
 
 def write_results(results: DataFrame, payload: DataFrame, key: str, day: str, path: str) -> None:
-    """Appends results and their payload to two Parquet tables by day, so that reading the
-    one never touches the bytes of the other."""
-    results.write.mode("append").partitionBy(day).parquet(f"{path}/results")
-    payload.write.mode("append").partitionBy(day).parquet(f"{path}/payload")
+    """Adds results and their payload to two Parquet tables by day, so that reading the one
+    never touches the bytes of the other. A key that the day holds already is not written
+    again, so a run can be repeated; of rows that share a key, one is written."""
+    for table, rows in (("results", results), ("payload", payload)):
+        place, fresh = f"{path}/{table}", rows.dropDuplicates([day, key])
+        if _exists(rows, place):
+            held = rows.sparkSession.read.schema(rows.select(key, day).schema).parquet(place)  # two columns, one of them the folder's
+            fresh = fresh.join(held, [key, day], "left_anti").select(rows.columns)
+        fresh.write.mode("append").partitionBy(day).parquet(place)
+
+
+def _exists(df: DataFrame, path: str) -> bool:
+    spark = df.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
