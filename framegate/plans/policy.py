@@ -148,4 +148,4 @@ def write_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     for _ in range(2):
         captures.write_results(results, payload, "result_key", "day", path)
     held, sizes = (spark.read.schema(df.schema).parquet(f"{path}/{t}") for df, t in ((results, "results"), (payload, "payload")))
-    return held.join(sizes, ["result_key", "day"]).select("day", "item_id", "result_key", F.octet_length("payload").alias("payload_bytes"))
+    return held.join(sizes, ["result_key", "day"]).select("day", "item_id", "result_key", F.octet_length("payload").cast("long").alias("payload_bytes"))

@@ -238,5 +238,5 @@ def score_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = lambda c: F.when(F.col(c).isNotNull(), F.array_join(c, "x")).alias(c)
     return out.select(
         "item_id", "success", "error", size("original_size"), size("upscaled_size"), F.round("quality_score", 6).alias("quality_score"),
-        F.octet_length("intermediate").alias("intermediate_bytes"), F.length(F.replace(F.hex("mask"), F.lit("0"), F.lit(""))).alias("mask_pixels"),
+        F.octet_length("intermediate").cast("long").alias("intermediate_bytes"), F.length(F.replace(F.hex("mask"), F.lit("0"), F.lit(""))).cast("long").alias("mask_pixels"),
     )
