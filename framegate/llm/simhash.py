@@ -230,6 +230,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         if keys != held:
             groups, held = likeness.shared_groups(sets.join(roots, "node"), keys, parts), keys
         more = likeness.alike(groups, roots, sets, texts, parts, every_pair)
+        if more.isEmpty():
+            continue
         more = more.join(of_fp.select(F.col("node").alias("a"), F.col("fp").alias("fa")), "a")
         more = more.join(of_fp.select(F.col("node").alias("b"), F.col("fp").alias("fb")), "b")
         links = written(links.union(more.select(F.col("fa").alias("a"), F.col("fb").alias("b"))), "near-links")
