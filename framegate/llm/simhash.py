@@ -225,7 +225,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     same = rows.select("node", "fp").distinct().join(sets.select("node", F.col("fp").alias("a")), "node").select("a", F.col("fp").alias("b"))
     links = written(links.union(same.filter("a <> b")), "near-links")
     of_fp = sets.select("node", "fp")
-    roots, groups, held = _roots(of_fp, stars(links)), None, ""
+    root = stars(links)
+    roots, groups, held = _roots(of_fp, root), None, ""
     for keys, every_pair in (("mins", False), ("prefix", False), ("prefix", True)):
         if keys != held:
             groups, held = likeness.shared_groups(sets.join(roots, "node"), keys, parts), keys
