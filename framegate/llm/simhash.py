@@ -218,7 +218,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = written(_features(docs, id_col, text_col, likeness.common_shingles(texts)), "near-rows")
     distinct = written(rows.groupBy("fp").agg(F.min("id").alias("least")), "near-distinct")
     parts = _key_partitions(docs, distinct)
-    sets = rows.select("node", "fp", "n", "th", "prefix", "mins", "bits").dropDuplicates(["node"])
+    sets = rows.select("node", "fp", "n", "th", "prefix", "bits").dropDuplicates(["node"])
     sets = written(sets, "near-sets")
     links = _ball_links(distinct, parts).distinct()
     # Equal sets may have several fingerprints (words repeat).
@@ -226,10 +226,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     links = written(links.union(same.filter("a <> b")), "near-links")
     of_fp = sets.select("node", "fp")
     root = stars(links)
-    roots, groups, held = _roots(of_fp, root), None, ""
-    for keys, every_pair in (("mins", False), ("prefix", False), ("prefix", True)):
-        if keys != held:
-            groups, held = likeness.shared_groups(sets.join(roots, "node"), keys, parts), keys
+    roots = _roots(of_fp, root)
+    groups = likeness.shared_groups(sets.join(roots, "node"), parts)
+    for every_pair in (False, True):
         more = likeness.alike(groups, roots, sets, texts, parts, every_pair)
         if more.isEmpty():
             continue
@@ -258,24 +257,24 @@ def _roots(of_fp: DataFrame, root: DataFrame) -> DataFrame:
 
 
 def _features(docs: DataFrame, id_col: str, text_col: str, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(id, th, fp, node, n, prefix, mins, bits) of every row: a hash of its text, its
-    fingerprint, and the name, size, prefix, min-hashes and bitmap of its five-word shingles."""
+    """(id, th, fp, node, n, prefix, bits) of every row: a hash of its text, its fingerprint,
+    and the name, size, prefix and bitmap of its set of five-word shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t.encode() for t in batch.column(2).to_pylist()]
             fps = np.array([fingerprint(t) for t in texts], U64).view(np.int64)
             found = [
-                (k, len(s), likeness.prefix(s, common).view(np.int64), likeness.mins(s).view(np.int64), likeness.bitmap(s))
+                (k, len(s), likeness.prefix(s, common).view(np.int64), likeness.bitmap(s))
                 for k, s in likeness.shingle_sets(texts)
             ]
-            node, n, *lists = zip(*found, strict=True) if found else ((),) * 5
+            node, n, *lists = zip(*found, strict=True) if found else ((),) * 4
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(fps), pa.array(node, pa.int64()), pa.array(n, pa.int32())]
                 + [pa.array(x, pa.list_(pa.int64())) for x in lists],
-                ["id", "th", "fp", "node", "n", "prefix", "mins", "bits"],
+                ["id", "th", "fp", "node", "n", "prefix", "bits"],
             )
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("t"))
-    return rows.mapInArrow(run, "id long, th long, fp long, node long, n int, prefix array<long>, mins array<long>, bits array<long>")
+    return rows.mapInArrow(run, "id long, th long, fp long, node long, n int, prefix array<long>, bits array<long>")
