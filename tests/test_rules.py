@@ -155,11 +155,17 @@ def test_images_are_read_checked_and_measured(spark, tmp_path):
 
 
 def test_results_are_appended_apart_from_their_payload(spark, tmp_path):
+    """A repeated run adds nothing; a key that is new to its day is added."""
     df = spark.createDataFrame([("a", "2024-01-01", b"xx"), ("b", "2024-01-02", b"yy")], "k string, day string, payload binary")
     df = df.withColumn("key", captures.result_key(F.col("k"), F.col("day")))
     for _ in range(2):
         captures.write_results(df.select("key", "day"), df.select("key", "payload", "day"), "key", "day", str(tmp_path))
-    assert spark.read.parquet(f"{tmp_path}/results").count() == 4 and "payload" not in spark.read.parquet(f"{tmp_path}/results").columns
+    assert spark.read.parquet(f"{tmp_path}/results").count() == 2 and "payload" not in spark.read.parquet(f"{tmp_path}/results").columns
+    more = spark.createDataFrame([("c", "2024-01-02", b"zz")], "key string, day string, payload binary").union(df.select("key", "day", "payload"))
+    captures.write_results(more.select("key", "day"), more.select("key", "payload", "day"), "key", "day", str(tmp_path))
+    for table in ("results", "payload"):
+        assert spark.read.parquet(f"{tmp_path}/{table}").count() == 3
+    assert {bytes(r.payload) for r in spark.read.parquet(f"{tmp_path}/payload").collect()} == {b"xx", b"yy", b"zz"}
 
 
 def _first(fail):
