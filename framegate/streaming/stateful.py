@@ -18,14 +18,21 @@ from framegate.presets import Band, StageRules
 
 
 class Ordered(StatefulProcessor):
-    """Buffers rows of a key, and hands those below the watermark in order to step()."""
+    """Holds a key's rows back, in buckets of time, and hands them in order to step() once the
+    watermark has passed them. A bucket is read when rows come to it and when its timer fires,
+    so the work on a row does not grow with what else waits."""
 
     columns: tuple[str, ...] = ()
+    #: Event time that one bucket of waiting rows spans.
+    bucket_ms = 600_000
+    #: A key starts afresh with a row so long after its last one, and is forgotten when the
+    #: watermark says so; None keeps keys for good.
+    idle_ms: int | None = None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.memory = handle.getValueState("memory", "j string")
-        self.waiting = handle.getListState("waiting", "us long, id long, row string")
+        self.waiting = handle.getMapState("waiting", "bucket long", "rows string")
 
     def start(self) -> dict:
         return {}
@@ -37,41 +44,62 @@ class Ordered(StatefulProcessor):
         raise NotImplementedError
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        added = []
+        added: dict[int, list] = {}
         for batch in rows:
-            for r in batch[["us", "id", *self.columns]].astype(object).where(batch.notna(), None).to_dict("records"):
-                added.append((int(r["us"]), int(r["id"]), json.dumps({c: _plain(r[c]) for c in self.columns})))
-        if added:
-            self.waiting.appendList(added)
-            self.handle.registerTimer(min(a[0] for a in added) // 1000 + 1)
-        yield self._drain(key, timerValues.getCurrentWatermarkInMs())
+            for row in zip(*(_plain(batch[c]) for c in ("us", "id", *self.columns)), strict=True):
+                added.setdefault(row[0] // 1000 // self.bucket_ms, []).append(row)
+        for bucket, new in added.items():
+            held = self.waiting.getValue((bucket,))
+            self._hold(bucket, (json.loads(held[0]) if held else []) + new)
+        yield from ()  # rows that come are never below the watermark, so timers tell them
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        yield self._drain(key, timerValues.getCurrentWatermarkInMs())
+        """Timers fire in order of time, so the buckets of a key are told in order."""
+        watermark = timerValues.getCurrentWatermarkInMs()
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        bucket = at // self.bucket_ms
+        known = json.loads(self.memory.get()[0]) if self.memory.exists() else None
+        held = self.waiting.getValue((bucket,))
+        if held:
+            rows = sorted(json.loads(held[0]), key=lambda r: (r[0], r[1], json.dumps(r[2:])))
+            ready = [r for r in rows if r[0] // 1000 < watermark]
+            if len(ready) < len(rows):
+                self._hold(bucket, rows[len(ready) :])
+            else:
+                self.waiting.removeKey((bucket,))
+            if ready:
+                known, out = self._told(known, key, ready)
+                self.memory.update((json.dumps(known),))
+                yield pd.DataFrame(out, columns=self.names())
+        if self.idle_ms is not None and known:
+            over = known["last_ms"] + self.idle_ms
+            if over <= at:  # by the timer, not the watermark: rows in between may still wait for theirs
+                self.memory.clear()
+            else:
+                self.handle.registerTimer(over)
 
-    def _drain(self, key: tuple, watermark_ms: int) -> pd.DataFrame:
-        held = sorted((r[0], r[1], r[2]) for r in self.waiting.get())
-        ready = [h for h in held if h[0] // 1000 < watermark_ms]
+    def _hold(self, bucket: int, rows: list) -> None:
+        self.waiting.updateValue((bucket,), (json.dumps(rows),))
+        # A timer fires when the watermark is beyond it.
+        self.handle.registerTimer(min(r[0] for r in rows) // 1000)
+
+    def _told(self, known: dict | None, key: tuple, rows: list) -> tuple[dict, list[tuple]]:
         out: list[tuple] = []
-        if ready:
-            memory = json.loads(self.memory.get()[0]) if self.memory.exists() else self.start()
-            for us, id_, row in ready:
-                out += self.step(memory, key, {"us": us, "id": id_, **json.loads(row)})
-            self.memory.update((json.dumps(memory),))
-            rest = held[len(ready) :]
-            if rest:
-                self.waiting.put(rest)
-                self.handle.registerTimer(rest[0][0] // 1000 + 1)
-            else:
-                self.waiting.clear()
-        return pd.DataFrame(out, columns=self.names())
+        for us, id_, *values in rows:
+            ms = us // 1000
+            if known is None or (self.idle_ms is not None and ms - known["last_ms"] > self.idle_ms):
+                known = {"memory": self.start()}
+            known["last_ms"] = ms
+            out += self.step(known["memory"], key, {"us": us, "id": id_, **dict(zip(self.columns, values, strict=True))})
+        return known, out
 
     def close(self) -> None:
         pass
 
 
-def _plain(value):
-    return value.item() if hasattr(value, "item") else value
+def _plain(column: pd.Series) -> list:
+    """Python values, None for what is missing."""
+    return column.astype(object).where(column.notna(), None).tolist()
 
 
 class Hysteresis(Ordered):
@@ -151,6 +179,7 @@ class RateLimit(Ordered):
 
     def __init__(self, n: int, window_us: int):
         self.n, self.window_us = n, window_us
+        self.idle_ms = window_us // 1000  # a later row lies in another window
 
     def start(self) -> dict:
         return {"window": None, "count": 0}
@@ -174,8 +203,11 @@ SCHEMAS = {
 }
 
 
-def run_ordered(df: DataFrame, processor: Ordered, key_type: str = "long") -> DataFrame:
-    """df: key, us, id, the processor's columns, and a watermarked event time."""
+def run_ordered(df: DataFrame, processor: Ordered, key_type: str = "long", idle_ms: int | None = None) -> DataFrame:
+    """df: key, us, id, the processor's columns, and a watermarked event time. idle_ms: see
+    Ordered; without it the processor's own."""
+    if idle_ms is not None:
+        processor.idle_ms = idle_ms
     return df.groupBy("key").transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=SCHEMAS[type(processor)].format(k=key_type), outputMode="append", timeMode="EventTime"
     )
