@@ -8,19 +8,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framegate.llm import chat, linededup, minhash, mixing, mtree, packing, quality, simhash, toxicity
+from framegate.llm import alignment, chat, compression, linededup, minhash, mixing, mtree, packing, quality, resampling, simhash, toxicity
 from framegate.llm.common import shared_folder, table
 from framegate.llm.shards import ShardTable
 
 TOKENIZER = "word_bpe_49k.json"
+ALIGNED = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 ARRIVALS = 4
 SHARD_BYTES = 64 << 20
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return str(public_tokenizers.path(TOKENIZER))
+    return str(public_tokenizers.path(name))
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,9 +80,25 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("h")
 
 
+def op11_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = compression.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.drop("text", "in_bands")
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.link_digests(table(spark, sf_dir, "documents"), *map(tokenizer_path, ALIGNED))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_minhash, op2_quality, op3_top_k, op4_packing, op5_simhash, op6_line_dedup, op7_sharding, op8_toxicity, op9_chat, op10_mixing)
+    for f in (
+        op1_minhash, op2_quality, op3_top_k, op4_packing, op5_simhash, op6_line_dedup, op7_sharding, op8_toxicity, op9_chat, op10_mixing, op11_compression,
+        op12_alignment, op13_resampling,
+    )
 }
 
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
