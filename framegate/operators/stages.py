@@ -2,7 +2,7 @@
 
 A row that completes a stage does not count for the next. stage_progression finds the
 completing row of each stage with window functions over one partitioning by session;
-stage_machine is the same rules row by row, for streams and for sessions that are sent back.
+SessionState is the same rules row by row, for streams and for sessions that are sent back.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framegate.operators.sampling import ordered_fold
 from framegate.operators.windows import Names, hold_for, known, latch, run_length
 from framegate.presets import STAGE_TOLD, STAGES, StageRules
 
@@ -130,43 +131,76 @@ class SessionState:
         """Sends the session back. Holds restart; raised frames and their confirmation stay."""
         self.stage, self.since1, self.since3 = STAGES.index(stage), None, None
 
-    def step(self, row: dict, rules: StageRules) -> str:
-        """Applies one row and returns the stage after it."""
+    def advance(self, rules: StageRules, us: int, near: bool, wide: bool, up: bool, fine: bool, loose: bool) -> int:
+        """Applies one row and returns the number of the stage after it. near and wide: the
+        distance lies in its band, or in the band with its margin; fine and loose: so do the
+        last checks."""
         if self.stage == 0:
-            share, m = _num(row["iris_diameter"]) / rules.reference_height, rules.diameter.margin if self.since1 is not None else 0.0
-            if rules.diameter.low - m <= share <= rules.diameter.high + m:
-                self.since1 = row["us"] if self.since1 is None else self.since1
-                self.stage += row["us"] - self.since1 >= rules.hold_us
+            if near if self.since1 is None else wide:
+                self.since1 = us if self.since1 is None else self.since1
+                self.stage += us - self.since1 >= rules.hold_us
             else:
                 self.since1 = None
         elif self.stage == 1:
             if self.confirmed:
                 self.stage += 1
-            elif row["is_raised"]:
+            elif up:
                 self.raised += 1
                 self.confirmed = self.raised >= rules.raised_frames
                 self.stage += self.confirmed
             else:
                 self.raised = 0
         elif self.stage == 2:
-            on, b = self.since3 is not None, rules.brightness
-            m = b.margin if on else 0.0
-            if (
-                _num(row["centering_ratio"]) <= rules.centering_max + (rules.centering_margin if on else 0.0)
-                and _num(row["sharpness"]) >= rules.sharpness_min
-                and b.low - m <= _num(row["brightness"]) <= b.high + m
-            ):
-                self.since3 = row["us"] if self.since3 is None else self.since3
-                self.stage += row["us"] - self.since3 >= rules.hold_us
+            if fine if self.since3 is None else loose:
+                self.since3 = us if self.since3 is None else self.since3
+                self.stage += us - self.since3 >= rules.hold_us
             else:
                 self.since3 = None
-        return STAGES[self.stage]
+        return self.stage
+
+    def step(self, row: dict, rules: StageRules) -> str:
+        """Applies one row and returns the stage after it."""
+        share, band, b = _num(row["iris_diameter"]) / rules.reference_height, rules.diameter, rules.brightness
+        centre, sharp, bright = _num(row["centering_ratio"]), _num(row["sharpness"]) >= rules.sharpness_min, _num(row["brightness"])
+        return STAGES[
+            self.advance(
+                rules, row["us"], band.low <= share <= band.high, band.low - band.margin <= share <= band.high + band.margin, bool(row["is_raised"]),
+                centre <= rules.centering_max and sharp and b.low <= bright <= b.high,
+                centre <= rules.centering_max + rules.centering_margin and sharp and b.low - b.margin <= bright <= b.high + b.margin,
+            )
+        ]
 
 
 def _num(value) -> float:
     return float("nan") if value is None else float(value)
 
 
+def stage_regression(df: DataFrame, key: Names, us: str, tie: str, rules: StageRules = StageRules()) -> DataFrame:
+    """(tie, stage) after each row where return_to, if it names a stage, first sends the session
+    back there. Measures are tested by Spark; what is left to a fold over sorted columns is
+    the session's state."""
+    share, band, bright = F.col("iris_diameter") / rules.reference_height, rules.diameter, rules.brightness
+    sharp = F.coalesce(known(F.col("sharpness")) >= rules.sharpness_min, F.lit(False))
+    centre = F.coalesce(known(F.col("centering_ratio")), F.lit(float("inf")))
+    marks = {
+        "_near": _within(share, band.low, band.high), "_wide": _within(share, band.low - band.margin, band.high + band.margin), "_up": F.coalesce("is_raised", F.lit(False)),
+        "_fine": sharp & (centre <= rules.centering_max) & _within(F.col("brightness"), bright.low, bright.high),
+        "_loose": sharp & (centre <= rules.centering_max + rules.centering_margin) & _within(F.col("brightness"), bright.low - bright.margin, bright.high + bright.margin),
+    }
+    rows, named = df.select(*key, us, tie, "return_to", *[c.alias(n) for n, c in marks.items()]), list(marks)
+
+    def walk(state: SessionState, rows: dict[str, list]) -> list[list]:
+        told = []
+        for back, *row in zip(rows["return_to"], rows[us], *(rows[m] for m in named), strict=True):
+            if back:
+                state.back_to(back)
+            told.append(STAGES[state.advance(rules, *row)])
+        return [rows[tie], told]
+
+    kind = dict(df.dtypes)[tie]
+    return ordered_fold(rows, key, [us, tie], SessionState, walk, f"{tie} {kind}, stage string")
+
+
 def failing(rules: StageRules = StageRules()) -> Column:
     """The condition that keeps a row of stage_progression in its stage; NULL if none does."""
     centre, bright = known(F.col("centering_ratio")), rules.brightness

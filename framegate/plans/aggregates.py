@@ -39,6 +39,32 @@ def telemetry_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumn("total_so_far", F.round("total_so_far", 4))
 
 
+#: An error resets its user's totals, with the day that it falls in.
+RESET = f"""{EV}, per AS (SELECT user_id, us - us % {DAY_US} AS window_us, count(*) AS n, sum(value) AS total, max(CAST(event_type = 'error' AS INT)) AS anew FROM ev GROUP BY ALL),
+  parted AS (SELECT *, sum(anew) OVER (PARTITION BY user_id ORDER BY window_us) AS since FROM per),
+  added AS (SELECT user_id, window_us, n, CAST(sum(n) OVER w AS BIGINT) AS n_so_far, round(sum(total) OVER w, 4) AS total_so_far FROM parted
+            WINDOW w AS (PARTITION BY user_id, since ORDER BY window_us ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
+
+
+@query(f"WITH {RESET} SELECT * FROM added")
+def telemetry_since_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = telemetry.telemetry_summary(events(spark, sf_dir), "user_id", "us", "value", DAY_US, F.col("event_type") == "error")
+    return df.withColumn("total_so_far", F.round("total_so_far", 4))
+
+
+@query(f"""WITH RECURSIVE {EV},
+  numbered AS (SELECT user_id, event_id, us, row_number() OVER w AS n, count(*) OVER w AS n_so_far, sum(value) OVER w AS total FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+  told AS (
+    SELECT *, us AS anchor, false AS reports FROM numbered WHERE n = 1
+    UNION ALL
+    SELECT b.*, CASE WHEN b.us - t.anchor >= {DAY_US} THEN b.us ELSE t.anchor END, b.us - t.anchor >= {DAY_US} FROM told t JOIN numbered b ON b.user_id = t.user_id AND b.n = t.n + 1)
+  SELECT user_id, event_id, us AS reported_us, n_so_far, round(total, 4) AS total_so_far FROM told WHERE reports""")
+def telemetry_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's totals with the first event at least a day after the last report."""
+    df = telemetry.telemetry_reports(events(spark, sf_dir), "user_id", "us", "event_id", "value", DAY_US)
+    return df.withColumn("total_so_far", F.round("total_so_far", 4))
+
+
 @query(f"""WITH {EV}
   SELECT us - us % {DAY_US} AS window_us, event_type AS client, count(*) AS requests, round(avg(CASE WHEN k >= 10 THEN 1.0 ELSE 0.0 END), 6) AS success_rate,
          round(avg(value), 6) AS stage1_ms, round(avg(k), 6) AS stage2_ms, round(avg(value + k), 6) AS total_ms FROM ev GROUP BY ALL""")
@@ -60,8 +86,8 @@ def burst_best(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM ids LEFT JOIN (SELECT * FROM fine WHERE r = 1) USING (l_orderkey)""")
 def nearest_in_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount")
-    totals = items.groupBy("l_orderkey").agg(F.sum("l_quantity").alias("total"))
-    best = candidates.nearest_in_bounds(items.join(totals, "l_orderkey"), "l_orderkey", "l_linenumber", "l_quantity", "total", "l_discount", Band(0.02, 0.45), 0.14)
+    items = items.withColumn("total", F.sum("l_quantity").over(Window.partitionBy("l_orderkey")))  # an order has few lines
+    best = candidates.nearest_in_bounds(items, "l_orderkey", "l_linenumber", "l_quantity", "total", "l_discount", Band(0.02, 0.45), 0.14)
     return best.withColumn("diameter", F.round("diameter", 6))
 
 
@@ -121,9 +147,9 @@ def image_quality_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     good, bad = images.validate_items(items, (("not an image", F.col("gray").isNull()), ("too small", size < 64), ("too large", size > 64), ("flat", flat)))
     df = raster.raster_brightness(raster.raster_sharpness(raster.raster_focus(good, "gray", 8), "gray", 8), "gray", 8, 0, 0, 8, 8).drop("gray")
     status = F.when(F.col("focus") >= 9000, "ok").when(F.col("focus") >= 6000, "warn").otherwise("fail")
-    by_label = Window.partitionBy("label")
-    off = F.abs(F.col("focus") - F.avg("focus").over(by_label)) > 2 * F.stddev_pop("focus").over(by_label)
-    df = df.withColumns({"status": status, "off": off})
+    middles = df.groupBy("label").agg(F.avg("focus").alias("middle"), F.stddev_pop("focus").alias("spread"))
+    met = df.join(middles.withColumnRenamed("label", "of"), F.col("label").eqNullSafe(F.col("of")))  # one row a label: Spark broadcasts it by its size
+    df = met.withColumns({"status": status, "off": F.abs(F.col("focus") - F.col("middle")) > 2 * F.col("spread")})
     per = df.groupBy("label").agg(
         F.count("*").alias("images"), *[F.count_if(F.col("status") == s).alias(s) for s in ("ok", "warn", "fail")], F.count_if("off").alias("outliers"),
         *[F.round(F.percentile_approx(m, q, 10_000), 4).alias(f"{name}_{m}") for m in _MEASURES for name, q in _QUANTILES],

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from framegate.operators import policy
 from framegate.plans.base import DAY_US, EV, query
-from framegate.sources import captures, images
+from framegate.sources import captures, images, store
 from framegate.sources.tables import events, load, shared_folder
 
 WEEK_S = 7 * 86_400
@@ -86,6 +86,37 @@ def ttl_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.groupBy("part").agg(F.count("*").alias("items"))
 
 
+SWEEPS = (AS_OF_US - 10 * DAY_US, AS_OF_US)
+_GONE = "us < {at} - " + str(WEEK_S * 1_000_000)
+_SWEPT = "SELECT {k} AS sweep, us // " + str(DAY_US) + " AS day, count(*) FILTER (WHERE " + _GONE + ") AS evicted, count(*) FILTER (WHERE NOT (" + _GONE + ")) AS kept FROM {rows} GROUP BY ALL HAVING evicted > 0"
+
+
+def _store(spark: SparkSession, sf_dir: str) -> store.TokenStore:
+    """All events as items of a new store, their ids as tokens."""
+    made = store.TokenStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", "event_id", "us", WEEK_S)
+    made.put(events(spark, sf_dir).select("event_id", "us", "event_type"))
+    return made
+
+
+@query(f"""WITH {EV}, left_ AS (SELECT * FROM ev WHERE NOT ({_GONE.format(at=SWEEPS[0])}))
+  {_SWEPT.format(k=1, at=SWEEPS[0], rows="ev")} UNION ALL {_SWEPT.format(k=2, at=SWEEPS[1], rows="left_")}""")
+def ttl_sweep_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store by day is swept twice: what each sweep evicted and left of the days it touched."""
+    items = _store(spark, sf_dir)
+    first, second = (items.sweep(at).withColumn("sweep", F.lit(k)) for k, at in enumerate(SWEEPS, 1))
+    return first.unionByName(second)
+
+
+@query(f"""WITH {EV}, gone AS (SELECT count(*) FILTER (WHERE {_GONE.format(at=AS_OF_US)}) AS n, count(*) AS n_all FROM ev)
+  SELECT 1 AS run, n AS cleaned, n_all - n AS tokens FROM gone UNION ALL SELECT 2, 0, n_all - n FROM gone""")
+def orphan_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """After a sweep the index is cleaned twice: how many tokens each run took and left."""
+    items = _store(spark, sf_dir)
+    items.sweep(AS_OF_US)
+    runs = [(k, items.clean_index(), items.index().count()) for k in (1, 2)]
+    return spark.createDataFrame(runs, "run int, cleaned long, tokens long")
+
+
 @query(f"WITH {EV} SELECT event_type, count(*) AS items FROM ev WHERE {AS_OF_US} - us <= {WEEK_S * 1_000_000} GROUP BY event_type")
 def store_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.store_stats(events(spark, sf_dir), "event_type", "us", AS_OF_US, WEEK_S)

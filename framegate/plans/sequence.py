@@ -148,12 +148,6 @@ def stage_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stages.stage_funnel(df, KEY, "us", "grp", RULES).withColumns({c: F.round(c, 3) for c in ("mean_seconds", "median_seconds")})
 
 
-def _regress(state: stages.SessionState, row: dict):
-    if row["return_to"]:
-        state.back_to(row["return_to"])
-    return row["event_id"], state.step(row, RULES)
-
-
 #: The stage rules event by event; stage counts from 0. A signup sends a session back first.
 REGRESSED = f"""{EV},
   numbered AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS n, CASE WHEN event_type = 'signup' THEN CASE WHEN event_id % 2 = 0 THEN 0 ELSE 2 END END AS back FROM ev),
@@ -183,7 +177,7 @@ def stage_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A signup sends its session back: to the first stage or, for odd ids, the third."""
     back = F.when(F.col("event_type") == "signup", F.when(F.col("event_id") % 2 == 0, STAGES[0]).otherwise(STAGES[2]))
     rows = stage_inputs(spark, sf_dir).withColumn("return_to", back).drop("event_type")
-    return sampling.ordered_fold(rows, KEY, ORDER, stages.SessionState, _regress, "event_id long, stage string")
+    return stages.stage_regression(rows, KEY, "us", "event_id", RULES).select("event_id", "stage")
 
 
 @query(f"""WITH {NOT_ERROR},
@@ -198,6 +192,38 @@ def countdown_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return countdown.countdown_trigger(events(spark, sf_dir), KEY, "us", "event_id", F.col("event_type") != "error", 5, 24 * HOUR_US)
 
 
+BURST = {"frames": 3, "wait_us": 12 * HOUR_US, "burst_us": 18 * HOUR_US, "least": 120.0}
+#: Attempts row by row: told is the outcome of an attempt that this row ends, due the capture
+#: of the one that runs after it.
+ARMED = f"""{EV},
+  numbered AS (SELECT user_id, us, value AS s, event_type <> 'error' AS good, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS n FROM ev),
+  walked AS (
+    SELECT user_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS us, 0 AS run, CAST(NULL AS BIGINT) AS due, CAST(NULL AS DOUBLE) AS best, false AS done,
+           CAST(NULL AS VARCHAR) AS told, CAST(NULL AS BIGINT) AS started_us, CAST(NULL AS BIGINT) AS ended_us, CAST(NULL AS DOUBLE) AS best_sharpness
+    FROM (SELECT DISTINCT user_id FROM ev)
+    UNION ALL
+    SELECT user_id, n, us, run2,
+           CASE WHEN broke OR won THEN NULL WHEN due1 IS NULL AND good AND run2 >= {BURST["frames"]} THEN us + {BURST["wait_us"]} ELSE due1 END,
+           CASE WHEN us >= due1 THEN CASE WHEN best1 IS NULL OR s > best1 THEN s ELSE best1 END ELSE best1 END, won,
+           CASE WHEN won THEN 'captured' WHEN over_ THEN 'rejected' WHEN broke THEN 'aborted' END, CASE WHEN over_ OR broke THEN due - {BURST["wait_us"]} END,
+           CASE WHEN won THEN due WHEN over_ THEN due + {BURST["burst_us"]} WHEN broke THEN us END, CASE WHEN over_ THEN best END
+    FROM (
+      SELECT *, over_ AND coalesce(best >= {BURST["least"]}, false) AS won, coalesce(us < due1 AND NOT good, false) AS broke
+      FROM (
+        SELECT *, CASE WHEN NOT over_ THEN due END AS due1, CASE WHEN NOT over_ THEN best END AS best1
+        FROM (SELECT b.*, w.due, w.best, CASE WHEN b.good THEN w.run + 1 ELSE 0 END AS run2, coalesce(b.us >= w.due + {BURST["burst_us"]}, false) AS over_
+              FROM walked w JOIN numbered b ON b.user_id = w.user_id AND b.n = w.n + 1 WHERE NOT w.done))))"""
+
+
+@query(f"""WITH RECURSIVE {ARMED}
+  SELECT user_id, started_us, told AS outcome, ended_us, best_sharpness FROM walked WHERE told IS NOT NULL
+  UNION ALL SELECT user_id, due - {BURST["wait_us"]}, 'open', NULL, NULL FROM walked WHERE due IS NOT NULL AND (user_id, n) IN (SELECT user_id, max(n) FROM numbered GROUP BY user_id)""")
+def countdown_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Countdowns whose capture is rejected where its burst is blurry, after which the session is
+    armed again."""
+    return countdown.countdown_bursts(events(spark, sf_dir), KEY, "us", "event_id", F.col("event_type") != "error", F.col("value"), **BURST)
+
+
 @query(f"""WITH {EV}
   SELECT v.event_id, c.value AS beta FROM (SELECT * FROM ev WHERE event_type = 'view') v
   ASOF LEFT JOIN (SELECT * FROM ev WHERE event_type = 'click') c ON v.user_id = c.user_id AND v.us >= c.us""")

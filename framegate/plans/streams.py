@@ -6,12 +6,15 @@ DuckDB twins hold the batch result up to the same time.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framegate.plans import policy, sequence
+from framegate.plans import aggregates, policy, sequence
 from framegate.plans.base import DAY_US, EV, HOUR_US, query
 from framegate.presets import STAGES
+from framegate.sources import captures, results
 from framegate.sources.tables import load, micros, shared_folder
 from framegate.streaming import stateful, windows
 
@@ -101,6 +104,44 @@ def stream_countdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.drained(stateful.run_ordered(rows, stateful.Countdown(5, DAY_US)), shared_folder(spark))
 
 
+@query(f"""WITH RECURSIVE {sequence.ARMED}, {MARK}
+  SELECT user_id AS key, started_us, told AS outcome, ended_us, best_sharpness FROM walked, mark WHERE told IS NOT NULL AND us // 1000 < ms""")
+def stream_countdown_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts with their bursts; what the stream's end leaves open is not told."""
+    rows = _keyed(_events(spark, sf_dir), F.col("user_id"), (F.col("event_type") != "error").alias("good"), F.col("value").alias("sharpness"))
+    return windows.drained(stateful.run_ordered(rows, stateful.BurstCountdown(**sequence.BURST)), shared_folder(spark))
+
+
+@query(f"WITH {aggregates.RESET}, {MARK} SELECT user_id, window_us, n, n_so_far, total_so_far FROM added, mark WHERE (window_us + {DAY_US}) // 1000 <= ms")
+def stream_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """telemetry_since_reset of the windows that the watermark has closed."""
+    rows = windows.windowed(_events(spark, sf_dir), "ts", "user_id", "value", "1 day", F.col("event_type") == "error", LATE)
+    out = windows.drained(stateful.run_ordered(rows, stateful.RunningTotals()), shared_folder(spark))
+    return out.withColumnRenamed("key", "user_id").withColumn("total_so_far", F.round("total_so_far", 4))
+
+
+@query(f"""WITH {EV}, mark AS (SELECT least((SELECT max(us) FROM ev WHERE event_type = 'view'), (SELECT max(us) FROM ev WHERE event_type = 'click')) // 1000 - {HOUR_US // 1000} AS ms)
+  SELECT v.user_id AS key, v.event_id AS id, c.value AS reading FROM (SELECT ev.* FROM ev, mark WHERE event_type = 'view' AND us // 1000 < ms) v
+  ASOF LEFT JOIN (SELECT * FROM ev WHERE event_type = 'click') c ON v.user_id = c.user_id AND v.us >= c.us""")
+def stream_angle_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """angle_asof on two streams, up to the lesser of their watermarks."""
+    views, clicks = (_events(spark, sf_dir).filter(F.col("event_type") == kind) for kind in ("view", "click"))
+    frames, readings = (df.select(F.col("user_id").alias("key"), "us", F.col("event_id").alias("id"), "value", "ts") for df in (views, clicks))
+    return windows.drained(stateful.run_ordered(windows.stream_asof(frames, readings, LATE), stateful.LatestReading()), shared_folder(spark))
+
+
+@query(f"WITH {EV} SELECT event_id, sha256(CAST(event_id AS VARCHAR) || chr(31) || user_id) AS result_key, us // {DAY_US} AS day FROM ev")
+def stream_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of a stream go to a table; the stream runs again from its beginning, as after a
+    lost checkpoint, and a second writer brings the same rows: every key is there once."""
+    folder = f"{shared_folder(spark)}/stream-results-{uuid.uuid4().hex}"
+    rows = _events(spark, sf_dir).select("event_id", captures.result_key(F.col("event_id"), F.col("user_id")).alias("result_key"), F.expr(f"us div {DAY_US}").alias("day"))
+    table = results.ResultTable(spark, f"{folder}/table", "result_key", "day")
+    for run, writer in enumerate(("a", "a", "b")):
+        table.drain(rows, writer, f"{folder}/state-{run}")
+    return table.read()
+
+
 @query(f"""WITH {policy.STORED}, told AS (SELECT event_id, us, {policy.FOUND} AS found FROM asked LEFT JOIN stored USING (user_id)),
   mark AS (SELECT least((SELECT max(us) FROM asked), (SELECT max(created_us) FROM stored)) // 1000 - {HOUR_US // 1000} AS ms)
   SELECT event_id, found FROM told, mark WHERE found OR us // 1000 < ms""")

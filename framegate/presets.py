@@ -26,6 +26,8 @@ SUMMARY_GAP_MS = 10_000
 SPEECH_GAP_MS = 1500
 SPEECH_REPEAT_MS = 3000
 BURST_MIN_SHARPNESS = 140.0
+#: Six frames, one every 40 ms.
+BURST_US = 240_000
 CANDIDATE_RATIO = Band(0.02, 0.45)
 CANDIDATE_IDEAL = 0.14
 TTL_SECONDS = 3600

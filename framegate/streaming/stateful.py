@@ -40,6 +40,10 @@ class Ordered(StatefulProcessor):
     def step(self, memory: dict, key: tuple, row: dict) -> Iterator[tuple]:
         raise NotImplementedError
 
+    def rank(self, row: list) -> tuple:
+        """The order of waiting rows: time, id, values."""
+        return row[0], row[1], json.dumps(row[2:])
+
     def names(self) -> list[str]:
         raise NotImplementedError
 
@@ -61,7 +65,7 @@ class Ordered(StatefulProcessor):
         known = json.loads(self.memory.get()[0]) if self.memory.exists() else None
         held = self.waiting.getValue((bucket,))
         if held:
-            rows = sorted(json.loads(held[0]), key=lambda r: (r[0], r[1], json.dumps(r[2:])))
+            rows = sorted(json.loads(held[0]), key=self.rank)
             ready = [r for r in rows if r[0] // 1000 < watermark]
             if len(ready) < len(rows):
                 self._hold(bucket, rows[len(ready) :])
@@ -174,6 +178,88 @@ class Countdown(Ordered):
             memory.update(run=0, due=None)
 
 
+class BurstCountdown(Ordered):
+    """countdown_bursts row by row: a capture is told with the first row after its burst, and
+    that row may start the next attempt."""
+
+    columns = ("good", "sharpness")
+
+    def __init__(self, frames: int, wait_us: int, burst_us: int, least: float):
+        self.frames, self.wait_us, self.burst_us, self.least = frames, wait_us, burst_us, least
+
+    def start(self) -> dict:
+        return {"run": 0, "due": None, "best": None, "done": False}
+
+    def names(self) -> list[str]:
+        return ["key", "started_us", "outcome", "ended_us", "best_sharpness"]
+
+    def step(self, memory: dict, key: tuple, row: dict) -> Iterator[tuple]:
+        if memory["done"]:
+            return
+        due, best, us = memory["due"], memory["best"], row["us"]
+        if due is not None and us >= due + self.burst_us:
+            memory.update(due=None, best=None, done=best is not None and best >= self.least)
+            if memory["done"]:
+                yield key[0], due - self.wait_us, "captured", due, best
+                return
+            yield key[0], due - self.wait_us, "rejected", due + self.burst_us, best
+            due = None
+        elif due is not None and us >= due and row["sharpness"] is not None and row["sharpness"] == row["sharpness"]:
+            memory["best"] = row["sharpness"] if best is None else max(best, row["sharpness"])
+        if row["good"]:
+            memory["run"] += 1
+            if due is None and memory["run"] >= self.frames:
+                memory["due"] = us + self.wait_us
+        else:
+            memory["run"] = 0
+            if due is not None and us < due:
+                memory["due"] = None
+                yield key[0], due - self.wait_us, "aborted", us, None
+
+
+class LatestReading(Ordered):
+    """An as-of join of two streams in one: side 0 holds readings, side 1 frames. Each frame
+    gets the latest known reading; readings at the same time come before it."""
+
+    columns = ("side", "value")
+
+    def start(self) -> dict:
+        return {"value": None}
+
+    def rank(self, row: list) -> tuple:
+        us, id_, side, value = row
+        return us, side, id_, json.dumps(value)
+
+    def names(self) -> list[str]:
+        return ["key", "id", "reading"]
+
+    def step(self, memory: dict, key: tuple, row: dict) -> Iterator[tuple]:
+        if row["side"]:
+            yield key[0], row["id"], memory["value"]
+        elif row["value"] is not None and row["value"] == row["value"]:
+            memory["value"] = row["value"]
+
+
+class RunningTotals(Ordered):
+    """Counts and sums of windows added up since the last reset; a reset window begins anew."""
+
+    columns = ("n", "total", "reset")
+
+    def start(self) -> dict:
+        return {"n": 0, "total": None}
+
+    def names(self) -> list[str]:
+        return ["key", "window_us", "n", "n_so_far", "total_so_far"]
+
+    def step(self, memory: dict, key: tuple, row: dict) -> Iterator[tuple]:
+        if row["reset"]:
+            memory.update(self.start())
+        memory["n"] += row["n"]
+        if row["total"] is not None:
+            memory["total"] = row["total"] + (memory["total"] or 0.0)
+        yield key[0], row["us"], row["n"], memory["n"], memory["total"]
+
+
 class RateLimit(Ordered):
     """key: route and client as one string."""
 
@@ -200,6 +286,9 @@ SCHEMAS = {
     Stages: "key {k}, id long, stage string",
     Countdown: "key {k}, started_us long, outcome string, ended_us long",
     RateLimit: "key {k}, id long, admitted boolean",
+    BurstCountdown: "key {k}, started_us long, outcome string, ended_us long, best_sharpness double",
+    LatestReading: "key {k}, id long, reading double",
+    RunningTotals: "key {k}, window_us long, n long, n_so_far long, total_so_far double",
 }
 
 
@@ -211,3 +300,38 @@ def run_ordered(df: DataFrame, processor: Ordered, key_type: str = "long", idle_
     return df.groupBy("key").transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=SCHEMAS[type(processor)].format(k=key_type), outputMode="append", timeMode="EventTime"
     )
+
+
+class LiveQuota(StatefulProcessor):
+    """admitted: among the first n of its key in a window that begins with the first request,
+    by the clock. The count is a state of the window's length to live: Spark drops it, so an
+    idle key leaves nothing and no timer is set."""
+
+    def __init__(self, n: int, window_ms: int):
+        self.n, self.window_ms = n, window_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        # Time to live runs from the last write, so the window's start is kept beside the count.
+        self.seen = handle.getValueState("seen", "since long, n long", self.window_ms)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentProcessingTimeInMs()
+        since, n = self.seen.get() if self.seen.exists() else (now, 0)
+        if now - since >= self.window_ms:
+            since, n = now, 0
+        for batch in rows:
+            ids = sorted(batch["id"].tolist())
+            yield pd.DataFrame({"key": key[0], "id": ids, "admitted": [n + k < self.n for k in range(len(ids))]})
+            n += len(ids)
+        self.seen.update((since, n))
+
+    def close(self) -> None:
+        pass
+
+
+def live_quota(df: DataFrame, n: int, window_ms: int, key_type: str = "string") -> DataFrame:
+    """df: key and id. Requests in the order of a batch's ids; what comes later in the same
+    window than the n-th is not admitted."""
+    return df.groupBy("key").transformWithStateInPandas(
+        statefulProcessor=LiveQuota(n, window_ms), outputStructType=f"key {key_type}, id long, admitted boolean", outputMode="append", timeMode="ProcessingTime"
+    )

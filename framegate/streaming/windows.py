@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -15,6 +15,25 @@ def stream_telemetry(df: DataFrame, ts: str, key: str, value: str, every: str, s
     return out.select(F.col("window.start").alias("start"), key, "n", "total")
 
 
+def windowed(df: DataFrame, ts: str, key: str, value: str, every: str, reset: Column | None = None, late: str = "30 seconds") -> DataFrame:
+    """Windows as stateful.RunningTotals takes them: key, us (the window's start), id, n,
+    total, reset and the window's event time. Two stateful steps in a row, in append mode: a
+    window is added up once the watermark has closed it. reset: rows that begin totals anew,
+    with the window that they fall in."""
+    rows = df.withColumn("_reset", reset if reset is not None else F.lit(False)).withWatermark(ts, late)
+    per = rows.groupBy(F.window(ts, every), key).agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.max("_reset").alias("reset"))
+    return per.select(
+        F.col(key).alias("key"), F.unix_micros("window.start").alias("us"), F.lit(0).cast("long").alias("id"), "n", "total", "reset", F.window_time("window").alias("ts")
+    )
+
+
+def stream_asof(frames: DataFrame, readings: DataFrame, late: str = "30 seconds") -> DataFrame:
+    """Two streams (key, us, id, value, ts) as stateful.LatestReading takes them. Each has its
+    own watermark, and the lesser one holds."""
+    sides = [df.withWatermark("ts", late).select("key", "us", "id", "ts", F.lit(side).alias("side"), value) for side, df, value in ((0, readings, F.col("value")), (1, frames, F.lit(None).cast("double").alias("value")))]
+    return sides[0].unionByName(sides[1])
+
+
 def stream_sessions(df: DataFrame, ts: str, key: str, value: str, gap: str, late: str = "30 seconds") -> DataFrame:
     out = df.withWatermark(ts, late).groupBy(F.session_window(ts, gap), key)
     out = out.agg(F.count("*").alias("frames"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.max(value).alias("best"))

@@ -81,16 +81,10 @@ def test_report(spark):
             assert got[row["id"]].message == "Hold Still!"
 
 
-def _step(state, row):
-    if row["return_to"]:
-        state.back_to(row["return_to"])
-    return row["id"], state.step(row, RULES)
-
-
 def test_regression(spark):
     rows = made(returns=True)
     df = spark.createDataFrame(rows, SCHEMA).repartition(6)
-    got = sampling.ordered_fold(df, ["s"], ["us", "id"], stages.SessionState, _step, "id long, stage string")
+    got = stages.stage_regression(df, ["s"], "us", "id", RULES)
     assert {r.id: r.stage for r in got.collect()} == sequential(rows)
 
 

@@ -1,6 +1,7 @@
 """Stateful streams over several batches, out of order, against the same rules row by row."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -80,3 +81,73 @@ def test_dedup_tells_a_key_once(spark, tmp_path):
     df = spark.readStream.schema("k long, s long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
     out = windows.stream_dedup(df.withColumn("ts", F.timestamp_seconds("s")), "ts", ["k"], "1 minute").select("k")
     assert sorted(r.k for r in windows.drained(out, str(tmp_path)).collect()) == [1, 2, 3]
+
+
+def test_two_streams_meet_as_of(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(rng.randrange(4), 500_000 * rng.randrange(1, 300), k, rng.choice([1.0, 2.0, 3.0, None]), rng.random() < 0.5) for k in range(400)]
+    sides = {}
+    for name, side in (("readings", False), ("frames", True)):
+        came = sorted((r for r in rows if r[4] == side), key=lambda r: r[1] + rng.randrange(4_000_000))
+        for b in range(0, len(came), 50):
+            spark.createDataFrame([r[:4] for r in came[b : b + 50]], "key long, us long, id long, value double").coalesce(1).write.parquet(f"{tmp_path}/{name}/{b:04d}")
+        df = spark.readStream.schema("key long, us long, id long, value double").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{name}/*")
+        sides[name] = df.withColumn("ts", F.timestamp_micros("us"))
+    both = windows.stream_asof(sides["frames"], sides["readings"], f"{LATE_MS} milliseconds")
+    got = windows.drained(stateful.run_ordered(both, stateful.LatestReading()), str(tmp_path))
+    mark = min(max(r[1] for r in rows if r[4] == side) for side in (False, True)) // 1000 - LATE_MS
+    latest, want = {}, []
+    for key, us, i, v, frame in sorted(rows, key=lambda r: (r[1], r[4], r[2])):
+        if frame and us // 1000 < mark:
+            want.append((key, i, latest.get(key)))
+        elif not frame and v is not None:
+            latest[key] = v
+    assert sorted(map(tuple, got.collect())) == sorted(want) and want
+
+
+def test_totals_begin_anew_after_a_reset(spark, tmp_path):
+    batches = shuffled(6, lambda rng: rng.choice([1.0, 2.0, None]))
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, "key long, us long, id long, v double").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    df = spark.readStream.schema("key long, us long, id long, v double").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    df = df.withColumn("ts", F.timestamp_micros("us"))
+    out = windows.windowed(df, "ts", "key", "v", "10 seconds", F.col("id") % 40 == 0, f"{LATE_MS} milliseconds")
+    got = windows.drained(stateful.run_ordered(out, stateful.RunningTotals()), str(tmp_path))
+    every = 10_000_000
+    mark = max(r[1] for b in batches for r in b) // 1000 - LATE_MS
+    per = {}
+    for key, us, i, v in (r for b in batches for r in b):
+        w = per.setdefault((key, us // every * every), [0, None, False])
+        w[0] += 1
+        w[1] = w[1] if v is None else (w[1] or 0.0) + v
+        w[2] |= i % 40 == 0
+    want, so_far = [], {}
+    for (key, start), (n, total, reset) in sorted(per.items()):
+        a, b = (0, None) if reset else so_far.get(key, (0, None))
+        so_far[key] = a + n, b if total is None else (b or 0.0) + total
+        if (start + every) // 1000 <= mark:
+            want.append((key, start, n, *so_far[key]))
+    assert sorted(map(tuple, got.collect())) == want and any(r[2] for r in per.values())
+
+
+def test_a_quotas_state_dies_with_its_window(spark, tmp_path):
+    """Time to live, by the clock: after the window nothing is stored and requests are let in again."""
+    df = spark.readStream.schema("key string, id long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    out = stateful.live_quota(df, 2, 4_000)
+
+    def run(k, rows):
+        spark.createDataFrame(rows, "key string, id long").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+        options = {"path": f"{tmp_path}/out", "checkpointLocation": f"{tmp_path}/state"}
+        out.writeStream.format("parquet").outputMode("append").options(**options).trigger(once=True).start().awaitTermination()
+        return {r["id"]: r["admitted"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+
+    def held():
+        return spark.read.format("statestore").option("stateVarName", "seen").load(f"{tmp_path}/state").count()
+
+    assert run(0, [("a", 1), ("a", 2), ("a", 3), ("b", 4)]) == {1: True, 2: True, 3: False, 4: True}
+    assert held() == 2
+    time.sleep(5)
+    assert {i: v for i, v in run(1, [("c", 5)]).items() if i == 5} == {5: True}
+    assert held() == 1, "a and b are gone"
+    time.sleep(5)
+    assert {i: v for i, v in run(2, [("a", 6), ("a", 7)]).items() if i > 5} == {6: True, 7: True}
