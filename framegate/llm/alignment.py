@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,12 +35,15 @@ from framegate.llm.textvec import chunks
 LANE = 64
 #: Lanes that advance together; more go in turns, so a very long text's links are not held at once.
 LANES = 1 << 15
-BLOCK_BYTES = 4_000_000
-CACHED_WORDS = 200_000
+BLOCK_BYTES = 2_000_000
+CACHED_WORDS = 400_000
 CACHED_CHARS = 64
 #: Both tokenizers cut at a lone space between two characters that are not blank, and never
 #: look across it, so what lies between is encoded once and remembered.
 LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+OTHER_SPACE = re.compile(r" (?:\s|$)|(?:^|[^\S ]) ")
+#: Parts that are encoded in one call.
+AT_ONCE = 10_000
 MARK = "▁"
 
 
@@ -66,36 +70,56 @@ class Tokenizers:
         self.told_a = [[f"{k}{s}".encode() for k in range(len(self.bytes_a))] for s in ",|"]
         self.told_b = [[f"{k}{s}".encode() for k in range(len(self.bytes_b))] for s in ",;"]
         self.told_a, self.told_b = (np.array(x, object) for x in (self.told_a, self.told_b))
-        self.known: dict[str, tuple[bytes, bytes] | None] = {}
+        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.odd: set[str] = set()
 
-    def learn(self, parts: set[str]) -> dict[str, tuple[bytes, bytes] | None]:
-        """Ids, little-endian, of parts in A and B; None where their bytes are not the part's."""
-        new = [p for p in parts if p not in self.known]
+    def learn(self, parts: set[str]) -> None:
+        """Puts parts in known: their ids in A and B, little-endian; in odd instead where
+        the tokens' bytes are not the part's."""
+        new = list(parts - self.known.keys())
         if len(self.known) + len(new) > CACHED_WORDS:
             self.known.clear()
+            self.odd.clear()
             new = list(parts)
-        found = {}
-        for p, a, b in zip(new, self.a.encode_batch_fast([" " + p for p in new], add_special_tokens=False), self.b.encode(new, num_threads=1), strict=True):
-            want = b" " + p.encode()
-            same = b"".join([self.bytes_a[k] for k in a.ids]) == want == b"".join([self.bytes_b[k] for k in b])
-            found[p] = (np.array(a.ids, "<i4").tobytes(), np.array(b, "<i4").tobytes()) if same else None
-        self.known.update((p, x) for p, x in found.items() if len(p) <= CACHED_CHARS)
-        return found
+        for low in range(0, len(new), AT_ONCE):
+            some = new[low : low + AT_ONCE]
+            found = zip(some, self.a.encode_batch_fast([" " + p for p in some], add_special_tokens=False), self.b.encode(some, num_threads=1), strict=True)
+            for p, a, b in found:
+                ids, want = a.ids, b" " + p.encode()
+                if b"".join([self.bytes_a[k] for k in ids]) == want == b"".join([self.bytes_b[k] for k in b]):
+                    self.known[p] = array("i", ids).tobytes(), array("i", b).tobytes()
+                else:
+                    self.known[p] = b"", b""
+                    self.odd.add(p)
+
+    def forget(self, parts: set[str]) -> None:
+        """Drops long parts, which hardly come again."""
+        for p in parts:
+            if len(p) > CACHED_CHARS:
+                del self.known[p]
+                self.odd.discard(p)
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids of space + text in A and of text in B, which adds the space; both empty for an
         empty text and where the tokens' bytes are not those of space + text."""
-        split = [LONE_SPACE.split(t) if t else [] for t in texts]
-        found = self.learn({p for parts in split for p in parts})
-        out = []
-        for parts in split:
-            ids = [found[p] if p in found else self.known[p] for p in parts]
-            if None in ids:
-                ids = []
-            out.append(tuple(np.frombuffer(b"".join([x[side] for x in ids]), "<i4") for side in (0, 1)))
+        split = [lone_parts(t) if t else [] for t in texts]
+        parts = set().union(*split)
+        self.learn(parts)
+        out, known = [], self.known.__getitem__
+        for some in split:
+            if not self.odd.isdisjoint(some):
+                some = ()
+            ids = list(map(known, some))
+            out.append((np.frombuffer(b"".join([x[0] for x in ids]), np.intc), np.frombuffer(b"".join([x[1] for x in ids]), np.intc)))
+        self.forget(parts)
         return out
 
 
+def lone_parts(text: str) -> list[str]:
+    """What lies between the lone spaces of a text."""
+    return LONE_SPACE.split(text) if OTHER_SPACE.search(text) else text.split(" ")
+
+
 _loaded: dict[tuple[str, str], Tokenizers] = {}
 
 
@@ -159,7 +183,7 @@ class Pairs:
 def align(tok: Tokenizers, texts: list[str], pairs: Pairs | None = None, lane: int = LANE, lanes: int = LANES) -> Aligned:
     """Aligns a batch; pairs gets the ids of all links."""
     ids = tok.encode(texts)
-    ids_a, ids_b = (np.concatenate([x[s] for x in ids] or [np.zeros(0, "<i4")]) for s in (0, 1))
+    ids_a, ids_b = (np.concatenate([x[s] for x in ids] or [np.zeros(0, np.intc)]) for s in (0, 1))
     at_a, at_b = (np.concatenate(([0], np.cumsum([len(x[s]) for x in ids]))).astype(np.int64) for s in (0, 1))
     end_a, end_b = np.cumsum(tok.size_a[ids_a]), np.cumsum(tok.size_b[ids_b])  # equal at texts' ends
     cut_a, cut_b, n_links = np.zeros(len(ids_a), bool), np.zeros(len(ids_b), bool), np.zeros(len(texts), np.int64)
