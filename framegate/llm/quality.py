@@ -24,7 +24,8 @@ from framegate.llm.labelled import sample
 from framegate.llm.textvec import BLANK, Spans, chunks, joined
 
 FIT_DOCS = 6000
-#: Lines of a document that the fit sees: all, or so many in a row of a longer one.
+#: The fit takes a longer document as several chains of so many lines, so that all its lines
+#: teach while chains run side by side; only the transitions between its chains are not seen.
 CHAIN = 64
 TRUST = 0.9
 #: Log-odds of a label at the start, and the share of the rounds after which TRUST holds.
@@ -164,10 +165,28 @@ def marginals(z: np.ndarray, chains: Chains, start: float, move: np.ndarray, wei
     return good, joint, (weight * good)[chains.first].sum()
 
 
+def in_chains(lengths: np.ndarray, most: int = CHAIN) -> np.ndarray:
+    """Lengths of the chains that documents of so many lines are cut into."""
+    n = -(-lengths // most)
+    out = np.full(int(n.sum()), most)
+    out[np.cumsum(n) - 1] = lengths - most * (n - 1)
+    return out
+
+
+def gradient(theta: np.ndarray, x: np.ndarray, chains: Chains, weight: np.ndarray, told: np.ndarray) -> np.ndarray:
+    """Of the log-likelihood of what was told of the lines (as log-odds), each chain's times
+    the weight of its lines: what is expected of lines and transitions when the labels are
+    known, less what is expected when they are not."""
+    w, start, move = theta[:-5], theta[-5], theta[-4:].reshape(2, 2)
+    z = (x @ w.astype(x.dtype)).astype(float)
+    known, known_joint, known_begun = marginals(z + told, chains, start, move, weight)
+    good, joint, begun = marginals(z, chains, start, move, weight)
+    return np.concatenate((x.T @ (weight * (known - good)).astype(x.dtype), [known_begun - begun], (known_joint - joint).ravel()))
+
+
 def fit(lines: np.ndarray, lengths: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 0.15, ridge: float = 1e-3, trust: float = TRUST) -> Model:
-    """lines: features of all chains' lines in turn; lengths, y: lines and label of each.
-    The gradient is what is expected of lines and transitions when the labels are known,
-    less what is expected when they are not. Every document weighs alike, its lines share that."""
+    """lines: features of all documents' lines in turn; lengths, y: lines and label of each.
+    Every document weighs alike, its lines share that."""
     width = lines.shape[1]
     knots = (np.quantile(lines, HINGES, axis=0) if len(lines) else np.zeros((len(HINGES), width))).astype(np.float32)
     model = Model(knots, np.ones(1 + width * (1 + len(HINGES)), np.float32), np.zeros(1 + width * (1 + len(HINGES))), 0.0, np.zeros((2, 2)))
@@ -176,20 +195,15 @@ def fit(lines: np.ndarray, lengths: np.ndarray, y: np.ndarray, rounds: int = 300
     x = model.basis(lines)
     model.scale = np.maximum(np.sqrt(np.einsum("ij,ij->j", x, x) / len(x)), 1e-3).astype(np.float32)
     x /= model.scale
-    chains = Chains(lengths)
+    chains = Chains(in_chains(lengths))
     weight = np.repeat(1 / lengths, lengths)
     told = np.repeat(np.where(y > 0, 1.0, -1.0), lengths)
     sure, doubted = SURE, np.log(trust / (1 - trust))
     theta = np.zeros(x.shape[1] + 5)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, rounds + 1):
-        w, start, move = theta[:-5], theta[-5], theta[-4:].reshape(2, 2)
-        z = (x @ w.astype(np.float32)).astype(float)
         # Labels are believed at first, so that a rare kind of bad line is not taken for an error.
-        belief = sure if t <= BELIEVED * rounds else doubted
-        known, known_joint, known_begun = marginals(z + told * belief, chains, start, move, weight)
-        good, joint, begun = marginals(z, chains, start, move, weight)
-        grad = np.concatenate((x.T @ (weight * (known - good)).astype(np.float32), [known_begun - begun], (known_joint - joint).ravel())) / len(y)
+        grad = gradient(theta, x, chains, weight, told * (sure if t <= BELIEVED * rounds else doubted)) / len(y)
         grad -= ridge * theta
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta = theta + rate / (1 + t / 60) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
@@ -198,19 +212,16 @@ def fit(lines: np.ndarray, lengths: np.ndarray, y: np.ndarray, rounds: int = 300
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_docs: int = FIT_DOCS) -> Model:
-    """Learns from at most fit_docs labelled rows of any length (see labelled.sample). Of a
-    document with more than CHAIN lines the fit sees CHAIN in a row, from a place chosen by
-    hash. Executors make the line features; the driver gets those of the sample alone, at
-    most fit_docs * CHAIN lines."""
+    """Learns from all lines of at most fit_docs labelled rows (see labelled.sample, which also
+    bounds their lines together). Executors make the line features; the driver gets those
+    of the sample alone."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = line_features([text.encode()])[0]
-                at = zlib.crc32(x.tobytes()) % max(1, len(x) - CHAIN + 1)
-                out.append((x[at : at + CHAIN].tobytes(), label))
+                out.append((line_features([text.encode()])[0].tobytes(), label))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.binary()), pa.array([r[1] for r in out], pa.int64())], ["f", "y"])
 
     rows = sample(docs, labels, id_col, text_col, label_col, fit_docs)
@@ -278,7 +289,9 @@ def _scorer(model: Model):
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """The rows of docs that the model does not reject, in one pass without a join."""
+    """The rows of docs that the model does not reject, in one pass without a join, with docs'
+    columns whatever their names. A null or empty text is one empty line; repeated rows fare
+    alike; a very long text is read whole; an empty table stays empty."""
     bounded_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 

@@ -77,6 +77,17 @@ def telling(seen: DataFrame, n: int, bad: int) -> np.ndarray:
     return np.sort(asked.select("f").toArrow().column(0).to_numpy().astype(np.int64))
 
 
+def gradient(theta: np.ndarray, sent: np.ndarray, col: np.ndarray, doc: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of the documents' log-likelihood by the weights of words, the bias and the leak.
+    sent, col: sentence and word of each pair; doc: the document of each sentence."""
+    w, b, leak = theta[:-2], theta[-2], theta[-1]
+    z = b + np.bincount(sent, w[col], minlength=len(doc))
+    big = np.clip(bag_scores(z, doc, len(y), leak), 1e-12, 1 - 1e-12)
+    lift = np.where(y > 0, (1 - big) / big, -1.0)
+    pull = lift[doc] / (1 + np.exp(-z))
+    return np.concatenate((np.bincount(col, pull[sent], minlength=len(w)), [pull.sum(), lift.sum() / (1 + np.exp(-leak))]))
+
+
 def fit(bags: list[tuple[np.ndarray, np.ndarray, int]], chosen: np.ndarray, rounds: int = 400, rate: float = 0.3, ridge: float = 3e-6, lasso: float = 3e-6, begin: float = 2.0) -> Model:
     """From each document's (sentence, place in chosen) pairs and label."""
     weights = np.zeros(1 << BITS, np.float32)
@@ -96,12 +107,8 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray, int]], chosen: np.ndarray, roun
     theta = np.append(np.full(width, begin), (-7.0, -5.0))
     m, v = np.zeros(width + 2), np.zeros(width + 2)
     for t in range(1, rounds + 1):
-        w, b, leak = theta[:-2], theta[-2], theta[-1]
-        z = b + np.bincount(sent, w[col], minlength=total)
-        big = np.clip(bag_scores(z, doc, n, leak), 1e-12, 1 - 1e-12)
-        lift = np.where(y > 0, (1 - big) / big, -1.0) / n
-        pull = lift[doc] / (1 + np.exp(-z))
-        grad = np.concatenate((np.bincount(col, pull[sent], minlength=width) - ridge * w - lasso, [pull.sum(), lift.sum() / (1 + np.exp(-leak))]))
+        grad = gradient(theta, sent, col, doc, y) / n
+        grad[:-2] -= ridge * theta[:-2] + lasso
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta = theta + rate * min(1, 20 / t**0.5 / 4) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         theta[:-2] = np.maximum(0, theta[:-2])  # a word can only offend
@@ -110,9 +117,10 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray, int]], chosen: np.ndarray, roun
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_docs: int = FIT_DOCS) -> Model:
-    """Learns from at most fit_docs labelled rows (see labelled.sample), from all sentences
-    of each. Features are counted by Spark, each distinct text once; the driver gets the
-    chosen ones and where they stand in the sample, nothing that grows with other words."""
+    """Learns from all sentences of at most fit_docs labelled rows (see labelled.sample, which
+    also bounds their texts together, and with them what the driver gets). Features are
+    counted by Spark, each distinct text once; the driver gets the chosen ones and where they
+    stand in the sample, nothing that grows with other words."""
     bounded_batches(docs.sparkSession)
     rows = written(sample(docs, labels, id_col, text_col, label_col, fit_docs).select("text", "y"), "toxicity-sample")
 
@@ -177,7 +185,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def offending(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """id, sentence, score of each sentence whose own score reaches the threshold."""
+    """id, sentence, score of each sentence whose own score reaches the threshold, of every
+    row, repeated and null ids too. Null and empty texts have none; a very long text is read
+    whole; an empty table gives no rows; other columns are ignored."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
-from framegate.llm import quality, queries, toxicity
+from framegate.llm import labelled, quality, queries, toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -185,3 +185,92 @@ def test_fits_do_not_depend_on_the_order_of_rows(documents, labels):
     assert np.array_equal(a.weights, b.weights) and np.array_equal(a.move, b.move)
     c, d = toxicity.train(documents, labels), toxicity.train(documents.repartition(7), labels)
     assert np.array_equal(c.weights, d.weights)
+
+
+def test_labels_of_other_ids_take_no_place(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    mine = labelled.sample(docs, labels, "doc_id", "text", "quality", 6000)
+    foreign = spark.range(10**6, 10**6 + 200_000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality", "0 as toxic")
+    both = labelled.sample(docs, labels.unionByName(foreign), "doc_id", "text", "quality", 6000)
+    assert sorted(map(tuple, both.collect())) == sorted(map(tuple, mine.collect())) and mine.count() > 300
+
+
+def test_a_sample_is_bounded_by_whole_documents(spark):
+    docs = spark.createDataFrame([(k, "word " * 20 * (k % 5 + 1)) for k in range(1000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1000)], "doc_id long, quality int")
+    texts = {r["text"] for r in docs.collect()}
+    found = [r["text"] for r in labelled.sample(docs, labels, "doc_id", "text", "quality", 500, fit_size=50_000).collect()]
+    assert set(found) <= texts and 49_000 < sum(len(t) + labelled.LINE for t in found) < 50_000 + max(map(len, texts)) + labelled.LINE
+    assert labelled.sample(docs, labels, "doc_id", "text", "quality", 50).count() == 50
+
+
+def test_few_bad_lines_in_long_documents_teach(spark):
+    """All lines of a document are learned from, wherever the bad ones stand."""
+    docs, labels = [], []
+    for i in range(80):
+        lines = [f"A quiet line of plain words, number {n} of {i}." for n in range(400)]
+        if i % 2:
+            at = (37 * i) % 380
+            lines[at : at + 12] = [f"@@ ## $$ %% {i} ^^ && ** @@"] * 12
+        docs.append((i, "\n".join(lines)))
+        labels.append((i, 1 - i % 2))
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    model = quality.train(docs, labels)
+    assert sum(quality.in_chains(np.array([400, 64, 1, 65]))) == 530 and max(quality.in_chains(np.array([400]))) == quality.CHAIN
+    quiet = [b"A quiet line of plain words, number %d of 99." % n for n in range(400)]
+    clean, spoilt = quality.document_scores(model, [b"\n".join(quiet), b"\n".join(quiet[:100] + [b"@@ ## $$ %% 3 ^^ && ** @@"] * 12 + quiet[112:])])
+    assert clean > spoilt + 0.2
+
+
+def test_the_quality_gradient_is_the_likelihoods():
+    rng = np.random.default_rng(2)
+    lengths = np.array([3, 1, 5, 4])
+    x, told = rng.normal(size=(13, 4)), rng.normal(size=13) * 2
+    weight = np.repeat(rng.random(4) + 0.2, lengths)
+    theta = rng.normal(size=9) * 0.5
+
+    def log_sum(theta, more):
+        w, start, move = theta[:-5], theta[-5], theta[-4:].reshape(2, 2)
+        total, at = 0.0, 0
+        for n in lengths:
+            z = x[at : at + n] @ w + more[at : at + n]
+            ways = [
+                (2 * s[0] - 1) * start / 2 + sum((2 * a - 1) * v / 2 for a, v in zip(s, z, strict=True)) + sum(move[a, b] for a, b in zip(s, s[1:], strict=False))
+                for s in itertools.product((0, 1), repeat=n)
+            ]
+            total += weight[at] * np.logaddexp.reduce(ways)
+            at += n
+        return total
+
+    value = lambda t: log_sum(t, told) - log_sum(t, np.zeros(13))
+    want = [(value(theta + e) - value(theta - e)) / 2e-5 for e in np.eye(9) * 1e-5]
+    assert np.allclose(quality.gradient(theta, x, quality.Chains(lengths), weight, told), want, atol=1e-6)
+
+
+def test_the_toxicity_gradient_is_the_likelihoods():
+    rng = np.random.default_rng(3)
+    doc = np.repeat(np.arange(6), 3)
+    sent, col = rng.integers(0, 18, 40), rng.integers(0, 5, 40)
+    y, theta = np.array([1, 0, 1, 0, 0, 1.0]), np.append(rng.random(5), (-1.5, -2.0))
+
+    def value(t):
+        z = t[-2] + np.bincount(sent, t[:-2][col], minlength=18)
+        big = 1 - np.array([np.prod(1 / (1 + np.exp(z[doc == d]))) for d in range(6)]) / (1 + np.exp(t[-1]))
+        return (y * np.log(big) + (1 - y) * np.log(1 - big)).sum()
+
+    want = [(value(theta + e) - value(theta - e)) / 2e-5 for e in np.eye(7) * 1e-5]
+    assert np.allclose(toxicity.gradient(theta, sent, col, doc, y), want, atol=1e-6)
+
+
+def test_lines_and_sentences_of_awkward_rows(spark, awkward, nothing, documents, labels):
+    good, rude = quality.train(documents, labels), toxicity.train(documents, labels)
+    lines = quality.line_labels(awkward, good).collect()
+    assert len(lines) == sum((r["text"] or "").count("\n") + 1 for r in awkward.collect())
+    assert all(0 <= r["score"] <= 1 and r["good"] == (r["score"] >= 0.5) for r in lines)
+    assert toxicity.offending(awkward, rude).columns == ["doc_id", "sentence", "score"]
+    texts = " ".join(r["text"] or "" for r in awkward.collect())
+    assert all(r["sentence"] in texts for r in toxicity.offending(awkward, rude, threshold=1e-9).collect())
+    kept = quality.keep_good(awkward, good)
+    assert kept.columns == awkward.columns and kept.count() <= awkward.count()
+    for f in (lambda d: quality.line_labels(d, good), lambda d: toxicity.offending(d, rude), lambda d: quality.keep_good(d, good)):
+        assert f(nothing).count() == 0
