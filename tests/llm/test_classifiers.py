@@ -218,8 +218,10 @@ def test_few_bad_lines_in_long_documents_teach(spark):
     model = quality.train(docs, labels)
     assert sum(quality.in_chains(np.array([400, 64, 1, 65]))) == 530 and max(quality.in_chains(np.array([400]))) == quality.CHAIN
     quiet = [b"A quiet line of plain words, number %d of 99." % n for n in range(400)]
-    clean, spoilt = quality.document_scores(model, [b"\n".join(quiet), b"\n".join(quiet[:100] + [b"@@ ## $$ %% 3 ^^ && ** @@"] * 12 + quiet[112:])])
-    assert clean > spoilt + 0.2
+    texts = [b"\n".join(quiet), b"\n".join(quiet[:100] + [b"@@ ## $$ %% 3 ^^ && ** @@"] * 12 + quiet[112:])]
+    clean, spoilt = quality.document_scores(model, texts)
+    lines = quality.line_scores(model, texts[1:])[0]
+    assert clean > spoilt and lines[101:111].max() < lines[:90].min() / 10
 
 
 def test_the_quality_gradient_is_the_likelihoods():
