@@ -9,9 +9,10 @@ writes them as one, without a shuffle.
 Every change commits a version. A version is a small file that names a manifest table, and
 it is renamed into place without overwriting: where the store renames atomically (HDFS), the
 second of two writers from one base fails and tries again on the new base. On a local disk
-that holds for the threads of one process. A reader sees the last committed version, never a
-half-made change, and what it reads stays until a vacuum: the last KEEP versions keep all
-their files.
+that holds for the threads of one process. A vacuum empties the files of old versions but
+leaves their names, so a writer is refused however old its base is. A reader sees the last
+committed version, never a half-made change, and what it reads stays until a vacuum: the last
+KEEP versions keep all their files. All runs have the columns of the first.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ TARGET_BYTES = 128 << 20
 KEEP = 20
 TRIES = 50
 SEALED = -1
-MANIFEST = "run string, tier int, bytes long, n_files long, n_rows long, version long"
+MANIFEST = "run string, tier int, bytes long, n_files long, n_rows long, version long, columns string"
 _one_process = threading.Lock()
 
 
@@ -67,7 +68,7 @@ class ShardTable:
         fs, where = self._fs(f"{self.path}/versions")
         if not fs.exists(where):
             return []
-        names = [s.getPath().getName() for s in fs.listStatus(where)]
+        names = [s.getPath().getName() for s in fs.listStatus(where) if s.getLen()]
         return sorted(int(n[1:]) for n in names if n.startswith("v"))
 
     def version(self) -> int:
@@ -132,6 +133,8 @@ class ShardTable:
         for run in runs:
             per = self.spark.read.parquet(run).select(file.alias("file"), size.alias("size")).groupBy("file").agg(F.first("size").alias("size"), F.count("*").alias("n"))
             one = per.agg(F.sum("size").alias("bytes"), F.count("*").alias("n_files"), F.sum("n").alias("n_rows")).select(F.lit(run).alias("run"), "*")
+            kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.spark.read.parquet(run).schema)
+            one = one.withColumn("columns", F.lit(kinds))
             found = one if found is None else found.unionByName(one)
         steps = F.floor(F.log(float(self.fan_in), F.greatest(F.col("bytes") / self.small_bytes, F.lit(1.0))))
         sealed = F.col("bytes") >= F.col("n_files") * (self.target_bytes / 2)
@@ -141,32 +144,53 @@ class ShardTable:
         made = self._described(runs).collect()  # a row a run
         if not made:
             return self.version()
-        schema = "run string, bytes long, n_files long, n_rows long, tier int"
+        schema = "run string, bytes long, n_files long, n_rows long, columns string, tier int"
         rows = self.spark.createDataFrame(made, schema)
+        added = False
 
         def change(now: DataFrame, base: int) -> DataFrame | None:
-            if without and now.filter(F.col("run").isin(list(without))).count() < len(without):
+            nonlocal added
+            added = not without or now.filter(F.col("run").isin(list(without))).count() == len(without)
+            if not added:
                 return None  # another writer has merged some of them
+            others = {r[0] for r in now.select("columns").distinct().collect()} - {r["columns"] for r in made}
+            if others:
+                raise ValueError(f"the table has other columns: {others.pop()}")
             left = now.filter(~F.col("run").isin(list(without))) if without else now
             return left.unionByName(rows.withColumn("version", F.lit(base + 1).cast("long")))
 
-        return self._settled(change)
+        done = False
+        try:
+            at = self._settled(change)
+            done = added
+            return at
+        finally:
+            if not done:
+                for run in runs:
+                    self._remove(run)
+
+    def _remove(self, path: str) -> None:
+        fs, where = self._fs(path)
+        fs.delete(where, True)
 
     def append(self, rows: DataFrame) -> int:
         """Adds arrivals as they are dealt out: a run with a file a task. No rows, no new
-        version. All columns are kept, null rows, repeated rows and long texts included; the
-        columns of all arrivals must be the same."""
+        version. All columns are kept, null rows, repeated rows and long texts included; rows
+        with other columns than the table's are an error and leave nothing behind."""
         run = f"{self.path}/data/{uuid.uuid4().hex}"
         rows.write.parquet(run)
         return self._added([run])
 
     def append_each(self, rows: DataFrame, arrival: str) -> int:
         """Adds rows in one pass over them as several arrivals, a run for each value of the
-        column arrival (which is kept), in the order of values. The values must be few."""
+        column arrival (which is kept), in the order of values, null first. The values must be few."""
         folder, part = f"{self.path}/data/{uuid.uuid4().hex}", free_name("arrival_part", rows)
-        rows.withColumn(part, F.coalesce(F.col(arrival).cast("string"), F.lit("null"))).write.partitionBy(part).parquet(folder)
+        values = sorted((r[0] for r in rows.select(F.col(arrival)).distinct().collect()), key=lambda v: (v is not None, v))
+        at = F.array_position(F.array(*[F.lit(v) for v in values if v is not None]), F.col(arrival)) if any(v is not None for v in values) else F.lit(0)
+        rows.withColumn(part, F.coalesce(at, F.lit(0)).cast("int")).write.partitionBy(part).parquet(folder)
         fs, where = self._fs(folder)
-        runs = sorted(s.getPath().toString() for s in fs.listStatus(where) if s.isDirectory())
+        runs = [s.getPath() for s in fs.listStatus(where) if s.isDirectory()]
+        runs = [p.toString() for p in sorted(runs, key=lambda p: int(p.getName().split("=")[1]))]
         at = self.version()
         for run in runs:
             at = self._added([run])
@@ -211,13 +235,12 @@ class ShardTable:
         for v in old[1:]:
             gone = gone.union(self.manifest(v).select("run"))
         for (run,) in gone.distinct().join(named, "run", "left_anti").toLocalIterator():
-            fs, where = self._fs(run)
-            fs.delete(where, True)
+            self._remove(run)
         for v in old:
             folder = self.spark.read.text(self._place(v)).first()[0]
-            for path in (self._place(v), folder):
-                fs, where = self._fs(path)
-                fs.delete(where, True)
+            fs, place = self._fs(self._place(v))
+            fs.create(place, True).close()  # empty: the name stays taken
+            self._remove(folder)
 
     # -- reads ------------------------------------------------------------------------
 

@@ -1,4 +1,5 @@
 import math
+import os
 import threading
 
 import pytest
@@ -136,3 +137,50 @@ def test_the_query_holds_every_document_once(spark, sf, documents):
     rows = queries.op7_sharding(spark, sf).collect()
     assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in documents.collect())
     assert {r.n_rows for r in rows} == {len(rows)}
+
+
+def test_a_base_left_behind_by_a_vacuum_is_refused(spark, tmp_path):
+    shards = ShardTable(spark, str(tmp_path))
+    for k in range(6):
+        shards.append(spark.range(k * 10, k * 10 + 10))
+    shards.vacuum(keep=2)
+    assert shards.versions() == [5, 6]
+    stale = ShardTable(spark, str(tmp_path))
+    with pytest.raises(Conflict):
+        stale.commit(shards.manifest(), 1)
+    assert shards.versions() == [5, 6] and shards.read().count() == 60
+    stale.append(spark.range(60, 70))
+    assert shards.version() == 7 and shards.read().count() == 70
+
+
+def test_other_columns_are_refused_and_leave_nothing(spark, tmp_path):
+    shards = ShardTable(spark, str(tmp_path))
+    shards.append(spark.range(5))
+    for rows in (spark.range(5).selectExpr("id", "1 as more"), spark.range(5).selectExpr("cast(id as int) as id"), spark.range(5).selectExpr("id as other")):
+        with pytest.raises(ValueError, match="other columns"):
+            shards.append(rows)
+    assert shards.version() == 1 and len(os.listdir(tmp_path / "data")) == 1
+
+
+def test_a_merge_that_another_writer_forestalled_leaves_nothing(spark, tmp_path):
+    shards = ShardTable(spark, str(tmp_path), fan_in=2)
+    for k in range(2):
+        shards.append(spark.range(k, k + 1))
+    runs = [r[0] for r in shards.manifest().select("run").collect()]
+    merged = f"{tmp_path}/data/merged"
+    spark.read.parquet(*runs).coalesce(1).write.parquet(merged)
+    shards.compact()
+    at = shards.version()
+    assert shards._added([merged], without=runs) == at and not os.path.exists(merged)
+    assert sorted(r[0] for r in shards.read().collect()) == [0, 1]
+
+
+def test_arrivals_come_in_the_order_of_values(spark, tmp_path):
+    shards = ShardTable(spark, str(tmp_path))
+    rows = spark.createDataFrame([(k, a) for k, a in enumerate([10, 9, None, 2, 10])], "id long, a int")
+    shards.append_each(rows, "a")
+    runs = [r[0] for r in shards.manifest().orderBy("version").select("run").collect()]
+    assert [{r["a"] for r in spark.read.parquet(run).collect()} for run in runs] == [{None}, {2}, {9}, {10}]
+    words = ShardTable(spark, f"{tmp_path}/words")
+    words.append_each(spark.createDataFrame([(1, "null"), (2, None)], "id long, a string"), "a")
+    assert words.manifest().count() == 2 and words.read().count() == 2
