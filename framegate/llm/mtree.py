@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import nsmallest
 
 import numpy as np
 import pyarrow as pa
@@ -33,26 +34,80 @@ CELL_ROWS = 4096
 PAGE = 256
 BLOCK = 4096
 SLACK = 1e-6
-#: Squared norms from here on could make scores that doubles do not hold exactly.
+#: Squared norms from here on could make scores that doubles do not hold exactly. Such vectors
+#: stay out of the tree and meet the queries in blocks of exact products.
 EXACT = float(1 << 53)
+LONG = 1 << 63
+#: Exact scores travel as hexadecimal text of so many digits, moved up by OFFSET, so that text
+#: sorts as the numbers do: two components below 2^1024 each, over any number of components.
+OFFSET, DIGITS = 1 << 2200, 552
 #: The bound of a query whose first cell held too few vectors.
 NO_BOUND = -(1 << 62)
 #: The id left out of a search that leaves none out (ids of queries are divisible).
 NOBODY = -(1 << 63) + 1
 
 
-def whole_vectors(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(id, v): floor(256 x) of every component, as long. Vectors that are null or hold null
-    or non-finite components take no part, nor do rows without an id. Neither do vectors so
-    large that the sum of their squares reaches EXACT: below it every score is exact."""
-    fine = F.expr("forall(vec, x -> x is not null and not isnan(x) and abs(x) < double('Infinity'))")
-    return (
-        table.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
-        .filter(F.col("id").isNotNull() & F.col("vec").isNotNull())
-        .filter(fine)
-        .filter(F.expr("aggregate(vec, 0D, (s, x) -> s + pow(256 * abs(x) + 1, 2))") < EXACT)
-        .select("id", F.expr("transform(vec, x -> if(abs(x) < 1e9, cast(floor(256 * x) as bigint), 0L))").alias("v"))
-    )
+def fine_vectors(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(id, v, norm): floor(256 x) of every component, as double (which holds it exactly), and
+    the square sum. Vectors that are null or hold null components or such that 256 x is not
+    finite take no part, nor do rows without an id."""
+    fine = F.expr("forall(vec, x -> x is not null and not isnan(x) and abs(256 * x) < double('Infinity'))")
+    whole = F.transform("vec", lambda x: F.when(F.abs(x) < 1e12, F.floor(256 * x).cast("double")).otherwise(256 * x))
+    rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
+    rows = rows.filter(F.col("id").isNotNull() & F.col("vec").isNotNull()).filter(fine).select("id", whole.alias("v"))
+    return rows.withColumn("norm", F.expr("aggregate(v, 0D, (s, x) -> s + x * x)"))
+
+
+def whole_vectors(fine: DataFrame) -> DataFrame:
+    """(id, v) of fine_vectors with v as long: those that every product of doubles is exact for."""
+    return fine.filter(F.col("norm") < EXACT).select("id", F.col("v").cast("array<bigint>").alias("v"))
+
+
+def exact_scores(q: list[float], rows: np.ndarray, norms: np.ndarray) -> list[int]:
+    """Inner products of whole numbers held in doubles, exact whatever their size."""
+    length = float(np.linalg.norm(np.array(q) / 2.0**512))  # no square overflows
+    if length * float(norms.max(initial=0)) < 2.0 ** (62 - 1024):
+        return (rows.astype(np.int64) @ np.array(q).astype(np.int64)).tolist()
+    held = [(j, int(x)) for j, x in enumerate(q) if x]
+    return [sum(x * int(row[j]) for j, x in held) for row in rows]
+
+
+def blocked(asking: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
+    """(query_id, h1, h2, key, score, vec_id): the k best of each asking(id, h1, h2, v) in each
+    block of candidates(id, v), both in doubles, by exact products; key sorts as the score does,
+    score ends at the limits of a long. Work is queries times candidates; a task holds a block of each."""
+    queries, rows = max(1, asking.count() // BLOCK), max(1, candidates.count() // BLOCK)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asking.select(F.col("id").alias("own"), "h1", "h2", F.col("v").alias("q"), F.pmod("h1", F.lit(queries)).alias("b"), every(rows).alias("c"))
+    right = candidates.select(F.col("id").alias("n"), F.col("v").alias("x"), every(queries).alias("b"), F.pmod(F.xxhash64("v", "id"), F.lit(rows)).alias("c"))
+
+    def run(_key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if left.num_rows and right.num_rows:
+            q, ids = left["q"].to_pylist(), right["n"].to_pylist()
+            x = _matrix(right["x"], max(max(map(len, q)), max(np.asarray(right["x"].combine_chunks().value_lengths()))))
+            norms = np.linalg.norm(x / 2.0**512, axis=1)
+            for own, h1, h2, v in zip(*(left[c].to_pylist() for c in ("own", "h1", "h2")), q, strict=True):
+                scores = exact_scores(v + [0.0] * (x.shape[1] - len(v)), x, norms)
+                best = nsmallest(k, ((-s, n) for s, n in zip(scores, ids, strict=True) if n != own))
+                out += [(own, h1, h2, sortable(-s), min(max(-s, -LONG), LONG - 1), n) for s, n in best]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+        return pa.Table.from_arrays([pa.array([r[j] for r in out], kind) for j, kind in enumerate(kinds)], ["query_id", "h1", "h2", "key", "score", "vec_id"])
+
+    met = left.groupBy("b", "c").cogroup(right.groupBy("b", "c"))
+    return met.applyInArrow(run, "query_id long, h1 long, h2 long, key string, score long, vec_id long")
+
+
+def sortable(score: int) -> str:
+    return f"{score + OFFSET:0{DIGITS}x}"
+
+
+def _sortable():
+    @F.arrow_udf("string")
+    def key(scores: pa.Array) -> pa.Array:
+        return pa.array([sortable(s) for s in scores.to_pylist()], pa.string())
+
+    return key
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -295,24 +350,59 @@ def searched(queries: DataFrame, index: DataFrame, top: Top, blocks: int, k: int
     return met.applyInArrow(search, "h1 long, h2 long, own long, score long, vec_id long")
 
 
-def top_k(table: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def _hashed(rows: DataFrame) -> DataFrame:
+    return rows.select("id", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(3), "v").alias("h2"))
+
+
+def _ranked(found: DataFrame, k: int, order: str) -> DataFrame:
+    own = Window.partitionBy("query_id", "h1", "h2").orderBy(F.col(order).desc(), "vec_id")
+    return found.withColumn("rank", F.row_number().over(own)).filter(F.col("rank") <= k)
+
+
+def top_k(table: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vec_col: str = "embedding", tree: bool = True) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by every, its k best
     other rows by inner product, ties to the smaller id (all, if there are fewer).
 
     Rows that repeat an id and a vector count once. Rows that share an id but not a vector are
     queries of their own, each with its list of k; rows with the query's id are no candidates.
     Vectors of unequal length are compared as if zeros followed the shorter. Vectors that are
-    null, hold null or non-finite components, or are too large for exact scores (whole_vectors)
-    take no part. An empty table gives no rows; other columns are ignored.
+    null or hold null or non-finite components (times 256) take no part. Ranks are by exact
+    scores whatever their size; a score beyond a long is returned as the nearest long. An empty
+    table gives no rows; other columns are ignored.
 
-    Queries with equal vectors are searched once, for k + 1, of which their own id goes; those
-    whose id has several vectors are searched without these.
+    Vectors too long for exact products of doubles (EXACT) stay out of the tree: queries meet
+    them, and they as queries meet all rows, in blocks. tree=False does so with all vectors,
+    which costs less where vectors lie so evenly that no bound avoids much.
     """
-    hashed = whole_vectors(table, id_col, vec_col).select("id", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(3), "v").alias("h2"))
-    rows = written(hashed, "vectors")
+    fine = fine_vectors(table, id_col, vec_col)
+    apart = fine.filter(F.col("norm") >= EXACT) if tree else fine
+    if tree and apart.isEmpty():
+        return _ranked(_in_tree(whole_vectors(fine), k, every), k, "score").select("query_id", "rank", "vec_id", "score")
+    fine = written(_hashed(fine).dropDuplicates(["h1", "h2", "id"]), "fine")
+    apart = fine.filter(F.expr("aggregate(v, 0D, (s, x) -> s + x * x)") >= EXACT) if tree else fine
+    ask = F.col("id") % every == 0
+    found = blocked(fine.filter(ask), apart, k)
+    if tree:
+        small = fine.join(apart.select("h1", "h2", "id"), ["h1", "h2", "id"], "left_anti")
+        found = found.unionByName(blocked(apart.filter(ask), small, k))
+        inside = _in_tree(small.select("id", F.col("v").cast("array<bigint>").alias("v")), k, every)
+        inside = inside.withColumn("key", _sortable()(F.col("score")))
+        # The tree's hashes are of longs; those of the same vector in doubles name the query here.
+        names = small.filter(ask).select("id", "h1", "h2", F.col("v").cast("array<bigint>").alias("w"))
+        names = names.select(F.col("id").alias("query_id"), F.xxhash64("w").alias("t1"), F.xxhash64(F.lit(3), "w").alias("t2"), F.col("h1").alias("n1"), F.col("h2").alias("n2"))
+        inside = inside.withColumnsRenamed({"h1": "t1", "h2": "t2"}).join(names, ["query_id", "t1", "t2"])
+        found = found.unionByName(inside.select("query_id", F.col("n1").alias("h1"), F.col("n2").alias("h2"), "key", "score", "vec_id"))
+    return _ranked(found, k, "key").select("query_id", "rank", "vec_id", "score")
+
+
+def _in_tree(vectors: DataFrame, k: int, every: int) -> DataFrame:
+    """(query_id, h1, h2, score, vec_id): each query's k best and more, from the tree of
+    vectors(id, v). Queries with equal vectors are searched once, for k + 1, of which their own
+    id goes; those whose id has several vectors are searched without these."""
+    rows = written(_hashed(vectors), "vectors")
     tree = placed_in_cells(written(distinct_entries(rows, k), "entries"))
     if tree is None:
-        return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        return vectors.sparkSession.createDataFrame([], "query_id long, h1 long, h2 long, score long, vec_id long")
     placed, top = tree
     index = written(build_index(placed, top), "mtree")
     asking = rows.filter(F.col("id") % every == 0).dropDuplicates(["h1", "h2", "id"])
@@ -329,12 +419,5 @@ def top_k(table: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id",
     away = searched(routed(bounded, top), index, top, blocks, k + 1)
     best = Window.partitionBy(key).orderBy(F.col("score").desc(), "vec_id")
     merged = at_home.unionByName(away).withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= k + 1).drop("nth")
-    own = Window.partitionBy("query_id", "h1", "h2").orderBy(F.col("score").desc(), "vec_id")
-    return (
-        asking.select(F.col("id").alias("query_id"), *key)
-        .join(merged, key)
-        .filter("vec_id <> query_id")
-        .withColumn("rank", F.row_number().over(own))
-        .filter(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
-    )
+    found = asking.select(F.col("id").alias("query_id"), *key).join(merged, key).filter("vec_id <> query_id")
+    return found.select("query_id", "h1", "h2", "score", "vec_id")

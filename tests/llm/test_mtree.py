@@ -1,5 +1,8 @@
+from math import floor
+
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from framegate.llm import mtree
 
@@ -62,13 +65,38 @@ def test_ids_with_several_vectors(spark):
     assert len(got) == 45 and sorted(got) == sorted(want)
 
 
-def test_values_too_large_for_exact_scores_take_no_part(spark):
-    good = [(i, [float(i), -3.5]) for i in range(0, 120)]
-    huge = [(200, [1e300, 1.0]), (250, [-1e300, 0.0]), (300, [1e6, 0.0])]
-    df = spark.createDataFrame(good + huge, "vec_id long, embedding array<double>")
-    assert told(mtree.top_k(df)) == brute(good)
-    least = mtree.whole_vectors(spark.createDataFrame([(1, [3e5, 0.0])], "vec_id long, embedding array<double>"))
-    assert [r.v for r in least.collect()] == [[256 * 300_000, 0]]
+def exact(rows, k=5, every=50):
+    """brute() in Python's whole numbers; scores end at the limits of a long."""
+    x = [(n, [floor(256 * c) for c in v]) for n, v in rows]
+    out = set()
+    for n, q in x:
+        if n % every == 0:
+            best = sorted((-sum(a * b for a, b in zip(q, v, strict=False)), m) for m, v in x if m != n)
+            out |= {(n, r + 1, m, min(max(-s, -(2**63)), 2**63 - 1)) for r, (s, m) in enumerate(best[:k])}
+    return out
+
+
+@pytest.mark.parametrize("tree", [True, False])
+def test_large_values_rank_exactly(spark, tree):
+    """Small vectors beside such that doubles, longs or neither hold the scores of."""
+    small = [(i, [float(i % 17), -3.5, i / 7]) for i in range(120)]
+    large = [(200, [1e300, 1.0]), (201, [1e300, 2.0]), (250, [-1e300, 0.0]), (300, [1e6, 0.0]), (301, [1e6, 1 / 256]), (302, [2e6]), (350, [3e5, 1e9, -7.0]), (351, [1e13, 0.3, 5.0])]
+    rows = small + large
+    df = spark.createDataFrame(rows + large[:2] + [(400, [1e308, 1.0]), (450, [float("inf")])], "vec_id long, embedding array<double>")
+    got = [(r.query_id, r.rank, r.vec_id, r.score) for r in mtree.top_k(df, tree=tree).collect()]
+    assert len(got) == len(set(got)) and set(got) == exact(rows)
+
+
+def test_four_rows_of_two_sizes(spark):
+    rows = [(0, [1e6, 0.0]), (1, [2e6, 0.0]), (2, [3.0, 1.0]), (50, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert told(mtree.top_k(df)) == exact(rows) and len(exact(rows)) == 6
+
+
+def test_blocks_give_what_the_tree_gives(spark, monkeypatch):
+    monkeypatch.setattr(mtree, "BLOCK", 40)
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    assert told(mtree.top_k(df, tree=False)) == told(mtree.top_k(df))
 
 
 def test_few_rows_and_none(spark):
