@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +14,7 @@ from framegate.operators import candidates, raster, telemetry
 from framegate.plans.base import DAY_US, EV, query
 from framegate.presets import Band
 from framegate.sources import images
-from framegate.sources.tables import events, load
+from framegate.sources.tables import events, load, shared_folder
 
 TYPES = ("click", "view", "purchase", "signup", "error")
 
@@ -156,3 +161,41 @@ def image_quality_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     out = per.join(bad.groupBy("label").agg(F.count("*").alias("invalid")), "label", "left").withColumn("invalid", F.coalesce("invalid", F.lit(0)))
     return out.withColumn("rejected", F.round((F.col("fail") + F.col("invalid")) / (F.col("images") + F.col("invalid")), 6))
+
+
+_PX = "list_transform(range(4096), lambda i: d[i // 512 * 8 + i % 64 // 8 + 1])"
+_INNER = "list_filter(range(4096), lambda i: i % 64 > 0 AND i % 64 < 63 AND i >= 64 AND i < 4032)"
+
+
+@query(f"""WITH gray AS (SELECT vec_id, list_transform(embedding, lambda x: greatest(0, least(255, floor(128.5 + 200 * CAST(x AS DOUBLE))))) AS d,
+                CASE WHEN vec_id % 11 = 0 THEN 'not an image' WHEN vec_id % 9 = 0 THEN 'too small' END AS violation FROM embeddings WHERE embedding IS NOT NULL),
+  px AS (SELECT vec_id, {_PX} AS g FROM gray WHERE violation IS NULL),
+  laps AS (SELECT vec_id, list_avg(g) AS m, list_avg(list_transform(list_filter(range(4096), lambda i: i % 64 >= 16 AND i % 64 < 48 AND i >= 1024 AND i < 3072), lambda i: g[i + 1])) AS brightness,
+           list_transform({_INNER}, lambda i: g[i - 63] + g[i + 65] + g[i] + g[i + 2] - 4 * g[i + 1]) AS lap,
+           list_transform({_INNER}, lambda i: sqrt(pow(g[i + 2] - g[i], 2) + pow(g[i + 65] - g[i - 63], 2))) AS grad FROM px)
+  SELECT vec_id, violation, round(brightness, 4) AS brightness, CASE WHEN m IS NOT NULL THEN round(greatest(0.0, {VAR}), 4) END AS sharpness,
+         round(CASE WHEN m < 30 OR m > 240 THEN 0.0 ELSE 100 * (0.7 * ({VAR}) + 3 * list_avg(grad)) / (m + 1) END, 3) AS focus FROM gray LEFT JOIN laps USING (vec_id)""")
+def image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings become picture files, some broken, some small; the files are read, checked
+    and measured."""
+    folder = f"{shared_folder(spark)}/pictures-{uuid.uuid4().hex}"
+    rows = load(spark, sf_dir, "embeddings").filter("embedding is not null").select("vec_id", "embedding")
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, files = [], []
+            for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                gray = np.clip(np.floor(128.5 + 200 * np.array(v)), 0, 255).reshape(8, 8)
+                side = 4 if k % 9 == 0 else 8
+                body = images.gray_png(np.kron(gray, np.ones((side, side))))
+                names.append(f"{k}.png")
+                files.append(body[:20] if k % 11 == 0 else body)
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(files, pa.binary())], ["name", "data"])
+
+    images.write_files(rows.mapInArrow(draw, "name string, data binary"), "name", "data", folder)
+    files = images.read_images(spark, folder)
+    good, bad = images.validate_items(files, images.upload_rules(F.col("length"), F.col("height"), F.col("width")))
+    measured = raster.raster_metrics(good).withColumn("violation", F.lit(None).cast("string"))
+    out = measured.unionByName(bad.select("path", "violation"), allowMissingColumns=True)
+    name = F.regexp_extract("path", r"(\d+)\.png$", 1).cast("long")
+    return out.select(name.alias("vec_id"), "violation", *[F.round(m, d).alias(m) for m, d in (("brightness", 4), ("sharpness", 4), ("focus", 3))])
