@@ -7,7 +7,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.resource import ResourceProfile, ResourceProfileBuilder, TaskResourceRequests
+from pyspark.sql import DataFrame, SparkSession
 
 SCHEMA = "item_id string, success boolean, error string, original_size array<int>, upscaled_size array<int>, stage1_ms double, stage2_ms double, total_ms double, quality_score double"
 
@@ -36,16 +37,30 @@ def upscaled(image: np.ndarray, stage2: Stage2) -> np.ndarray:
         return image
 
 
+def one_job_an_executor(spark: SparkSession) -> ResourceProfile:
+    """A scoring task takes all cores of its executor, so that one model job runs there at a
+    time, whatever runs in other stages. Needs a cluster whose scheduler knows such profiles
+    (standalone, YARN, Kubernetes); on a local master Spark refuses it."""
+    cores = int(spark.conf.get("spark.executor.cores", None) or _cores_of(spark.sparkContext.master))
+    return ResourceProfileBuilder().require(TaskResourceRequests().cpus(cores)).build
+
+
+def _cores_of(master: str) -> int:
+    """Cores of an executor of local-cluster[executors, cores, memory]; 1 for any other master."""
+    return int(master.split(",")[1]) if master.startswith("local-cluster[") else 1
+
+
 def score_two_stage(
     df: DataFrame, stage1_factory: Callable[[], Stage1], stage2_factory: Callable[[], Stage2], return_mask: bool = False, return_intermediate: bool = False,
-    return_image: bool = False,
+    return_image: bool = False, profile: ResourceProfile | None = None,
 ) -> DataFrame:
     """Scores rows of item_id, height, width, n_channels, data, hint_x, hint_y.
 
     The factories run once a task, so models load once. A stage 1 error fails its row and
     never the job. total_ms = stage1_ms + stage2_ms. The flags add the bytes of stage 1's
     mask, of its image (both of original_size) and of stage 2's image (of upscaled_size), row
-    by row, in columns mask, intermediate and upscaled; NULL where there is none."""
+    by row, in columns mask, intermediate and upscaled; NULL where there is none. profile: what
+    each scoring task takes, as one_job_an_executor() makes it."""
     asked = (("mask", return_mask), ("intermediate", return_intermediate), ("upscaled", return_image))
     pictures = [name for name, wanted in asked if wanted]
     schema = ", ".join([SCHEMA, *(f"{name} binary" for name in pictures)])
@@ -56,7 +71,7 @@ def score_two_stage(
             yield pd.DataFrame([_scored(row, one, two, pictures) for row in batch.itertuples(index=False)], columns=[c.split()[0] for c in schema.split(", ")])
 
     rows = df.select("item_id", "height", "width", "n_channels", "data", "hint_x", "hint_y")
-    return rows.mapInPandas(run, schema)
+    return rows.mapInPandas(run, schema, profile=profile)
 
 
 def _scored(row, one: Stage1, two: Stage2, pictures: list[str]) -> tuple:

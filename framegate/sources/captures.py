@@ -23,8 +23,8 @@ def device_eligibility(df: DataFrame, max_width: str, max_height: str, set_width
 
 
 def result_key(*parts: Column) -> Column:
-    """An opaque key that a second run makes again."""
-    return F.sha2(F.concat_ws("\x1f", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)
+    """An opaque key that a second run makes again. A null part is no empty one."""
+    return F.sha2(F.concat_ws("\x1f", *[F.coalesce(p.cast("string"), F.lit("\x00")) for p in parts]), 256)
 
 
 def write_results(results: DataFrame, payload: DataFrame, key: str, day: str, path: str) -> None:
