@@ -233,26 +233,30 @@ def angle_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.asof(frames, readings, KEY, "us", "event_id", "value", "beta").select("event_id", "beta")
 
 
-@query(f"""WITH RECURSIVE {EV},
+GAPPED = f"""{EV},
   numbered AS (SELECT user_id, us, event_id, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS n FROM ev),
   kept AS (
     SELECT user_id, us, event_id, n, us AS last_us, true AS keep FROM numbered WHERE n = 1
     UNION ALL
     SELECT b.user_id, b.us, b.event_id, b.n, CASE WHEN b.us - k.last_us >= {6 * HOUR_US} THEN b.us ELSE k.last_us END, b.us - k.last_us >= {6 * HOUR_US}
-    FROM kept k JOIN numbered b ON b.user_id = k.user_id AND b.n = k.n + 1)
-  SELECT user_id, us, event_id FROM kept WHERE keep""")
+    FROM kept k JOIN numbered b ON b.user_id = k.user_id AND b.n = k.n + 1)"""
+
+
+@query(f"WITH RECURSIVE {GAPPED} SELECT user_id, us, event_id FROM kept WHERE keep")
 def min_gap_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.min_gap_sample(events(spark, sf_dir), "user_id", "us", "event_id", 6 * HOUR_US)
 
 
-@query(f"""WITH RECURSIVE {EV},
+SPOKEN = f"""{EV},
   numbered AS (SELECT user_id, us, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS n FROM ev),
   said AS (
     SELECT user_id, us, event_id, event_type, n, us AS last_us, event_type AS last_text, true AS keep FROM numbered WHERE n = 1
     UNION ALL
     SELECT user_id, us, event_id, event_type, n, CASE WHEN ok THEN us ELSE last_us END, CASE WHEN ok THEN event_type ELSE last_text END, ok
     FROM (SELECT b.*, s.last_us, s.last_text, b.us - s.last_us >= {4 * HOUR_US} AND (b.event_type <> s.last_text OR b.us - s.last_us >= {12 * HOUR_US}) AS ok
-          FROM said s JOIN numbered b ON b.user_id = s.user_id AND b.n = s.n + 1))
-  SELECT user_id, us, event_id, event_type FROM said WHERE keep""")
+          FROM said s JOIN numbered b ON b.user_id = s.user_id AND b.n = s.n + 1))"""
+
+
+@query(f"WITH RECURSIVE {SPOKEN} SELECT user_id, us, event_id, event_type FROM said WHERE keep")
 def throttle_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.throttle_repeats(events(spark, sf_dir), "user_id", "us", "event_id", "event_type", 4 * HOUR_US, 12 * HOUR_US)

@@ -217,6 +217,47 @@ class BurstCountdown(Ordered):
                 yield key[0], due - self.wait_us, "aborted", us, None
 
 
+class GapSampler(Ordered):
+    """min_gap_sample row by row. A key whose last row is gap_us old begins anew anyway."""
+
+    def __init__(self, gap_us: int):
+        self.gap_us = gap_us
+        self.idle_ms = -(-gap_us // 1000)
+
+    def start(self) -> dict:
+        return {"at": None}
+
+    def names(self) -> list[str]:
+        return ["key", "us", "id"]
+
+    def step(self, memory: dict, key: tuple, row: dict) -> Iterator[tuple]:
+        if memory["at"] is None or row["us"] - memory["at"] >= self.gap_us:
+            memory["at"] = row["us"]
+            yield key[0], row["us"], row["id"]
+
+
+class Throttle(Ordered):
+    """throttle_repeats row by row. After same_us without a row nothing of a key matters."""
+
+    columns = ("text",)
+
+    def __init__(self, any_us: int, same_us: int):
+        self.any_us, self.same_us = any_us, same_us
+        self.idle_ms = -(-max(any_us, same_us) // 1000)
+
+    def start(self) -> dict:
+        return {"at": None, "text": None}
+
+    def names(self) -> list[str]:
+        return ["key", "us", "id", "text"]
+
+    def step(self, memory: dict, key: tuple, row: dict) -> Iterator[tuple]:
+        since = None if memory["at"] is None else row["us"] - memory["at"]
+        if since is None or since >= self.any_us and (row["text"] != memory["text"] or since >= self.same_us):
+            memory.update(at=row["us"], text=row["text"])
+            yield key[0], row["us"], row["id"], row["text"]
+
+
 class LatestReading(Ordered):
     """An as-of join of two streams in one: side 0 holds readings, side 1 frames. Each frame
     gets the latest known reading; readings at the same time come before it."""
@@ -287,6 +328,8 @@ SCHEMAS = {
     Countdown: "key {k}, started_us long, outcome string, ended_us long",
     RateLimit: "key {k}, id long, admitted boolean",
     BurstCountdown: "key {k}, started_us long, outcome string, ended_us long, best_sharpness double",
+    GapSampler: "key {k}, us long, id long",
+    Throttle: "key {k}, us long, id long, text string",
     LatestReading: "key {k}, id long, reading double",
     RunningTotals: "key {k}, window_us long, n long, n_so_far long, total_so_far double",
 }

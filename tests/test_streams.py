@@ -83,6 +83,23 @@ def test_dedup_tells_a_key_once(spark, tmp_path):
     assert sorted(r.k for r in windows.drained(out, str(tmp_path)).collect()) == [1, 2, 3]
 
 
+def test_samplers_forget_what_no_longer_matters(spark, tmp_path):
+    batches = shuffled(8, lambda rng: rng.choice(["a", "b", None]))
+    kept, said, last, spoken = [], [], {}, {}
+    for key, us, i, text in below_mark(batches):
+        if key not in last or us - last[key] >= 5_000_000:
+            last[key] = us
+            kept.append((key, us, i))
+        at, word = spoken.get(key, (None, None))
+        if at is None or us - at >= 3_000_000 and (text != word or us - at >= 9_000_000):
+            spoken[key] = us, text
+            said.append((key, us, i, text))
+    bare = [[r[:3] for r in b] for b in batches]
+    assert streamed(spark, tmp_path / "gap", bare, stateful.GapSampler(5_000_000), "") == sorted(kept)
+    got = streamed(spark, tmp_path / "said", batches, stateful.Throttle(3_000_000, 9_000_000), ", text string")
+    assert sorted(got, key=repr) == sorted(said, key=repr) and len(said) < len(kept) * 3
+
+
 def test_two_streams_meet_as_of(spark, tmp_path):
     rng = random.Random(4)
     rows = [(rng.randrange(4), 500_000 * rng.randrange(1, 300), k, rng.choice([1.0, 2.0, 3.0, None]), rng.random() < 0.5) for k in range(400)]
