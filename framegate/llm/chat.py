@@ -46,7 +46,9 @@ def maximal(turns: DataFrame) -> DataFrame:
 
 
 def rendered(turns: DataFrame) -> DataFrame:
-    """conv_id, n_turns, rendered: each maximal conversation as one text, in order."""
+    """conv_id, n_turns, rendered: each maximal conversation as one text, in order. Cases as in
+    maximal(). Names of other columns cannot clash. Very long texts are rendered whole; a
+    conversation is one row in the end, so all its texts meet in one task."""
     line = F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), F.col("text"), F.lit("\n<|end|>\n"))
     told = maximal(turns).groupBy("conv").agg(
         F.count("*").alias("n_turns"), F.array_sort(F.collect_list(F.struct("place", line.alias("line")))).alias("lines")

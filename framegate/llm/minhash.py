@@ -73,7 +73,9 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fingerprint) of every row; no shuffle. A null text counts as empty."""
+    """(id, fingerprint) of every row; no shuffle. A null text counts as empty; a very long one
+    is hashed whole, alone in its task's memory; repeated rows and null ids are rows as any;
+    an empty table gives no rows; other columns are ignored."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

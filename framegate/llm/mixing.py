@@ -118,7 +118,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     Size: words of the text (null: 0). Null sources form one source, the last. Texts without
     words keep one copy. Repeated rows are separate rows; which of them gets an extra copy
-    makes no difference. An empty table gives no rows; other columns are ignored.
+    makes no difference. An empty table gives no rows; other columns are ignored. Of a text,
+    however long, only its number of words travels.
     """
     sizes = written(sized(docs, id_col, text_col, source_col), "sizes")
     aims = written(targets(sizes), "targets")

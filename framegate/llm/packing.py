@@ -156,7 +156,8 @@ def _pack(group: pd.DataFrame) -> pd.DataFrame:
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces with sequence_id and offset. Each document takes part, an empty or null text
     as its END_ID alone; repeated rows are packed each; null ids stay null; an empty table
-    gives no rows; other columns are ignored."""
+    gives no rows; other columns are ignored. A very long text is encoded whole, alone in its
+    task's memory, and only its pieces' places travel."""
     found = written(pieces(docs, tokenizer_path, id_col, text_col), "pieces")
     tokens, n = found.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count("*")).first()
     groups = max(1, tokens // (CAPACITY * BINS_A_GROUP), n // PIECES_A_GROUP)

@@ -44,3 +44,10 @@ def test_whole_table_and_none(spark, sf):
     assert told(chat.rendered(table)) == brute([tuple(r) for r in table.select("conv_id", "turn", "role", "text").collect()])
     assert chat.rendered(spark.createDataFrame([], SCHEMA)).count() == 0
     assert queries.op9_chat(spark, sf).count() == chat.rendered(table).count()
+
+
+def test_long_texts_and_clashing_names(spark):
+    rows = [(1, 0, "user", "x" * 300_000), (2, 0, "user", "x" * 300_000), (2, 1, "assistant", "word " * 60_000), (3, 0, "user", "x" * 299_999)]
+    names = "place conv p1 p2 n_turns rendered lines line kept text_ h".split()
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", *(f"'clash' as {n}" for n in names)).repartition(3)
+    assert told(chat.rendered(df)) == brute(rows)
