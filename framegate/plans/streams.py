@@ -20,6 +20,8 @@ from framegate.streaming import stateful, windows
 
 LATE = "1 hour"
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: States that the keys of a stream share: one batch here brings rows of all of them.
+GROUPS = 1024
 #: The last millisecond that the watermark has passed.
 MARK = f"mark AS (SELECT max(us) // 1000 - {HOUR_US // 1000} AS ms FROM ev)"
 
@@ -37,6 +39,10 @@ def _keyed(df: DataFrame, key, *columns) -> DataFrame:
     return df.withWatermark("ts", LATE).select(key.alias("key"), "us", F.col("event_id").alias("id"), "ts", *columns)
 
 
+def _ordered(rows: DataFrame, processor: stateful.Ordered, key_type: str = "long") -> DataFrame:
+    return stateful.run_ordered(rows, processor, key_type, groups=GROUPS)
+
+
 @query(f"""WITH {EV}, {MARK}, per AS (SELECT us // {DAY_US} * {DAY_US} AS window_us, event_type, count(*) AS n, round(sum(value), 4) AS total FROM ev GROUP BY ALL)
   SELECT window_us, event_type, n, total FROM per, mark WHERE (window_us + {DAY_US}) // 1000 <= ms""")
 def stream_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +121,7 @@ def stream_countdown_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH RECURSIVE {sequence.GAPPED}, {MARK} SELECT user_id AS key, us, event_id AS id FROM kept, mark WHERE keep AND us // 1000 < ms")
 def stream_min_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _keyed(_events(spark, sf_dir), F.col("user_id"))
-    return windows.drained(stateful.run_ordered(rows, stateful.GapSampler(6 * HOUR_US)), shared_folder(spark))
+    return windows.drained(_ordered(rows, stateful.GapSampler(6 * HOUR_US)), shared_folder(spark))
 
 
 @query(f"WITH RECURSIVE {sequence.SPOKEN}, {MARK} SELECT user_id AS key, us, event_id AS id, event_type AS text FROM said, mark WHERE keep AND us // 1000 < ms")

@@ -4,6 +4,8 @@ rows gives. Rows later than the watermark are dropped by Spark."""
 
 from __future__ import annotations
 
+import heapq
+import itertools
 import json
 from collections.abc import Iterator
 from dataclasses import asdict
@@ -11,6 +13,7 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from framegate.operators.stages import SessionState
@@ -18,13 +21,16 @@ from framegate.presets import Band, StageRules
 
 
 class Ordered(StatefulProcessor):
-    """Holds a key's rows back, in buckets of time, and hands them in order to step() once the
-    watermark has passed them. A bucket is read when rows come to it and when its timer fires,
-    so the work on a row does not grow with what else waits."""
+    """Holds the rows of a group of keys back and hands them in order to step() once the
+    watermark has passed them. What is known of the keys and what waits is one value, read and
+    written once a batch, so that neither a row nor a key costs calls to the store; where more
+    than chunk_rows wait, they lie in chunks beside it, in order of time, of which only those
+    that the watermark has reached are read. So the work on a row does not grow with what else
+    waits, nor does memory."""
 
     columns: tuple[str, ...] = ()
-    #: Event time that one bucket of waiting rows spans.
-    bucket_ms = 600_000
+    #: Rows that wait beside what is known of keys before they go into a chunk of their own.
+    chunk_rows = 1000
     #: A key starts afresh with a row so long after its last one, and is forgotten when the
     #: watermark says so; None keeps keys for good.
     idle_ms: int | None = None
@@ -32,7 +38,7 @@ class Ordered(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.memory = handle.getValueState("memory", "j string")
-        self.waiting = handle.getMapState("waiting", "bucket long", "rows string")
+        self.waiting = handle.getMapState("waiting", "chunk long", "rows string")
 
     def start(self) -> dict:
         return {}
@@ -48,54 +54,90 @@ class Ordered(StatefulProcessor):
         raise NotImplementedError
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        added: dict[int, list] = {}
+        held = self._held()
         for batch in rows:
-            for row in zip(*(_plain(batch[c]) for c in ("us", "id", *self.columns)), strict=True):
-                added.setdefault(row[0] // 1000 // self.bucket_ms, []).append(row)
-        for bucket, new in added.items():
-            held = self.waiting.getValue((bucket,))
-            self._hold(bucket, (json.loads(held[0]) if held else []) + new)
+            held["rows"] += map(list, zip(*(_plain(batch[c]) for c in ("us", "id", *self.columns, "key")), strict=True))
+            self._cut(held)
+        self._keep(held)
         yield from ()  # rows that come are never below the watermark, so timers tell them
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        """Timers fire in order of time, so the buckets of a key are told in order."""
         watermark = timerValues.getCurrentWatermarkInMs()
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        bucket = at // self.bucket_ms
-        known = json.loads(self.memory.get()[0]) if self.memory.exists() else None
-        held = self.waiting.getValue((bucket,))
-        if held:
-            rows = sorted(json.loads(held[0]), key=self.rank)
-            ready = [r for r in rows if r[0] // 1000 < watermark]
-            if len(ready) < len(rows):
-                self._hold(bucket, rows[len(ready) :])
-            else:
-                self.waiting.removeKey((bucket,))
+        held = self._held()
+        if held["timer"] is not None and held["timer"] < watermark:
+            held["timer"] = None
+            for ready in self._ready(held, watermark):
+                out = self._told(held["known"], ready)
+                if out:
+                    yield pd.DataFrame(out, columns=self.names())
+            self._cut(held)
+        if self.idle_ms is not None:
+            over = {k: known["last_ms"] + self.idle_ms for k, known in held["known"].items()}
+            held["known"] = {k: known for k, known in held["known"].items() if over[k] >= watermark}  # what waits or comes is later
+            if held["known"]:
+                self.handle.registerTimer(min(over[k] for k in held["known"]))
+        self._keep(held)
+
+    def _held(self) -> dict:
+        """known: what step() remembers by key; rows: what waits outside chunks; chunks: the
+        first millisecond and number of each; timer: when the first row that waits can be told."""
+        stored = self.memory.get()
+        held = json.loads(stored[0]) if stored else {"known": [], "rows": [], "chunks": [], "next": 0, "timer": None}
+        return held | {"known": dict(held["known"])}
+
+    def _keep(self, held: dict) -> None:
+        first = min([r[0] // 1000 for r in held["rows"]] + [ms for ms, _ in held["chunks"]], default=None)
+        if first is not None and (held["timer"] is None or first < held["timer"]):
+            held["timer"] = first
+            self.handle.registerTimer(first)  # it fires when the watermark is beyond it
+        if first is None and not held["known"]:
+            self.memory.clear()
+        else:
+            self.memory.update((json.dumps(held | {"known": list(held["known"].items())}),))
+
+    def _cut(self, held: dict) -> None:
+        n = self.chunk_rows
+        if len(held["rows"]) <= n:
+            return
+        rows = sorted(held["rows"], key=self._rank)
+        whole = len(rows) // n * n
+        for k in range(0, whole, n):
+            self.waiting.updateValue((held["next"],), (json.dumps(rows[k : k + n]),))
+            held["chunks"].append((rows[k][0] // 1000, held["next"]))
+            held["next"] += 1
+        held["rows"] = rows[whole:]
+
+    def _ready(self, held: dict, watermark: int) -> Iterator[list]:
+        """The rows below the watermark in order, some at a time: those before the next chunk
+        are told before it is read. The others stay."""
+        due = sorted(c for c in held["chunks"] if c[0] < watermark)
+        held["chunks"] = [c for c in held["chunks"] if c[0] >= watermark]
+        n = itertools.count()
+        heap = sorted((self._rank(r), next(n), r) for r in held["rows"])
+        for first, chunk in [*due, (watermark, None)]:
+            ready = []
+            while heap and heap[0][2][0] // 1000 < first:
+                ready.append(heapq.heappop(heap)[2])
             if ready:
-                known, out = self._told(known, key, ready)
-                self.memory.update((json.dumps(known),))
-                yield pd.DataFrame(out, columns=self.names())
-        if self.idle_ms is not None and known:
-            over = known["last_ms"] + self.idle_ms
-            if over <= at:  # by the timer, not the watermark: rows in between may still wait for theirs
-                self.memory.clear()
-            else:
-                self.handle.registerTimer(over)
-
-    def _hold(self, bucket: int, rows: list) -> None:
-        self.waiting.updateValue((bucket,), (json.dumps(rows),))
-        # A timer fires when the watermark is beyond it.
-        self.handle.registerTimer(min(r[0] for r in rows) // 1000)
-
-    def _told(self, known: dict | None, key: tuple, rows: list) -> tuple[dict, list[tuple]]:
+                yield ready
+            if chunk is not None:
+                for row in json.loads(self.waiting.getValue((chunk,))[0]):
+                    heapq.heappush(heap, (self._rank(row), next(n), row))
+                self.waiting.removeKey((chunk,))
+        held["rows"] = [row for _, _, row in heap]
+
+    def _rank(self, row: list) -> tuple:
+        return self.rank(row[:-1])
+
+    def _told(self, every: dict, rows: list) -> list[tuple]:
         out: list[tuple] = []
-        for us, id_, *values in rows:
-            ms = us // 1000
+        for us, id_, *values, key in rows:
+            ms, known = us // 1000, every.get(key)
             if known is None or (self.idle_ms is not None and ms - known["last_ms"] > self.idle_ms):
-                known = {"memory": self.start()}
+                known = every[key] = {"memory": self.start()}
             known["last_ms"] = ms
-            out += self.step(known["memory"], key, {"us": us, "id": id_, **dict(zip(self.columns, values, strict=True))})
-        return known, out
+            out += self.step(known["memory"], (key,), {"us": us, "id": id_, **dict(zip(self.columns, values, strict=True))})
+        return out
 
     def close(self) -> None:
         pass
@@ -103,7 +145,7 @@ class Ordered(StatefulProcessor):
 
 def _plain(column: pd.Series) -> list:
     """Python values, None for what is missing."""
-    return column.astype(object).where(column.notna(), None).tolist()
+    return [None if v is None or v != v else v for v in column.tolist()]
 
 
 class Hysteresis(Ordered):
@@ -335,14 +377,20 @@ SCHEMAS = {
 }
 
 
-def run_ordered(df: DataFrame, processor: Ordered, key_type: str = "long", idle_ms: int | None = None) -> DataFrame:
+def run_ordered(df: DataFrame, processor: Ordered, key_type: str = "long", idle_ms: int | None = None, groups: int | None = None) -> DataFrame:
     """df: key, us, id, the processor's columns, and a watermarked event time. idle_ms: see
-    Ordered; without it the processor's own."""
+    Ordered; without it the processor's own. groups: keys share so many states, by hash; each
+    state is read and written whole, so a few thousand serve streams of many keys whose batches
+    bring rows of most of them. None gives each key a state of its own, for batches that touch
+    few of very many keys. Rows and rules are the same either way."""
     if idle_ms is not None:
         processor.idle_ms = idle_ms
-    return df.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=SCHEMAS[type(processor)].format(k=key_type), outputMode="append", timeMode="EventTime"
+    df = df.withColumn("key", F.col("key").cast("string"))  # pandas holds no null among whole numbers
+    group = F.col("key") if groups is None else F.pmod(F.xxhash64("key"), F.lit(groups))
+    out = df.withColumn("_group", group).groupBy("_group").transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=SCHEMAS[type(processor)].format(k="string"), outputMode="append", timeMode="EventTime"
     )
+    return out.withColumn("key", F.col("key").cast(key_type))
 
 
 class LiveQuota(StatefulProcessor):

@@ -2,7 +2,9 @@
 
 import random
 import time
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,3 +170,69 @@ def test_a_quotas_state_dies_with_its_window(spark, tmp_path):
     assert held() == 1, "a and b are gone"
     time.sleep(5)
     assert {i: v for i, v in run(2, [("a", 6), ("a", 7)]).items() if i > 5} == {6: True, 7: True}
+
+
+class Store:
+    """A state store of one group that counts its calls."""
+
+    def __init__(self):
+        self.calls, self.value, self.chunks, self.timers = 0, None, {}, set()
+
+    def called(self, result=None):
+        self.calls += 1
+        return result
+
+    def handle(self):
+        value = SimpleNamespace(
+            get=lambda: self.called(self.value), exists=lambda: self.called(self.value is not None),
+            update=lambda v: self.called(setattr(self, "value", v)), clear=lambda: self.called(setattr(self, "value", None)),
+        )
+        chunks = SimpleNamespace(
+            getValue=lambda k: self.called(self.chunks.get(k)), updateValue=lambda k, v: self.called(self.chunks.update({k: v})), removeKey=lambda k: self.called(self.chunks.pop(k)),
+        )
+        return SimpleNamespace(getValueState=lambda *_: value, getMapState=lambda *_: chunks, registerTimer=lambda ms: self.called(self.timers.add(ms)))
+
+
+@pytest.mark.parametrize("n", [100, 2_000])
+def test_store_calls_do_not_grow_with_rows_and_keys(n):
+    """Rows days apart, of many keys of a group, come at once and are told by one timer."""
+    store, processor = Store(), stateful.GapSampler(1_000)
+    processor.chunk_rows = 500
+    processor.init(store.handle())
+    rows = [(str(k % 50), 86_400_000_000 * k, k) for k in range(n)]
+    at = SimpleNamespace(getCurrentWatermarkInMs=lambda: 86_400_000 * (n + 9))
+    list(processor.handleInputRows((0,), iter([pd.DataFrame(rows, columns=["key", "us", "id"])]), at))
+    told, fired = [], 0
+    while store.timers:
+        first = min(store.timers)
+        told += [r for df in processor.handleExpiredTimer((0,), at, SimpleNamespace(getExpiryTimeInMs=lambda: first)) for r in df.itertuples(index=False)]  # noqa: B023
+        store.timers.remove(first)
+        fired += 1
+    assert [tuple(r) for r in told] == [(k, us, i) for k, us, i in rows]
+    assert fired == 1 and store.calls <= 8 + 3 * (n // 500)
+    assert store.value is None and not store.chunks, "keys and chunks are gone"
+
+
+@pytest.mark.parametrize("groups", [None, 2])
+@pytest.mark.parametrize("chunk_rows", [2, 1_000])
+@pytest.mark.parametrize("idle_ms", [None, 7_000])
+def test_keys_that_share_a_state_do_not_meet(spark, tmp_path, groups, chunk_rows, idle_ms):
+    batches = shuffled(9, lambda rng: rng.choice([100.0, 190.0, 240.0, 290.0, None]))
+    batches = [[(r[0] + 2**60, *r[1:]) for r in b] for b in batches]
+    band, on, last, want = Band(200, 280, 20), {}, {}, []
+    rows = sorted((r for b in batches for r in b), key=lambda r: r[1:3])
+    mark = max(r[1] for r in rows) // 1000 - LATE_MS
+    for key, us, i, v in rows:
+        if us // 1000 >= mark:
+            continue
+        if idle_ms is not None and us // 1000 - last.get(key, us // 1000) > idle_ms:
+            on[key] = False
+        last[key] = us // 1000
+        margin = band.margin if on.get(key) else 0.0
+        if v is not None:
+            on[key] = band.low - margin <= v <= band.high + margin
+        want.append((key, i, "pass" if on.get(key) else "fail"))
+    processor = stateful.Hysteresis(band)
+    processor.chunk_rows = chunk_rows
+    got = streamed(spark, tmp_path, batches, processor, ", value double", idle_ms=idle_ms, groups=groups)
+    assert got == sorted(want)
