@@ -73,7 +73,7 @@ def stream_hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.concat_ws("/", "event_type", F.col("user_id").cast("string"))
     rows = _keyed(_events(spark, sf_dir), key)
-    return windows.drained(stateful.run_ordered(rows, stateful.RateLimit(2, DAY_US), "string"), shared_folder(spark))
+    return windows.drained(_ordered(rows, stateful.RateLimit(2, DAY_US), "string"), shared_folder(spark))
 
 
 @query(f"WITH {sequence.STAGED}, {MARK} SELECT user_id AS key, event_id AS id, {sequence.NAMES}[stage_number] AS stage FROM staged, mark WHERE us // 1000 < ms")
