@@ -65,7 +65,7 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {sequence.BANDED}, {MARK} SELECT user_id AS key, event_id AS id, CASE WHEN on_ THEN 'pass' ELSE 'fail' END AS state FROM banded, mark WHERE us // 1000 < ms")
 def stream_hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _keyed(_events(spark, sf_dir), F.col("user_id"), "value")
-    return windows.drained(stateful.run_ordered(rows, stateful.Hysteresis(sequence.BAND)), shared_folder(spark))
+    return windows.drained(_ordered(rows, stateful.Hysteresis(sequence.BAND)), shared_folder(spark))
 
 
 @query(f"""WITH {EV}, {MARK}, told AS (SELECT event_type || '/' || user_id AS key, event_id AS id, us, {policy.ADMITTED} AS admitted FROM ev)
