@@ -83,7 +83,7 @@ def stream_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
         df, F.col("user_id"), F.col("value").alias("iris_diameter"), (F.col("event_type") != "error").alias("is_raised"), (F.col("k") / 100).alias("centering_ratio"),
         F.col("value").alias("sharpness"), (F.col("value") * 2).alias("brightness"), F.lit(None).cast("string").alias("return_to"),
     )
-    return windows.drained(stateful.run_ordered(rows, stateful.Stages(sequence.RULES)), shared_folder(spark))
+    return windows.drained(_ordered(rows, stateful.Stages(sequence.RULES)), shared_folder(spark))
 
 
 @query(f"WITH RECURSIVE {sequence.REGRESSED}, {MARK} SELECT user_id AS key, event_id AS id, {sequence.NAMES}[stage + 1] AS stage FROM walked, mark WHERE n > 0 AND us // 1000 < ms")
