@@ -107,7 +107,7 @@ def stream_stage_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT user_id AS key, started_us, outcome, CASE outcome WHEN 'aborted' THEN bad_us ELSE started_us + {DAY_US} END AS ended_us FROM told WHERE outcome <> 'open' AND (won IS NULL OR started_us <= won)""")
 def stream_countdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _keyed(_events(spark, sf_dir), F.col("user_id"), (F.col("event_type") != "error").alias("good"))
-    return windows.drained(stateful.run_ordered(rows, stateful.Countdown(5, DAY_US)), shared_folder(spark))
+    return windows.drained(_ordered(rows, stateful.Countdown(5, DAY_US)), shared_folder(spark))
 
 
 @query(f"""WITH RECURSIVE {sequence.ARMED}, {MARK}
