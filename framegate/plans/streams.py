@@ -127,7 +127,7 @@ def stream_min_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH RECURSIVE {sequence.SPOKEN}, {MARK} SELECT user_id AS key, us, event_id AS id, event_type AS text FROM said, mark WHERE keep AND us // 1000 < ms")
 def stream_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _keyed(_events(spark, sf_dir), F.col("user_id"), F.col("event_type").alias("text"))
-    return windows.drained(stateful.run_ordered(rows, stateful.Throttle(4 * HOUR_US, 12 * HOUR_US)), shared_folder(spark))
+    return windows.drained(_ordered(rows, stateful.Throttle(4 * HOUR_US, 12 * HOUR_US)), shared_folder(spark))
 
 
 @query(f"WITH {aggregates.RESET}, {MARK} SELECT user_id, window_us, n, n_so_far, total_so_far FROM added, mark WHERE (window_us + {DAY_US}) // 1000 <= ms")
