@@ -115,7 +115,7 @@ def stream_countdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_countdown_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attempts with their bursts; what the stream's end leaves open is not told."""
     rows = _keyed(_events(spark, sf_dir), F.col("user_id"), (F.col("event_type") != "error").alias("good"), F.col("value").alias("sharpness"))
-    return windows.drained(stateful.run_ordered(rows, stateful.BurstCountdown(**sequence.BURST)), shared_folder(spark))
+    return windows.drained(_ordered(rows, stateful.BurstCountdown(**sequence.BURST)), shared_folder(spark))
 
 
 @query(f"WITH RECURSIVE {sequence.GAPPED}, {MARK} SELECT user_id AS key, us, event_id AS id FROM kept, mark WHERE keep AND us // 1000 < ms")
