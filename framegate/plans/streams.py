@@ -134,7 +134,7 @@ def stream_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """telemetry_since_reset of the windows that the watermark has closed."""
     rows = windows.windowed(_events(spark, sf_dir), "ts", "user_id", "value", "1 day", F.col("event_type") == "error", LATE)
-    out = windows.drained(stateful.run_ordered(rows, stateful.RunningTotals()), shared_folder(spark))
+    out = windows.drained(_ordered(rows, stateful.RunningTotals()), shared_folder(spark))
     return out.withColumnRenamed("key", "user_id").withColumn("total_so_far", F.round("total_so_far", 4))
 
 
