@@ -145,7 +145,7 @@ def stream_angle_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """angle_asof on two streams, up to the lesser of their watermarks."""
     views, clicks = (_events(spark, sf_dir).filter(F.col("event_type") == kind) for kind in ("view", "click"))
     frames, readings = (df.select(F.col("user_id").alias("key"), "us", F.col("event_id").alias("id"), "value", "ts") for df in (views, clicks))
-    return windows.drained(stateful.run_ordered(windows.stream_asof(frames, readings, LATE), stateful.LatestReading()), shared_folder(spark))
+    return windows.drained(_ordered(windows.stream_asof(frames, readings, LATE), stateful.LatestReading()), shared_folder(spark))
 
 
 @query(f"WITH {EV} SELECT event_id, sha256(CAST(event_id AS VARCHAR) || chr(31) || user_id) AS result_key, us // {DAY_US} AS day FROM ev")
