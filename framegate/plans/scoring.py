@@ -24,6 +24,11 @@ LIGHTING_STATUS = f"CASE WHEN {LIGHT} BETWEEN 100 AND 180 THEN 'ok' WHEN {LIGHT}
 LIGHTING_TEXT = f"CASE WHEN {LIGHT} BETWEEN 100 AND 180 THEN 'Good lighting' WHEN {LIGHT} < 100 THEN 'Too dark' ELSE 'Too bright' END"
 RATIO = "least(1.0, sqrt(pow(k * 6.4 - 320, 2) + pow(value * 4 - 240, 2)) / 240)"
 CENTERING = f"greatest(0, (1 - {RATIO}) * 100)"
+#: The same in doubles alone, where a status or a gate hangs on the last digit.
+ACROSS, DOWN = "(k * 6.4e0 - 320e0)", "(value * 4e0 - 240e0)"
+EXACT_RATIO = f"least(1e0, sqrt({ACROSS} * {ACROSS} + {DOWN} * {DOWN}) / 240e0)"
+EXACT_CENTERING = f"greatest(0e0, (1e0 - {EXACT_RATIO}) * 100e0)"
+EXACT_STATUS = f"CASE WHEN {EXACT_CENTERING} >= 20 THEN 'ok' WHEN {EXACT_CENTERING} >= 10 THEN 'warn' ELSE 'fail' END"
 CENTERING_STATUS = f"CASE WHEN {CENTERING} >= 20 THEN 'ok' WHEN {CENTERING} >= 10 THEN 'warn' ELSE 'fail' END"
 FOCUS_STATUS = "CASE WHEN k < 16 THEN 'fail' WHEN value * 2 >= 100 THEN 'ok' WHEN value * 2 >= 50 THEN 'warn' ELSE 'fail' END"
 FOCUS_TEXT = "CASE WHEN k < 16 THEN 'Move closer' WHEN value * 2 >= 100 THEN 'Sharp' WHEN value * 2 >= 50 THEN 'Almost sharp' ELSE 'Blurry' END"
@@ -57,7 +62,7 @@ def lighting_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _told(frames(spark, sf_dir), "lighting_score", "lighting_status", "lighting_feedback")
 
 
-@query(f"WITH {EV} SELECT event_id, round({RATIO}, 6) AS centering_ratio, round({CENTERING}, 6) AS centering_score, {CENTERING_STATUS} AS centering_status FROM ev")
+@query(f"WITH {EV} SELECT event_id, round({EXACT_RATIO}, 6) AS centering_ratio, round({EXACT_CENTERING}, 6) AS centering_score, {EXACT_STATUS} AS centering_status FROM ev")
 def centering_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _told(frames(spark, sf_dir), "centering_ratio", "centering_score", "centering_status")
 
