@@ -91,7 +91,7 @@ def score_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STATUSES = f"parts AS (SELECT *, {DISTANCE_STATUS} AS ds, {DISTANCE_TEXT} AS df, {CENTERING_STATUS} AS cs, {LIGHTING_STATUS} AS ls, {LIGHTING_TEXT} AS lf, {FOCUS_STATUS} AS fs, {FOCUS_TEXT} AS ff, {SEEN} AS seen FROM ev)"
 
 
-@query(f"""WITH {EV}, {_STATUSES}
+@query(f"""WITH {EV}, {_STATUSES.replace(CENTERING_STATUS, EXACT_STATUS)}
   SELECT event_id,
     CASE WHEN NOT seen THEN 'Align one eye in the circle' WHEN k < 5 THEN 'Hold steady...' WHEN fs = 'fail' THEN 'Image is blurry — hold still to focus' WHEN fs = 'warn' THEN 'Almost sharp — keep still...'
       WHEN k % 7 = 0 THEN 'Perfect focus. Hold still...' WHEN k % 2 = 0 AND k % 5 = 0 THEN 'Aim light at hairline — tilt phone back' WHEN ds = 'fail' THEN df WHEN cs = 'fail' THEN 'Center your eye in the circle'
