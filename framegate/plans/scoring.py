@@ -80,7 +80,7 @@ def no_detection_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _told(df.withColumns(scores.no_detection_row(F.col("detected"), {n: F.col(n) for n in names})), *names)
 
 
-@query(f"""WITH {EV}, gated AS (SELECT *, {SEEN} AND ({DISTANCE}) >= 60 AND ({LIGHTING}) >= 50 AND {CENTERING} >= 35 AND CASE WHEN k < 16 THEN 0 ELSE value * 2 END >= 80 AS gate FROM ev)
+@query(f"""WITH {EV}, gated AS (SELECT *, {SEEN} AND ({DISTANCE}) >= 60 AND ({LIGHTING}) >= 50 AND {EXACT_CENTERING} >= 35 AND CASE WHEN k < 16 THEN 0 ELSE value * 2 END >= 80 AS gate FROM ev)
   SELECT event_id, gate, CASE WHEN NOT {SEEN} THEN 'red' WHEN gate THEN 'green' ELSE 'yellow' END AS light FROM gated""")
 def score_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     gate = scores.score_gate(F.col("detected"), F.col("distance_score"), F.col("lighting_score"), F.col("centering_score"), F.col("focus_score"))

@@ -9,7 +9,7 @@ from framegate.plans import registry
 BORDERS = [(26, 88.8), (32, 21.6), (23, 27.6), (71, 40.2), (50, 12.0)]
 
 
-@pytest.mark.parametrize("name", ["centering_score", "feedback_priority"])
+@pytest.mark.parametrize("name", ["centering_score", "feedback_priority", "score_gate"])
 def test_borders_of_centering(spark, tmp_path, name):
     con = duckdb.connect()
     rows = ", ".join(f"({i}, TIMESTAMP '2024-01-01', 1, 'view', {v}::DOUBLE, '{{\"k\": {k}}}')" for i, (k, v) in enumerate(BORDERS))
