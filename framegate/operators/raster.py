@@ -84,21 +84,21 @@ def measures(gray: np.ndarray) -> tuple[float, float, float]:
     return bright, max(0.0, var), focus
 
 
-def raster_metrics(images: DataFrame, id_col: str = "path") -> DataFrame:
+def raster_metrics(images: DataFrame, id_col: str = "path", keep: tuple[str, ...] = ()) -> DataFrame:
     """brightness, sharpness and focus of decoded images (height, width, n_channels, data:
-    BGR bytes); NULL where an image was not decoded."""
+    BGR bytes); NULL where an image was not decoded. keep: text columns to pass on."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for name, h, w, c, data in batch.itertuples(index=False):
+            for name, h, w, c, data, *kept in batch.itertuples(index=False):
                 if h is None or h <= 0 or data is None or len(data) != h * w * c:
-                    out.append((name, None, None, None))
+                    out.append((name, None, None, None, *kept))
                     continue
                 px = np.frombuffer(data, np.uint8).reshape(h, w, c).astype(np.float64)
                 gray = px[..., 0] if c == 1 else px[..., :3] @ np.array(LUMA[::-1])
-                out.append((name, *measures(gray)))
-            yield pd.DataFrame(out, columns=[id_col, "brightness", "sharpness", "focus"])
+                out.append((name, *measures(gray), *kept))
+            yield pd.DataFrame(out, columns=[id_col, "brightness", "sharpness", "focus", *keep])
 
-    rows = images.select(id_col, "height", "width", "n_channels", "data")
-    return rows.mapInPandas(run, f"{id_col} string, brightness double, sharpness double, focus double")
+    rows = images.select(id_col, "height", "width", "n_channels", "data", *keep)
+    return rows.mapInPandas(run, ", ".join([f"{id_col} string, brightness double, sharpness double, focus double", *(f"{k} string" for k in keep)]))

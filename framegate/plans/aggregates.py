@@ -180,6 +180,7 @@ def image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     and measured."""
     folder = f"{shared_folder(spark)}/pictures-{uuid.uuid4().hex}"
     rows = load(spark, sf_dir, "embeddings").filter("embedding is not null").select("vec_id", "embedding")
+    rows = rows.repartition(4 * spark.sparkContext.defaultParallelism, "vec_id")  # a small table of one task becomes many files
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,8 +195,7 @@ def image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     images.write_files(rows.mapInArrow(draw, "name string, data binary"), "name", "data", folder)
     files = images.read_images(spark, folder)
-    good, bad = images.validate_items(files, images.upload_rules(F.col("length"), F.col("height"), F.col("width")))
-    measured = raster.raster_metrics(good).withColumn("violation", F.lit(None).cast("string"))
-    out = measured.unionByName(bad.select("path", "violation"), allowMissingColumns=True)
+    files = files.withColumn("violation", images.first_violation(images.upload_rules(F.col("length"), F.col("height"), F.col("width"))))
+    out = raster.raster_metrics(files.withColumn("data", F.when(F.isnull("violation"), F.col("data"))), keep=("violation",))  # a file is read once
     name = F.regexp_extract("path", r"(\d+)\.png$", 1).cast("long")
     return out.select(name.alias("vec_id"), "violation", *[F.round(m, d).alias(m) for m, d in (("brightness", 4), ("sharpness", 4), ("focus", 3))])

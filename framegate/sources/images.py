@@ -17,11 +17,9 @@ from framegate.presets import MAX_SIDE, MAX_UPLOAD_BYTES, MIN_SIDE
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """path, length, height, width, n_channels, data (BGR). A file that cannot be decoded
     stays, with negative sizes, so that validation can name it."""
-    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
-    pictures = spark.read.format("image").option("dropInvalid", False).load(path).select("image.*")
-    pictures = pictures.select(plain(F.col("origin")).alias("path"), "height", "width", F.col("nChannels").alias("n_channels"), "data")
-    files = spark.read.format("binaryFile").load(path).select(plain(F.col("path")).alias("path"), "length")
-    return files.join(pictures, "path", "left").select("path", "length", "height", "width", "n_channels", "data")
+    pictures = spark.read.format("image").option("dropInvalid", False).load(path).select("image.*", F.col("_metadata.file_size").alias("length"))
+    plain = F.regexp_replace("origin", "^file:/+", "file:/")
+    return pictures.select(plain.alias("path"), "length", "height", "width", F.col("nChannels").alias("n_channels"), "data")
 
 
 def gray_png(pixels: np.ndarray) -> bytes:
